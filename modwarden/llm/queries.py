@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modwarden.llm import common, token_counts
+from modwarden.llm import common, odd_minhash, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,5 +21,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op9_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_minhash.near_duplicates(common.table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op9_odd_minhash": op9_odd_minhash,
+}
 ORACLES: dict[str, str] = {}
