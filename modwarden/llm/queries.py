@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modwarden.llm import common, odd_minhash, token_counts
+from modwarden.llm import common, odd_minhash, suffix_dedup, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,8 +25,13 @@ def op9_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_minhash.near_duplicates(common.table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_report(common.table(spark, sf_dir, "documents"), length=400)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op9_odd_minhash": op9_odd_minhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
