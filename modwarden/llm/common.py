@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,44 +61,43 @@ def content_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text, F.octet_length(text)).alias("h2"))
 
 
-def numbered(df: DataFrame, groups: list[str], key: str, ties: list[str], out: str, block_rows: int = 1_000_000) -> DataFrame:
-    """Adds `out`, 0, 1, ... in the order of (key, ties) within each group, without sorting a group in one task.
+def running(df: DataFrame, groups: list[str], key: str, ties: list[str], value: Column, out: str, block_rows: int = 1_000_000) -> DataFrame:
+    """Adds `out`, the sum of `value` over the rows before each row in the order of (key, ties) within its group.
 
-    Approximate quantiles of the whole column `key` (a long) cut all rows into blocks; rows are numbered inside
-    (group, block) and shifted by the rows of earlier blocks, so the numbers are exact however good the cuts are.
-    The table of shifts has groups x blocks rows.  Null keys come first.  Rows equal in key and ties are
-    interchangeable.
+    No group is sorted in one task.  Approximate quantiles of the whole column `key` (a long) cut all rows into
+    blocks; sums run inside (group, block) and are shifted by the sums of earlier blocks, so they are exact however
+    good the cuts are.  The table of shifts has groups x blocks rows.  Null keys come first.  Rows equal in key and
+    ties are interchangeable.
     """
-    total = df.count()
-    n = -(-total // block_rows)
-    cuts: list[int] = []
-    if n > 1:
-        cuts = sorted({int(x) for x in df.stat.approxQuantile(key, [i / n for i in range(1, n)], min(0.01, 0.25 / n))})
+    n = -(-df.count() // block_rows)
     block = F.lit(0)
-    if cuts:
-        bounds = np.array(cuts, dtype=np.int64)
+    if n > 1:
+        cuts = np.array(sorted({int(x) for x in df.stat.approxQuantile(key, [i / n for i in range(1, n)], min(0.01, 0.25 / n))}), dtype=np.int64)
 
         @F.pandas_udf(T.IntegerType())
         def block_of(k):
-            return k.map(lambda x: 0 if x != x or x is None else int(np.searchsorted(bounds, int(x), side="right")))
+            return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="right").astype(np.int32))
 
-        # the cast keeps 64 bits where pandas would turn a column with nulls into floats
-        block = F.when(F.col(key).isNull(), F.lit(0)).otherwise(block_of(F.coalesce(F.col(key), F.lit(0).cast("long"))))
-    cut = df.withColumn("__block", block)
+        lowest = F.lit(-(1 << 63)).cast("long")
+        block = block_of(F.coalesce(F.col(key), lowest))
+    cut = df.withColumn("__block", block).withColumn("__value", value.cast("long"))
     before = (
         cut.groupBy(*groups, "__block")
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.sum("__value").alias("__n"))
         .withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*groups).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-        .drop("__n")
+        .select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__block").alias("__gb"), "__before")
     )
-    inside = Window.partitionBy(*groups, "__block").orderBy(F.col(key).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties])
-    ranked = cut.withColumn("__rn", F.row_number().over(inside).cast("long"))
-    same = [ranked[g].eqNullSafe(before[g]) for g in groups] + [ranked["__block"] == before["__block"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    joined = ranked.join(before, cond, "left")
-    return joined.select(*[ranked[c] for c in df.columns if c != out], (ranked["__rn"] - 1 + before["__before"]).alias(out))
+    inside = Window.partitionBy(*groups, "__block").orderBy(F.col(key).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties]).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cut.withColumn("__own", F.coalesce(F.sum("__value").over(inside), F.lit(0).cast("long")))
+    same = F.col("__block") == F.col("__gb")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return ranked.join(before, same, "left").select(*[c for c in df.columns if c != out], (F.col("__own") + F.col("__before")).alias(out))
+
+
+def numbered(df: DataFrame, groups: list[str], key: str, ties: list[str], out: str, block_rows: int = 1_000_000) -> DataFrame:
+    """Adds `out`, 0, 1, ... without gaps in the order of (key, ties) within each group; see running()."""
+    return running(df, groups, key, ties, F.lit(1), out, block_rows)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -255,6 +255,14 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     return prepared.select("id", "n_shingles", "node"), common.staged(common.components(links))
 
 
+def _targets(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, component_id) of the classes that have copies or links; the others stand for themselves."""
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    moved = common.staged(classes.join(comps, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "node").alias("top"), "first"))
+    least = common.staged(moved.groupBy("top").agg(F.min("first").alias("component_id")))
+    return common.staged(moved.join(least, "top").select("node", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept.
 
@@ -263,10 +271,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are all kept.  A null id is never the smallest id of a component that has others.
     """
     rows, comps = link_classes(docs, id_col, text_col, width, percent)
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    moved = classes.join(comps, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "node").alias("top"), "first")
-    moved = common.staged(moved)
-    least = common.staged(moved.groupBy("top").agg(F.min("first").alias("component_id")))
-    target = common.staged(moved.join(least, "top").select("node", "component_id"))
+    target = _targets(rows, comps)
     out = rows.join(target, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns as they were, without those linked to a row of smaller id.
+
+    Of rows that share id and shingle set, one stays.  Texts without words stay, each of them.
+    """
+    columns = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    id_at, text_at = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
+    rows, comps = link_classes(plain, id_at, text_at, width, percent)
+    target = _targets(rows, comps)
+    # ids that go: those of a group other than its smallest; a repeated id keeps one row of each text
+    gone = common.staged(rows.join(target, "node").where("not (id <=> component_id)").select(F.col("id").alias("__gone")).distinct())
+    twice = rows.where("node is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__twice"))
+    left = plain.join(gone, F.col(id_at).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    if not twice.isEmpty():
+        left = left.dropDuplicates([id_at, text_at])
+    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

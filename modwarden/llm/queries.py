@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modwarden.llm import common, odd_minhash, suffix_dedup, token_counts
+from modwarden.llm import (
+    chat_rotation,
+    common,
+    jump_shards,
+    lattice_dedup,
+    length_buckets,
+    license_scan,
+    odd_minhash,
+    quality_cascade,
+    sentencepiece_lattice,
+    suffix_dedup,
+    token_counts,
+)
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +33,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotated(common.table(spark, sf_dir, "conversations"))
+
+
+def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jump_shards.assigned(common.table(spark, sf_dir, "documents"), shards=24)
+
+
+def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.report(common.table(spark, sf_dir, "documents"))
+
+
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(common.table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths are UTF-8 bytes, the tokens of a byte-level model."""
+    return length_buckets.packed(common.table(spark, sf_dir, "documents"), F.octet_length("text"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(common.table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encoded(common.table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_minhash.near_duplicates(common.table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -31,6 +72,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_chat_rotation": op2_chat_rotation,
+    "op3_jump_shards": op3_jump_shards,
+    "op4_quality_cascade": op4_quality_cascade,
+    "op5_lattice_dedup": op5_lattice_dedup,
+    "op6_length_buckets": op6_length_buckets,
+    "op7_license_scan": op7_license_scan,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_odd_minhash": op9_odd_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
