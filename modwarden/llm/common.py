@@ -104,7 +104,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (node, component_id = smallest node).
 
     Rounds of contraction: each node moves to its neighbour (or itself) of least hashed priority, links are
-    relabelled and made distinct.  Priorities change each round, so long chains shrink by a constant factor.
+    relabelled and made distinct.  A star is done after two rounds; priorities have nothing to do with the ids, so
+    long chains shrink by a constant factor in each.
     Every round is joins and a map-side combined aggregate; nothing is collected and a star's centre, however
     many links it has, is only ever aggregated or the large side of a splittable join.
     """
@@ -112,10 +113,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     schema = links.schema[a].dataType
     edges = staged(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     levels: list[DataFrame] = []
-    seed = 0
+    rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(1)).alias("p"), F.col(c).alias("v"))
     while not edges.isEmpty():
-        seed += 1
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("p"), F.col(c).alias("v"))
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.least(F.col("m"), rank("a"))["v"].alias("to"))
         best = staged(best)

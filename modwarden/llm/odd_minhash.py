@@ -222,7 +222,7 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     shared = common.staged(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *[F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("p"), F.col("node").alias("v")))["v"].alias(f"pivot{r}") for r in range(PIVOT_ROUNDS)]).where("size > 1"))
     members = common.staged(buckets.join(shared, "bucket"))
     wanted = common.staged(members.select("node").distinct())
-    nodes = common.staged(some.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = common.staged(some.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).join(wanted, "node", "left_semi"))
     ids = nodes.select("id").distinct()
     if nodes.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
