@@ -7,10 +7,10 @@ A string of `length` bytes is repeated if it starts at two places of all texts.
 2. Anchors that occur at one place only hold nothing repeated and end here.
 3. The windows of other segments fall into blocks by their distance from the anchor; all windows of a block share a
    core.  Equal windows agree in anchor, distance and core, so they meet in one group.  Groups of one window run end
-   here.  Groups with more than `HOT` different contents are cut into smaller blocks with longer cores, down to
-   blocks of one window, whose groups have one content only.  So a common passage does not gather its
-   surroundings in one task.
-4. Equal contents of a group are counted and kept once.  Groups are dealt to shards of bounded bytes; a shard's
+   here.
+4. Equal contents of a group are counted and kept once.  Of groups with more than `HOT` different contents, one
+   place of each content is cut into smaller blocks with longer cores, down to blocks of one window, whose groups
+   have one content only.  So a common passage does not gather its surroundings in one task.  Groups are dealt to shards of bounded bytes; a shard's
    contents become one string, its suffix array is built by induced sorting (induced_sort), and a window whose
    permuted common prefix with a neighbouring suffix reaches `length`, or whose content was counted twice, is
    repeated.
@@ -47,7 +47,7 @@ BROADCAST_ROWS = 500_000
 
 SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 SEGMENT = "anchor long, k1 long, k2 long, at int, lo int, hi int"
-PIECE = "grp long, content long, k1 long, k2 long, at int, lo int, hi int, anchor long"
+PIECE = "grp long, content long, k1 long, k2 long, at int, lo int, hi int, anchor long, pg long, pc long, base int, twice boolean"
 
 
 def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,14 +142,14 @@ def _merged(run):
 
 def _pieces(length: int, block: int):
     """Cuts a text's wanted window runs into blocks: group, content, place."""
-    names = ["grp", "content", "k1", "k2", "at", "lo", "hi", "anchor"]
+    names = ["grp", "content", "k1", "k2", "at", "lo", "hi", "anchor", "pg", "pc", "base", "twice"]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 raw = np.frombuffer(row["text"].encode("utf-8", "surrogatepass"), np.uint8)
                 sums, down = _sums(raw)
-                anchor, at, lo, hi = (np.array([w[k] for w in row["wanted"]], dtype=np.int64) for k in ("anchor", "at", "lo", "hi"))
+                anchor, at, lo, hi, pg, pc, base, twice = (np.array([w[k] for w in row["wanted"]], dtype=np.int64) for k in ("anchor", "at", "lo", "hi", "pg", "pc", "base", "twice"))
                 near, far = (at - hi) // block, (at - lo) // block
                 count = far - near + 1
                 src = np.repeat(np.arange(len(at)), count)
@@ -161,7 +161,7 @@ def _pieces(length: int, block: int):
                 group = mixed(mixed(anchor[src].view(np.uint64) + b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + core)
                 content = _hash(sums, down, first, last + length)
                 n = len(src)
-                yield pa.RecordBatch.from_arrays([_long(group), _long(content), pa.array(np.full(n, row["k1"], np.int64)), pa.array(np.full(n, row["k2"], np.int64)), _int(a), _int(first), _int(last), _long(anchor[src])], names)
+                yield pa.RecordBatch.from_arrays([_long(group), _long(content), pa.array(np.full(n, row["k1"], np.int64)), pa.array(np.full(n, row["k2"], np.int64)), _int(a), _int(first), _int(last), _long(anchor[src]), _long(pg[src]), _long(pc[src]), _int(base[src]), pa.array(twice[src] > 0)], names)
 
     return run
 
@@ -237,6 +237,36 @@ def _having(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"])
 
 
+def _kinds(pieces: DataFrame) -> DataFrame:
+    """The different contents of groups that hold anything repeated: whether it stands twice, one place, and whether its
+    group is hot."""
+    kinds = common.staged(pieces.groupBy("grp", "content").agg(F.count(F.lit(1)).alias("places"), F.bool_or("twice").alias("twice"), F.min(F.struct("k1", "k2", "lo", "hi", "at", "anchor")).alias("one")))
+    groups = kinds.groupBy("grp").agg(F.sum("places").alias("all"), F.bool_or("twice").alias("any"), F.count(F.lit(1)).alias("contents")).where("all > 1 or any").select("grp", (F.col("contents") > HOT).alias("hot"))
+    return common.staged(kinds.join(common.staged(groups), "grp").select("grp", "content", (F.col("twice") | (F.col("places") > 1)).alias("twice"), "one", "hot"))
+
+
+def _resolved(texts: DataFrame, kinds: DataFrame, length: int, level: int) -> DataFrame:
+    """grp, content, from, to: the covered ranges of each content, counted from its first byte."""
+    last = level + 1 == len(BLOCKS)
+    cold = kinds if last else kinds.where("not hot")
+    total = cold.agg(F.sum(F.col("one.hi") - F.col("one.lo") + length)).first()[0] or 0
+    shards = max(1, -(-int(total) // SHARD_BYTES))
+    wanted = cold.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("grp", "content", "twice", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("wanted"))
+    bodies = _having(texts, wanted).mapInArrow(_merged(_contents(length)), "grp long, content long, twice boolean, body binary")
+    found = common.staged(bodies.groupBy(F.pmod(F.xxhash64("grp"), F.lit(shards)).alias("shard")).applyInPandas(_shard(length), "grp long, content long, `from` int, `to` int"))
+    hot = kinds.where("hot")
+    if last or hot.isEmpty():
+        return found
+    # only different contents are cut further; their windows' verdicts come back to them as ranges
+    one = F.col("one")
+    wanted = hot.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct(one["anchor"].alias("anchor"), one["at"].alias("at"), one["lo"].alias("lo"), one["hi"].alias("hi"), F.col("grp").alias("pg"), F.col("content").alias("pc"), one["lo"].alias("base"), "twice")).alias("wanted"))
+    pieces = common.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, BLOCKS[level + 1])), PIECE))
+    below = _resolved(texts, _kinds(pieces), length, level + 1)
+    up = pieces.join(below, ["grp", "content"]).select(F.col("pg").alias("grp"), F.col("pc").alias("content"), (F.col("lo") - F.col("base") + F.col("from")).alias("lo"), (F.col("lo") - F.col("base") + F.col("to")).alias("hi"))
+    whole = up.groupBy("grp", "content").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("raw")).select("grp", "content", F.explode(_disjoint("raw")).alias("s"))
+    return common.staged(found.unionByName(whole.select("grp", "content", F.col("s.lo").alias("from"), F.col("s.hi").alias("to"))))
+
+
 def repeated_spans(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
     """(docs with k1, k2; per text its repeated byte ranges as k1, k2, spans, in order and disjoint)."""
     spark = docs.sparkSession
@@ -248,27 +278,11 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int) -> tuple[DataFra
     place = F.xxhash64("k1", "k2", "at")
     shared = segments.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
     left = segments.join(common.staged(shared), "anchor", "left_semi").distinct()
-    settled: list[DataFrame] = []
-    for level, block in enumerate(BLOCKS):
-        wanted = left.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("wanted"))
-        pieces = common.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, block)), PIECE))
-        kinds = pieces.groupBy("grp", "content").agg(F.count(F.lit(1)).alias("places"))
-        groups = common.staged(kinds.groupBy("grp").agg(F.sum("places").alias("places"), F.count(F.lit(1)).alias("contents")).where("places > 1").select("grp", (F.col("contents") > HOT).alias("hot")))
-        pieces = common.staged(pieces.join(groups, "grp"))
-        settled.append(pieces.where("not hot").drop("hot"))
-        left = pieces.where("hot").select("anchor", "k1", "k2", "at", "lo", "hi")
-        if level + 1 == len(BLOCKS) or left.isEmpty():
-            break
-    pieces = settled[0]
-    for more in settled[1:]:
-        pieces = pieces.unionByName(more)
-    kinds = common.staged(pieces.groupBy("grp", "content").agg((F.count(F.lit(1)) > 1).alias("twice"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")))
-    total = kinds.agg(F.sum(F.col("one.hi") - F.col("one.lo") + length)).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
-    wanted = kinds.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("grp", "content", "twice", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("wanted"))
-    bodies = _having(texts, wanted).mapInArrow(_merged(_contents(length)), "grp long, content long, twice boolean, body binary")
-    found = bodies.groupBy(F.pmod(F.xxhash64("grp"), F.lit(shards)).alias("shard")).applyInPandas(_shard(length), "grp long, content long, `from` int, `to` int")
-    found = common.staged(found)
+    wanted = left.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi", F.lit(0).cast("long").alias("pg"), F.lit(0).cast("long").alias("pc"), F.lit(0).alias("base"), F.lit(False).alias("twice"))).alias("wanted"))
+    pieces = common.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, BLOCKS[0])), PIECE))
+    kinds = _kinds(pieces)
+    found = _resolved(texts, kinds, length, 0)
+    pieces = pieces.select("grp", "content", "k1", "k2", "lo")
     spans = pieces.join(found, ["grp", "content"]).select("k1", "k2", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     per_text = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("raw"))
     copies = keyed.where(F.octet_length(text_col) >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(text_col)).alias("bytes")).where("n > 1")
