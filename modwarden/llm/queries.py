@@ -18,6 +18,7 @@ from modwarden.llm import (
     suffix_dedup,
     token_counts,
 )
+from modwarden.llm.sql import ORACLES  # noqa: F401  (read by the driver's entry)
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,4 +83,3 @@ QUERIES = {
     "op9_odd_minhash": op9_odd_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
