@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Blocks that even a small table is cut into for numbering, if it has 2,000 rows for each.
+SMALL_BLOCKS = 64
 #: Rows of one Arrow batch handed to Python; texts may be long, so batches stay small.
 ARROW_ROWS = 256
 
@@ -69,7 +71,8 @@ def running(df: DataFrame, groups: list[str], key: str, ties: list[str], value:
     good the cuts are.  The table of shifts has groups x blocks rows.  Null keys come first.  Rows equal in key and
     ties are interchangeable.
     """
-    n = -(-df.count() // block_rows)
+    total = df.count()
+    n = max(-(-total // block_rows), min(SMALL_BLOCKS, -(-total // 2_000)))
     block = F.lit(0)
     if n > 1:
         cuts = np.array(sorted({int(x) for x in df.stat.approxQuantile(key, [i / n for i in range(1, n)], min(0.01, 0.25 / n))}), dtype=np.int64)
