@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +31,9 @@ def _any_token(tokens: Column, words: list[str]) -> Column:
 
 
 def high_risk_phrase(text: Column) -> Column:
+    """Whether a phrase stands in the text between literal spaces."""
     padded = F.concat(F.lit(" "), X.ascii_lower(text), F.lit(" "))
-    out = F.lit(False)
-    for p in lexicon.HIGH_RISK_PHRASES:
-        out = out | padded.contains(f" {p} ")
-    return out
+    return padded.rlike(f" (?:{'|'.join(lexicon.HIGH_RISK_PHRASES)}) ")
 
 
 def trigger(text: Column) -> Column:
@@ -41,11 +41,8 @@ def trigger(text: Column) -> Column:
 
 
 def link(text: Column) -> Column:
-    low = X.ascii_lower(text)
-    out = low.rlike("@[a-z0-9_]{4,}")
-    for m in lexicon.LINK_MARKS:
-        out = out | low.contains(m)
-    return out
+    marks = "|".join(re.escape(m) for m in lexicon.LINK_MARKS)
+    return X.ascii_lower(text).rlike(f"@[a-z0-9_]{{4,}}|{marks}")
 
 
 def money(text: Column) -> Column:

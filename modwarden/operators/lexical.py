@@ -80,8 +80,7 @@ def evidence(rows: DataFrame, id_col: str, words: DataFrame, index: DataFrame, m
         some((F.col("d") == 2) & (F.col("far") == 2) & F.col("obfuscated") & ~F.col("clean")).alias("fuzzy_weak"),
         some(F.col("skeleton").isNotNull()).alias("skeleton"),
     )
-    for c in ("likely_clean", "fuzzy_strong", "fuzzy_weak", "skeleton"):
-        seen = seen.withColumn(c, F.col(c) & ~F.col("exact"))
+    seen = seen.withColumns({c: F.col(c) & ~F.col("exact") for c in ("likely_clean", "fuzzy_strong", "fuzzy_weak", "skeleton")})
     return (
         seen.withColumn("short_token", F.col("min_len") <= MIN_MATCH + 1)
         .withColumn("long_token", F.col("min_len").between(8, 98))
@@ -94,12 +93,8 @@ def _among(word: Column, values: list[str]) -> Column:
 
 
 def raw_hit(text: Column, values: list[str]) -> Column:
-    """Whether a bad word stands anywhere in the text, word borders or not."""
-    low = X.ascii_lower(text)
-    out = F.lit(False)
-    for w in values:
-        out = out | low.contains(w)
-    return out
+    """Whether a bad word, of plain letters, stands anywhere in the text, word borders or not."""
+    return X.ascii_lower(text).rlike("|".join(values)) if values else F.lit(False)
 
 
 def native_valid(strict: Column, collapsed: Column) -> Column:

@@ -19,28 +19,21 @@ def scored(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = messages.sparkSession
     rows = messages.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
     rows = candidates.with_candidates(rows, "raw").withColumn("text", X.nfkc(F.col("raw")))
-    for name, c in signals.surface(F.col("text"), F.col("raw")).items():
-        rows = rows.withColumn(name, c)
     strict = F.col("strict")
-    rows = rows.withColumn("high_risk", signals.high_risk_phrase(F.col("text"))).withColumn("skip", lexical.lexical_skip(strict)).withColumn("phrase", lexical.contextual_phrase(F.col("text"), strict))
-    rows = rows.withColumn("acronym", lexical.short_acronym(strict, F.col("hard_separator"), F.col("leet")))
+    rows = rows.withColumns(signals.surface(F.col("text"), F.col("raw")) | {"high_risk": signals.high_risk_phrase(F.col("text")), "skip": lexical.lexical_skip(strict), "phrase": lexical.contextual_phrase(F.col("text"), strict)})
     raw_hit = lexical.raw_hit(F.col("raw"), lexicon.BAD_WORDS) | lexical.raw_hit(X.normalized(F.col("text")), lexicon.BAD_WORDS)
-    rows = rows.withColumn("native", raw_hit & lexical.native_valid(strict, F.col("collapsed")))
+    rows = rows.withColumns({"acronym": lexical.short_acronym(strict, F.col("hard_separator"), F.col("leet")), "native": raw_hit & lexical.native_valid(strict, F.col("collapsed"))})
     plain = ~F.col("native") & ~F.col("acronym") & F.col("alpha_only") & (F.size(strict) > 0)
     known = F.forall(strict, lambda c: ~c["obfuscated"] & (F.length(c["text"]) >= lexical.MIN_MATCH) & lexical.clean_word(c["text"]))
-    rows = rows.withColumn("no_heuristic", plain & known)
-    for name, c in {"date_like": signals.date_like, "noise": signals.numeric_noise, "code_like": signals.code_like, "math_like": signals.math_like}.items():
-        rows = rows.withColumn(name, c(F.col("text")))
-    rows = rows.withColumn("gate", signals.fallback_gate(F.col("text"), {"leet": F.col("leet"), "hard_separator": F.col("hard_separator")}))
+    guards = {"date_like": signals.date_like, "noise": signals.numeric_noise, "code_like": signals.code_like, "math_like": signals.math_like}
+    gate = signals.fallback_gate(F.col("text"), {"leet": F.col("leet"), "hard_separator": F.col("hard_separator")})
+    rows = rows.withColumns({"no_heuristic": plain & known, "gate": gate} | {k: f(F.col("text")) for k, f in guards.items()})
     found = lexical.evidence(rows.where(~F.col("no_heuristic")), "id", lexical.flags(spark), lexicon.bad_index(spark))
     both = rows.drop("strict", "collapsed", "merged", "raw", "text").join(found.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    for c in EVIDENCE:
-        both = both.withColumn(c, F.coalesce(c, F.lit(False)))
+    both = both.withColumns({c: F.coalesce(c, F.lit(False)) for c in EVIDENCE})
     guarded = ~F.col("native") & ~F.col("acronym") & F.col("matched") & (F.col("date_like") | F.col("noise") | F.col("code_like") | (F.col("math_like") & ~F.col("exact") & ~F.col("fuzzy_strong")))
     both = both.withColumn("guarded", guarded)
-    for c in ("exact", "fuzzy_strong", "fuzzy_weak", "skeleton", "matched"):
-        both = both.withColumn(c, F.col(c) & ~F.col("guarded"))
-    both = both.withColumn("likely_clean", F.col("likely_clean") & ~F.col("native")).withColumn("native_exact", F.col("native"))
+    both = both.withColumns({c: F.col(c) & ~F.col("guarded") for c in ("exact", "fuzzy_strong", "fuzzy_weak", "skeleton", "matched")} | {"likely_clean": F.col("likely_clean") & ~F.col("native"), "native_exact": F.col("native")})
     linear = F.lit(lexicon.WEIGHTS["bias"])
     for name, w in lexicon.WEIGHTS.items():
         if name != "bias":
