@@ -256,19 +256,27 @@ class Pieces:
             at = np.where(live, at - step[rows, at], 0)
         ids = np.stack([b[0] for b in reversed(back)], axis=1)
         ends = np.stack([b[1] for b in reversed(back)], axis=1)
-        for i, w in enumerate(words):
-            own = ids[i][ids[i] != -2]
-            if (own < 0).any():
-                out: list[int] = []
-                for t, e in zip(own.tolist(), ends[i][ids[i] != -2].tolist()):
-                    if t >= 0:
-                        out.append(t)
-                    elif self.bytes_at:
-                        out += [self.bytes_at[b] for b in w[e - 1].encode("utf-8", "surrogatepass")]
-                    elif not out or out[-1] != self.unknown:
-                        out.append(self.unknown)
-                own = np.array(out)
-            self.words[w] = own.astype(np.int32).tobytes()
+        inside = ids != -2
+        flat, at_end = ids[inside], ends[inside]
+        stop = np.cumsum(inside.sum(axis=1))
+        lacking = (ids == -1).any(axis=1).tolist()
+        whole = flat.astype(np.int32).tobytes()
+        start = 0
+        for w, end, lacks in zip(words, stop.tolist(), lacking):
+            self.words[w] = self._filled(w, flat[start:end], at_end[start:end]) if lacks else whole[4 * start : 4 * end]
+            start = end
+
+    def _filled(self, word: str, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """ids with characters that no piece has as byte pieces, or runs of them as the unknown piece."""
+        out: list[int] = []
+        for t, e in zip(ids.tolist(), ends.tolist()):
+            if t >= 0:
+                out.append(t)
+            elif self.bytes_at:
+                out += [self.bytes_at[b] for b in word[e - 1].encode("utf-8", "surrogatepass")]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return np.array(out, dtype=np.int32).tobytes()
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.words]
