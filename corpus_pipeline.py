@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from modwarden.llm import common, length_buckets, odd_minhash, quality_cascade, suffix_dedup
 from modwarden.session import prepare
 
-#: Bytes of a repeated passage that the corpus may not keep: over 50 words of the texts' languages take more.
-PASSAGE_BYTES = 256
+#: Words of a repeated passage that the corpus may not keep: over 50.
+PASSAGE_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings that also stand elsewhere; n_chars follows the text."""
+    """Documents without passages of over 50 words that also stand elsewhere; n_chars follows the text."""
     prepare(spark)
-    return suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return suffix_dedup.without_passages(docs, words=PASSAGE_WORDS).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

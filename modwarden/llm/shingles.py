@@ -57,6 +57,36 @@ def word_hashes(text: bytes) -> np.ndarray:
     return mixed(h + (end - start).astype(np.uint64) * _MULT)
 
 
+def _unspaced(raw: np.ndarray) -> np.ndarray:
+    """Where a character of three bytes starts whose script puts no spaces between words: Thai, Lao, Burmese, Khmer,
+    kana and Han up to U+9FFF."""
+    nxt = np.concatenate((raw[1:], [0]))
+    return ((raw >= 0xE3) & (raw <= 0xE9)) | ((raw == 0xE0) & (nxt >= 0xB8) & (nxt <= 0xBB)) | ((raw == 0xE1) & (((nxt >= 0x80) & (nxt <= 0x82)) | (nxt == 0x9E) | (nxt == 0x9F)))
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, hash) of each word of one text.  A character of a script without spaces is a word of its own."""
+    raw = np.frombuffer(text, np.uint8)
+    n = len(raw)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64)
+    gap = _GAP[raw]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[[0, n]] = True
+    edge[1:n] = gap[1:] != gap[:-1]
+    if raw.max() >= 0xE0:
+        single = np.flatnonzero(_unspaced(raw))
+        edge[single] = True
+        edge[np.minimum(single + 3, n)] = True
+    cut = np.flatnonzero(edge)
+    start, end = cut[:-1], cut[1:]
+    start, end = start[~gap[start]], end[~gap[start]]
+    up, down = powers(n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1])))
+    return start, end, mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _MULT)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of `width` words; with fewer words, of the whole sequence; without words, none."""
     words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())

@@ -18,12 +18,16 @@ A string of `length` bytes is repeated if it starts at two places of all texts.
 
 Texts are known by 128 bits of hash.  Equal texts are one; a text of at least `length` bytes that occurs
 twice is repeated throughout.
+
+The same runs over words in place of bytes (`WORDS`): a symbol is then the 64-bit hash of a word, and `length` and all
+places count words, so a passage is found whatever bytes stand between its words.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,14 +38,16 @@ from pyspark.sql import types as T
 
 from modwarden.llm import common
 from modwarden.llm.induced_sort import permuted_lcp, suffix_array
-from modwarden.llm.shingles import mixed, powers
+from modwarden.llm.shingles import mixed, powers, word_places
 
-GRAM = 64
-#: Windows of a block at each level; the last must be 1.
+#: Windows of a block at each level; the last must be 1 and the first below `length`.
 BLOCKS = (128, 16, 1)
+WORD_BLOCKS = (24, 6, 1)
 #: Different contents of one group that one shard may have to hold.
 HOT = 500
 SHARD_BYTES = 1_000_000
+#: As a sorting round is one of a symbol, and words are many different symbols, shards of words are smaller.
+SHARD_WORDS = 200_000
 #: Up to so many wanted texts are looked up by a broadcast of their 16-byte keys; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -50,13 +56,37 @@ SEGMENT = "anchor long, k1 long, k2 long, at int, lo int, hi int"
 PIECE = "grp long, content long, k1 long, k2 long, at int, lo int, hi int, anchor long, pg long, pc long, base int, twice boolean"
 
 
+@dataclass(frozen=True)
+class Symbols:
+    """What the symbols of a text are."""
+
+    of: Callable[[str], np.ndarray]
+    gram: int
+    kind: type
+
+
+def _bytes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _words_of(text: str) -> np.ndarray:
+    return word_places(text.encode("utf-8", "surrogatepass"))[2]
+
+
+BYTES, WORDS = Symbols(_bytes_of, 64, np.uint8), Symbols(_words_of, 12, np.uint64)
+
+
+def _blocks(symbols: Symbols) -> tuple[int, ...]:
+    return WORD_BLOCKS if symbols is WORDS else BLOCKS
+
+
 def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(raw) + 1)
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1]))), down
 
 
 def _hash(sums: np.ndarray, down: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of bytes [lo, hi)."""
+    """A 64-bit hash of each range of symbols [lo, hi)."""
     return mixed((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
@@ -86,11 +116,10 @@ def _rightmost_minima(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def segments_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
+def segments_of(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, anchor place, first window, last window) of each segment."""
-    raw = np.frombuffer(text, np.uint8)
     sums, down = _sums(raw)
-    gram = min(GRAM, length)
+    gram = min(gram, length)
     lo = np.arange(len(raw) - gram + 1)
     h = _hash(sums, down, lo, lo + gram)
     at = _rightmost_minima(h, length - gram + 1)
@@ -107,16 +136,16 @@ def _int(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int32), pa.int32())
 
 
-def _segments(length: int):
+def _segments(length: int, symbols: Symbols):
     names = ["anchor", "k1", "k2", "at", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                body = text.encode("utf-8", "surrogatepass")
-                if len(body) < length:
+                raw = symbols.of(text)
+                if len(raw) < length:
                     continue
-                h, at, lo, hi = segments_of(body, length)
+                h, at, lo, hi = segments_of(raw, length, symbols.gram)
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)), _int(at), _int(lo), _int(hi)], names)
 
@@ -140,14 +169,14 @@ def _merged(run):
     return whole
 
 
-def _pieces(length: int, block: int):
+def _pieces(length: int, block: int, symbols: Symbols):
     """Cuts a text's wanted window runs into blocks: group, content, place."""
     names = ["grp", "content", "k1", "k2", "at", "lo", "hi", "anchor", "pg", "pc", "base", "twice"]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                raw = np.frombuffer(row["text"].encode("utf-8", "surrogatepass"), np.uint8)
+                raw = symbols.of(row["text"])
                 sums, down = _sums(raw)
                 anchor, at, lo, hi, pg, pc, base, twice = (np.array([w[k] for w in row["wanted"]], dtype=np.int64) for k in ("anchor", "at", "lo", "hi", "pg", "pc", "base", "twice"))
                 near, far = (at - hi) // block, (at - lo) // block
@@ -166,34 +195,37 @@ def _pieces(length: int, block: int):
     return run
 
 
-def _contents(length: int):
-    """The bytes of wanted contents."""
+def _contents(length: int, symbols: Symbols):
+    """The symbols of wanted contents, as bytes."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                body = row["text"].encode("utf-8", "surrogatepass")
+                raw = symbols.of(row["text"])
                 w = row["wanted"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["grp"] for x in w], pa.int64()), pa.array([x["content"] for x in w], pa.int64()), pa.array([x["twice"] for x in w], pa.bool_()), pa.array([body[x["lo"] : x["hi"] + length] for x in w], pa.binary())],
+                    [pa.array([x["grp"] for x in w], pa.int64()), pa.array([x["content"] for x in w], pa.int64()), pa.array([x["twice"] for x in w], pa.bool_()), pa.array([raw[x["lo"] : x["hi"] + length].tobytes() for x in w], pa.binary())],
                     ["grp", "content", "twice", "body"],
                 )
 
     return run
 
 
-def repeated_windows(bodies: list[bytes], twice: list[bool], length: int) -> list[np.ndarray]:
-    """For each body the starts of its windows of `length` bytes that occur at another place of the bodies.
+def repeated_windows(bodies: list[bytes], twice: list[bool], length: int, kind: type = np.uint8) -> list[np.ndarray]:
+    """For each body the starts of its windows of `length` symbols that occur at another place of the bodies.
 
     A body that stands for two places is repeated throughout."""
-    size = np.array([len(b) for b in bodies], dtype=np.int64)
+    values = np.frombuffer(b"".join(bodies), kind)
+    if kind != np.uint8:
+        values = np.unique(values, return_inverse=True)[1]
+    size = np.array([len(b) // np.dtype(kind).itemsize for b in bodies], dtype=np.int64)
     start = np.concatenate(([0], np.cumsum(size + 1)))
     joined = np.ones(start[-1] + 1, dtype=np.int64)  # 1 stands between bodies, 0 at the end
     joined[-1] = 0
     inside = np.ones(start[-1], dtype=bool)
     inside[start[1:] - 1] = False
-    joined[:-1][inside] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int64) + 2
-    sa = suffix_array(joined, 258)
+    joined[:-1][inside] = values.astype(np.int64) + 2
+    sa = suffix_array(joined, int(joined.max()) + 1)
     lcp, before = permuted_lcp(joined, sa, length)
     end = np.repeat(start[1:] - 1, size + 1)
     room = np.zeros(len(joined), dtype=np.int64)
@@ -219,9 +251,9 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(lo.tolist(), hi.tolist()))
 
 
-def _shard(length: int):
+def _shard(length: int, symbols: Symbols):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_windows([bytes(b) for b in frame["body"]], frame["twice"].tolist(), length)
+        found = repeated_windows([bytes(b) for b in frame["body"]], frame["twice"].tolist(), length, symbols.kind)
         rows = [(g, c, lo, hi) for g, c, starts in zip(frame["grp"], frame["content"], found) for lo, hi in _runs(starts, length)]
         return pd.DataFrame(rows, columns=["grp", "content", "from", "to"])
 
@@ -245,52 +277,61 @@ def _kinds(pieces: DataFrame) -> DataFrame:
     return common.staged(kinds.join(common.staged(groups), "grp").select("grp", "content", (F.col("twice") | (F.col("places") > 1)).alias("twice"), "one", "hot"))
 
 
-def _resolved(texts: DataFrame, kinds: DataFrame, length: int, level: int) -> DataFrame:
-    """grp, content, from, to: the covered ranges of each content, counted from its first byte."""
-    last = level + 1 == len(BLOCKS)
+def _resolved(texts: DataFrame, kinds: DataFrame, length: int, level: int, symbols: Symbols) -> DataFrame:
+    """grp, content, from, to: the covered ranges of each content, counted from its first symbol."""
+    last = level + 1 == len(_blocks(symbols))
     cold = kinds if last else kinds.where("not hot")
     total = cold.agg(F.sum(F.col("one.hi") - F.col("one.lo") + length)).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
+    shards = max(1, -(-int(total) // (SHARD_WORDS if symbols is WORDS else SHARD_BYTES)))
     wanted = cold.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("grp", "content", "twice", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("wanted"))
-    bodies = _having(texts, wanted).mapInArrow(_merged(_contents(length)), "grp long, content long, twice boolean, body binary")
-    found = common.staged(bodies.groupBy(F.pmod(F.xxhash64("grp"), F.lit(shards)).alias("shard")).applyInPandas(_shard(length), "grp long, content long, `from` int, `to` int"))
+    bodies = _having(texts, wanted).mapInArrow(_merged(_contents(length, symbols)), "grp long, content long, twice boolean, body binary")
+    found = common.staged(bodies.groupBy(F.pmod(F.xxhash64("grp"), F.lit(shards)).alias("shard")).applyInPandas(_shard(length, symbols), "grp long, content long, `from` int, `to` int"))
     hot = kinds.where("hot")
     if last or hot.isEmpty():
         return found
     # only different contents are cut further; their windows' verdicts come back to them as ranges
     one = F.col("one")
     wanted = hot.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct(one["anchor"].alias("anchor"), one["at"].alias("at"), one["lo"].alias("lo"), one["hi"].alias("hi"), F.col("grp").alias("pg"), F.col("content").alias("pc"), one["lo"].alias("base"), "twice")).alias("wanted"))
-    pieces = common.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, BLOCKS[level + 1])), PIECE))
-    below = _resolved(texts, _kinds(pieces), length, level + 1)
+    pieces = common.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, _blocks(symbols)[level + 1], symbols)), PIECE))
+    below = _resolved(texts, _kinds(pieces), length, level + 1, symbols)
     up = pieces.join(below, ["grp", "content"]).select(F.col("pg").alias("grp"), F.col("pc").alias("content"), (F.col("lo") - F.col("base") + F.col("from")).alias("lo"), (F.col("lo") - F.col("base") + F.col("to")).alias("hi"))
     whole = up.groupBy("grp", "content").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("raw")).select("grp", "content", F.explode(_disjoint("raw")).alias("s"))
     return common.staged(found.unionByName(whole.select("grp", "content", F.col("s.lo").alias("from"), F.col("s.hi").alias("to"))))
 
 
-def repeated_spans(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """(docs with k1, k2; per text its repeated byte ranges as k1, k2, spans, in order and disjoint)."""
+def repeated_spans(docs: DataFrame, text_col: str, length: int, symbols: Symbols = BYTES) -> tuple[DataFrame, DataFrame]:
+    """(docs with k1, k2; per text its repeated ranges of symbols as k1, k2, spans, in order and disjoint)."""
     spark = docs.sparkSession
     common.small_batches(spark)
     key = common.content_key(F.coalesce(F.col(text_col), F.lit("")))
     keyed = docs.withColumn("k1", key["h1"]).withColumn("k2", key["h2"])
-    texts = keyed.select("k1", "k2", F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    segments = common.staged(texts.mapInArrow(_merged(_segments(length)), SEGMENT))
+    # two words take three bytes at least, as words that no space parts have three bytes each
+    least = 2 * length - 1 if symbols is WORDS else length
+    texts = keyed.select("k1", "k2", F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= least)
+    segments = common.staged(texts.mapInArrow(_merged(_segments(length, symbols)), SEGMENT))
     place = F.xxhash64("k1", "k2", "at")
     shared = segments.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
     left = segments.join(common.staged(shared), "anchor", "left_semi").distinct()
     wanted = left.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi", F.lit(0).cast("long").alias("pg"), F.lit(0).cast("long").alias("pc"), F.lit(0).alias("base"), F.lit(False).alias("twice"))).alias("wanted"))
-    pieces = common.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, BLOCKS[0])), PIECE))
+    pieces = common.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, _blocks(symbols)[0], symbols)), PIECE))
     kinds = _kinds(pieces)
-    found = _resolved(texts, kinds, length, 0)
+    found = _resolved(texts, kinds, length, 0, symbols)
     pieces = pieces.select("grp", "content", "k1", "k2", "lo")
     spans = pieces.join(found, ["grp", "content"]).select("k1", "k2", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     per_text = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("raw"))
-    copies = keyed.where(F.octet_length(text_col) >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(text_col)).alias("bytes")).where("n > 1")
-    whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("lo"), F.col("bytes").cast("int").alias("hi"))).alias("whole"))
+    copies = keyed.where(F.octet_length(text_col) >= least).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(text_col)).alias("size")).where("n > 1")
+    if symbols is WORDS:  # words are counted in the texts that stand twice only
+        copies = _having(texts, copies.select("k1", "k2")).select("k1", "k2", _n_words(F.col("text")).alias("size")).where(F.col("size") >= length)
+    whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("lo"), F.col("size").cast("int").alias("hi"))).alias("whole"))
     joined = per_text.join(whole, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", _disjoint("raw")).alias("spans"))
     return keyed, common.staged(joined)
 
 
+@F.pandas_udf(T.IntegerType())
+def _n_words(text: pd.Series) -> pd.Series:
+    return pd.Series([len(_words_of(t)) for t in text], dtype="int32")
+
+
 @F.pandas_udf(SPANS)
 def _disjoint(raw: pd.Series) -> pd.Series:
     def one(spans):
@@ -381,3 +422,33 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 400)
     at = f"c{columns.index(text_col)}"
     keyed, spans = repeated_spans(plain, at, length)
     return _split_join(keyed, spans).withColumn(at, _without(F.col(at), F.col("spans"))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+@F.pandas_udf(T.StringType())
+def _without_words(text: pd.Series, cuts: pd.Series) -> pd.Series:
+    out = []
+    for t, c in zip(text, cuts):
+        if t is None or c is None or not len(c):
+            out.append(t)
+            continue
+        body = t.encode("utf-8", "surrogatepass")
+        start, end, _ = word_places(body)
+        kept, at = [], 0
+        for x in c:
+            kept.append(body[at : start[x["lo"]]])
+            at = end[x["hi"] - 1]
+        kept.append(body[at:])
+        out.append(b"".join(kept).decode("utf-8", "surrogatepass"))
+    return pd.Series(out, dtype=object)
+
+
+def without_passages(docs: DataFrame, text_col: str = "text", words: int = 51) -> DataFrame:
+    """docs, all columns as they were, without any passage of `words` words that also stands elsewhere, first places included.
+
+    What stands between the words does not count and goes with them; what stands before and after a passage stays.
+    Words are those of shingles.word_places, capitals as they are.  Null texts stay null."""
+    columns = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    at = f"c{columns.index(text_col)}"
+    keyed, spans = repeated_spans(plain, at, words, WORDS)
+    return _split_join(keyed, spans).withColumn(at, _without_words(F.col(at), F.col("spans"))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

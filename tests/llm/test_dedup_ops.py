@@ -152,6 +152,56 @@ def test_cut_texts(spark):
     assert suffix_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
+def plain_passages(rows, words):
+    seen, cut = collections.Counter(), [(d, x, x.split()) for d, x in rows]
+    for _, _, w in cut:
+        seen.update(tuple(w[i : i + words]) for i in range(len(w) - words + 1))
+    out = []
+    for d, _, w in cut:
+        hit = [False] * len(w)
+        for i in range(len(w) - words + 1):
+            if seen[tuple(w[i : i + words])] > 1:
+                hit[i : i + words] = [True] * words
+        out.append((d, [x for x, y in zip(w, hit) if not y]))
+    return sorted(out)
+
+
+def worded(seed):
+    r = random.Random(seed)
+    draw = lambda n: "".join(r.choice("abcdefgh") + r.choice("  \n") for _ in range(n)).split()
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    shared, rows = [draw(n) for n in (51, 50, 30, 30, 120)], []
+    for _ in range(50):
+        t = own(r.randint(0, 90))
+        for p in shared:
+            if r.random() < 0.3:
+                t += p + own(r.choice([0, 0, 5]))
+        rows.append((len(rows), "".join(w + r.choice([" ", "\n", "  "]) for w in t)))
+    more = ["", "a " * 300, "a b " * 90, "x " * 50, "y " * 51, rows[5][1], rows[5][1], "z " * 20, "z " * 20]
+    return rows + [(len(rows) + i, x) for i, x in enumerate(more)]
+
+
+def test_passages_of_short_words(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    monkeypatch.setattr(suffix_dedup, "SHARD_WORDS", 2_000)
+    rows = worded(5)
+    docs = spark.createDataFrame(rows + [(None, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.without_passages(docs).collect()}
+    want = plain_passages(rows, 51)
+    assert got.pop(None) is None and sorted((d, x.split()) for d, x in got.items()) == want
+    assert any(len(w) < len(x.split()) for (_, w), (_, x) in zip(want, rows))
+    assert all(got[d] == x for (d, x), (_, w) in zip(rows, want) if len(w) == len(x.split()))
+    assert suffix_dedup.without_passages(docs.limit(0)).count() == 0
+
+
+def test_words_without_spaces(spark):
+    r = random.Random(6)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    p, a, b = han(60), han(9), han(9)
+    docs = spark.createDataFrame([(1, f"{a}{p}{b}"), (2, f"x{p}"), (3, f"{p[:50]}y")], "doc_id long, text string")
+    assert {x.doc_id: x.text for x in suffix_dedup.without_passages(docs).collect()} == {1: a + b, 2: "x", 3: f"{p[:50]}y"}
+
+
 def plain_links(rows, least):
     good = [(i, np.array(v, dtype="f8")) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     n, pairs = collections.Counter(), []

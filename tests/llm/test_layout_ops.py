@@ -124,3 +124,17 @@ def test_pipeline(spark, tmp_path):
     assert passage not in kept[3].text and passage not in kept[4].text and kept[5].text == texts[5] and kept[3].n_chars == len(kept[3].text)
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(x.doc_id for x in final) == [0, 3, 4, 5, 9]
+
+
+def test_pipeline_cuts_51_short_words(spark):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    long, short = prose(51), prose(50)
+    assert len(long) < 256
+    texts = [prose(90) + " " + long, long + " " + prose(90), prose(90) + " " + short, short + " " + prose(90)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id: x.text for x in corpus_pipeline.passage_dedup(spark, docs, "").collect()}
+    assert long not in kept[0] and long not in kept[1] and (kept[2], kept[3]) == (texts[2], texts[3])
