@@ -22,7 +22,8 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 FAMILIES = (
     ("mit", "mit", r"mit licen[cs]e", r"mit"),
     ("mit", "expat", r"expat licen[cs]e", r"mit"),
-    ("mit-0", "0", r"mit no attribution(?: licen[cs]e)?|mit 0", r"mit 0"),
+    ("mit-0", "attribution", r"mit no attribution(?: licen[cs]e)?", r"mit 0"),
+    ("mit-0", "0", r"mit 0", r"mit 0"),
     ("apache-2.0", "apache", r"apache(?: software)? licen[cs]e(?: version)? 2(?: 0)?|apache 2(?: 0)?", r"apache 2 0"),
     ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e(?: version)? 1 1", r"apache 1 1"),
     ("apache-1.0", "apache", r"apache(?: software)? licen[cs]e(?: version)? 1 0", r"apache 1 0"),
@@ -30,10 +31,12 @@ FAMILIES = (
     ("gpl-2.0", "gnu", r"gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
     ("gpl-3.0", "gnu", r"gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
     ("gpl", "gnu", r"gnu general public licen[cs]e", r"gpl"),
-    ("gpl-2.0", "gpl", r"gpl ?v?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-2.0", "gplv2", r"gplv2", r"gplv2"),
-    ("gpl-3.0", "gpl", r"gpl ?v?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
-    ("gpl-3.0", "gplv3", r"gplv3", r"gplv3"),
+    ("gpl-2.0", "gpl", r"gpl v?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
+    ("gpl-2.0", "gpl2", r"gpl2(?: 0)?", r"gpl2"),
+    ("gpl-2.0", "gplv2", r"gplv2(?: 0)?", r"gplv2"),
+    ("gpl-3.0", "gpl", r"gpl v?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
+    ("gpl-3.0", "gpl3", r"gpl3(?: 0)?", r"gpl3"),
+    ("gpl-3.0", "gplv3", r"gplv3(?: 0)?", r"gplv3"),
     ("gpl", "gpl", r"gpl(?: licen[cs]e)?", r"gpl"),
     ("lgpl-2.1", "lesser", r"gnu lesser general public licen[cs]e v(?:ersion )?2 1", r"lgpl 2 1(?: only| or later)?"),
     ("lgpl-3.0", "lesser", r"gnu lesser general public licen[cs]e v(?:ersion )?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
@@ -72,7 +75,8 @@ FAMILIES = (
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r"zlib"),
     ("libpng", "libpng", r"libpng licen[cs]e(?: version 2)?", r"libpng 2 0"),
     ("openssl", "openssl", r"openssl licen[cs]e", r"openssl"),
-    ("python-2.0", "python", r"python software foundation licen[cs]e(?: version 2)?|psf licen[cs]e", r"python 2 0"),
+    ("python-2.0", "python", r"python software foundation licen[cs]e(?: version 2)?", r"python 2 0"),
+    ("python-2.0", "psf", r"psf licen[cs]e", r"psf 2 0"),
     ("php-3.01", "php", r"php licen[cs]e(?: v(?:ersion )?3(?: 01)?)?", r"php 3 01"),
     ("ruby", "ruby", r"ruby licen[cs]e", r"ruby"),
     ("w3c", "w3c", r"w3c software(?: notice and)? licen[cs]e", r"w3c"),
@@ -117,7 +121,7 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """Five signatures a family, in the order of their ranks."""
+    """Six signatures a family, in the order of their ranks; every match holds its rule's anchor and keyword as words."""
     out: list[Rule] = []
     for label, word, name, spdx in FAMILIES:
         first = spdx.split(" ")[0].split("(")[0]
@@ -125,7 +129,8 @@ def rules() -> list[Rule]:
             (_TAG, first, rf"spdx license identifier (?:{spdx})", 4, 1.0),
             ("licenses", first, rf"(?:opensource org|spdx org|choosealicense com|creativecommons org) licenses (?:{spdx})", 4, 0.95),
             (_NOTICE, word, rf"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed|offered) under (?:the )?(?:terms of )?(?:the )?(?:{name})", 3, 0.9),
-            ("license", word, rf"(?:license|licence) (?:is )?(?:the )?(?:{name})", 3, 0.8),
+            ("license", word, rf"license (?:is )?(?:the )?(?:{name})", 3, 0.8),
+            ("licence", word, rf"licence (?:is )?(?:the )?(?:{name})", 3, 0.8),
             ("", word, rf"(?:{name})", 2, 0.7),
         )
         for anchor, keyword, regex, priority, weight in shapes:

@@ -130,6 +130,56 @@ def test_license_scan(spark):
         assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, x.score) == plain_scan(texts[x.doc_id]), texts[x.doc_id]
 
 
+def matches_of(regex):
+    """Every string that a regex without repetition matches, look-arounds aside."""
+    from re import _parser
+
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                some = [chr(arg)]
+            elif op == "IN":
+                assert all(str(o) == "LITERAL" for o, _ in arg)
+                some = [chr(v) for _, v in arg]
+            elif op == "SUBPATTERN":
+                some = of(arg[3])
+            elif op == "BRANCH":
+                some = [x for branch in arg[1] for x in of(branch)]
+            elif op == "MAX_REPEAT":
+                assert (arg[0], int(arg[1])) == (0, 1)
+                some = ["", *of(arg[2])]
+            else:
+                assert op == "ASSERT"
+                some = [""]
+            out = [a + b for a in out for b in some]
+        return out
+
+    return of(_parser.parse(regex))
+
+
+def test_license_rules_hold_their_words():
+    for r in license_scan.rules():
+        for m in matches_of(r.regex):
+            assert r.keyword in m.split(" ") and (not r.anchor or r.anchor in m.split(" ")), (r, m)
+
+
+def test_license_labels_without_the_gate(spark):
+    texts = ["MIT No Attribution License", "MIT No Attribution", "released under the PSF license", "PSF licence", "under GPL2", "GPLv2 0", "GPL3 0", "License: GPL3", "Licence: MIT 0", "the licence is the Boost Software Licence", "SPDX-License-Identifier: MIT-0", "Licence: GPL v2 0", "x gpl2 license"]
+    want = []
+    for t in texts:
+        norm = f" {' '.join(re.findall('[a-z0-9]+', t.lower()))} "
+        found = [(m.start(), m.end(), r.priority, r.label, r.weight) for r in license_scan.rules() for m in re.finditer(r.regex, norm)]
+        kept = [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] >= d[2] and e[:2] != d[:2] for e in found)]
+        kept = [d for d in kept if not any(e[:2] == d[:2] and e[2] > d[2] for e in kept)]
+        want.append(({d[3] for d in kept}, max(d[4] for d in kept)))
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in license_scan.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    base = {i: {label for p, label in license_scan.BASE if f" {p} " in f" {' '.join(re.findall('[a-z0-9]+', t.lower()))} "} for i, t in enumerate(texts)}
+    assert [got[i] for i in range(len(texts))] == [(w | base[i], s) for i, (w, s) in enumerate(want)]
+    assert [got[i][0] for i in (0, 2, 4, 7)] == [{"mit-0"}, {"python-2.0"}, {"gpl-2.0"}, {"gpl-3.0"}] and got[8] == ({"mit-0"}, 0.8)
+
+
 def test_quality(spark):
     clean = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
     texts = {1: clean, 2: "short", 3: "same words here " * 40, 4: " ".join(f"w{i}###" for i in range(60)), 5: "\n".join(["a line of it"] * 3 + [f"line number {i} has words" for i in range(20)]), 6: clean.upper(), 7: None, 8: "", 9: " | ".join(clean.split()), 10: clean.replace(" ", "!! ")}
