@@ -95,7 +95,7 @@ def _prepared(width: int, with_sketch: bool):
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             sketch = pa.array([odd_sketch(x) if x is not None else None for x in lows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), node, bands, sketch], ["id", "n_shingles", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([len(s) for s in sets], pa.int64()), node, bands, sketch], ["id", "k1", "k2", "n_shingles", "node", "bands", "sketch"])
 
     return run
 
@@ -211,11 +211,13 @@ def _labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with id, n_shingles and node; node -> component node, for nodes with a confirmed link)."""
+    """(documents with id, the text's key k1 and k2, n_shingles and node; node -> component node, for nodes with a
+    confirmed link)."""
     spark = docs.sparkSession
     common.small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prepared = common.staged(source.mapInArrow(_prepared(width, True), "id long, n_shingles long, node binary, bands array<long>, sketch binary"))
+    key = common.content_key(F.col("text"))
+    prepared = common.staged(source.withColumns({"k1": key["h1"], "k2": key["h2"]}).mapInArrow(_prepared(width, True), "id long, k1 long, k2 long, n_shingles long, node binary, bands array<long>, sketch binary"))
     some = prepared.where("node is not null")
     # the parity bitmaps ride along only from here on: bucket rows are a key and a node
     buckets = some.select(F.explode("bands").alias("bucket"), "node").distinct()
@@ -252,7 +254,7 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     involved = common.staged(rows.repartition("part").sortWithinPartitions("part").mapInPandas(_involved(percent), "node binary, comp binary, n long, sketch binary, name binary").dropDuplicates(["name", "node"]))
     last = involved.join(sets, "node").repartition("name").sortWithinPartitions("name").mapInPandas(_resolved(percent), "a binary, b binary")
     links = links.unionByName(common.staged(last))
-    return prepared.select("id", "n_shingles", "node"), common.staged(common.components(links))
+    return prepared.select("id", "k1", "k2", "n_shingles", "node"), common.staged(common.components(links))
 
 
 def _targets(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -277,6 +279,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def _winners(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, w) of the classes that have copies or links: the id and key of the row that stays of the class's group."""
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    classes = rows.where("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("copies"))
+    moved = common.staged(classes.join(comps, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "node").alias("top"), "first"))
+    least = common.staged(moved.groupBy("top").agg(F.min("first").alias("w")))
+    return common.staged(moved.join(least, "top").select("node", "w"))
+
+
     """The rows of docs, all columns as they were, without those linked to a row of smaller id.
 
     Of rows that share id and shingle set, one stays.  Texts without words stay, each of them.
@@ -285,11 +296,18 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     id_at, text_at = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
     rows, comps = link_classes(plain, id_at, text_at, width, percent)
-    target = _targets(rows, comps)
-    # ids that go: those of a group other than its smallest; a repeated id keeps one row of each text
-    gone = common.staged(rows.join(target, "node").where("not (id <=> component_id)").select(F.col("id").alias("__gone")).distinct())
-    twice = rows.where("node is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__twice"))
-    left = plain.join(gone, F.col(id_at).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    linked = rows.join(_winners(rows, comps), "node")
+    stays = F.col("id").eqNullSafe(F.col("w.id")) & (F.col("k1") == F.col("w.k1")) & (F.col("k2") == F.col("w.k2"))
+    gone = common.staged(linked.where(~stays).select("id", "k1", "k2").distinct())
+    twice = common.staged(linked.where(stays).groupBy("id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    key = common.content_key(F.col(text_at).cast("string"))
+    left = plain.withColumns({"__id": F.col(id_at).cast("long"), "__k1": key["h1"], "__k2": key["h2"]})
+
+    def without(some: DataFrame, how: str) -> DataFrame:
+        same = F.col("__id").eqNullSafe(some["id"]) & (F.col("__k1") == some["k1"]) & (F.col("__k2") == some["k2"])
+        return left.join(some, same, how)
+
+    left = without(gone, "left_anti")
     if not twice.isEmpty():
-        left = left.dropDuplicates([id_at, text_at])
+        left = without(twice, "left_anti").unionByName(without(twice, "left_semi").dropDuplicates(["__id", "__k1", "__k2"]))
     return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

@@ -68,6 +68,23 @@ def test_minhash_edges(spark):
 
 
 def test_odd_sketch_estimates():
+def test_minhash_null_and_repeated_ids(spark):
+    r = random.Random(9)
+    prose = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [(3, a), (5, a + " end"), (5, b), (None, a), (None, c), (None, d), (7, e), (7, e), (None, e + " end"), (8, " "), (8, " "), (8, ""), (8, None), (None, None), (None, None)]
+    left = odd_minhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(3, a), (5, b), (None, c), (None, d), (7, e), (8, " "), (8, " "), (8, ""), (8, None), (None, None), (None, None)]
+    assert sorted(map(tuple, left), key=repr) == sorted(want, key=repr)
+
+
+def test_minhash_one_row_of_a_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    for i in (4, None):
+        left = odd_minhash.first_of_groups(spark.createDataFrame([(i, text), (i, text + " end"), (i, text.upper()), (i, "another text")], "doc_id long, text string")).collect()
+        assert len(left) == 2 and (i, "another text") in left
+
+
     r = np.random.default_rng(1)
     errors = []
     for _ in range(60):
