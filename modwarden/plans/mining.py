@@ -27,6 +27,15 @@ def toxic_terms(cleaned: Column) -> Column:
     return F.when(F.size(seed) > 0, seed).otherwise(F.array_sort(F.array_distinct(stem)))
 
 
+def turn_terms(cleaned: Column) -> Column:
+    """The toxic terms of a user's turn.  If there are none and a toxic phrase stands anywhere in it, its words of three
+    letters that are not whitelisted, sorted, or `toxic_phrase` if it has no such word."""
+    words = F.array_sort(F.array_distinct(F.filter(X.letter_words(cleaned), lambda w: (F.length(w) >= 3) & ~w.isin(*lexicon.WHITELIST))))
+    some = F.when(F.size(words) > 0, words).otherwise(_array(["toxic_phrase"]))
+    known = toxic_terms(cleaned)
+    return F.when((F.size(known) == 0) & F.lower(cleaned).rlike("|".join(TOXIC_PHRASES)), some).otherwise(known)
+
+
 def toxic_scores(rows: DataFrame, scores: list[str], predicate: list[str], least: float) -> DataFrame:
     """rows with score (greatest of the score columns, 0 at least) and toxic (greatest of the predicate's columns reaches
     `least`); a column may count in the score and not in the predicate."""
@@ -72,9 +81,10 @@ def speaker(role: Column) -> Column:
 def triplets(turns: DataFrame, is_toxic=None) -> DataFrame:
     """conv_id, turn, anchor, negative_assistant, previous_clean_user of toxic user turns that an assistant answers.
 
+    A turn is toxic if it has turn_terms(), or by is_toxic, where given.
     previous_clean_user is the last earlier user turn that is long enough and not toxic ('' if none); it stays when
     used.  The answer is the next user or assistant turn, if it is an assistant's.  Equal pairs count once."""
-    toxic = is_toxic or (lambda c: F.size(toxic_terms(c)) > 0)
+    toxic = is_toxic or (lambda c: F.size(turn_terms(c)) > 0)
     rows = turns.select("conv_id", "turn", speaker(F.col("role")).alias("role"), X.clean_context(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
     long_user = (F.col("role") == "user") & (F.length("t") >= MIN_CONTEXT)
     rows = rows.withColumn("toxic", long_user & toxic(F.col("t"))).withColumn("clean", long_user & ~F.col("toxic"))
