@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -67,7 +68,6 @@ def test_minhash_edges(spark):
     assert odd_minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_odd_sketch_estimates():
 def test_minhash_null_and_repeated_ids(spark):
     r = random.Random(9)
     prose = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
@@ -85,6 +85,7 @@ def test_minhash_one_row_of_a_group(spark):
         assert len(left) == 2 and (i, "another text") in left
 
 
+def test_odd_sketch_estimates():
     r = np.random.default_rng(1)
     errors = []
     for _ in range(60):
@@ -96,6 +97,18 @@ def test_minhash_one_row_of_a_group(spark):
     assert abs(np.mean(errors)) < 0.02 and max(map(abs, errors)) < odd_minhash.SLACK
 
 
+def test_sketch_misses_less_than_bands():
+    """The exact chance that a pair at the threshold is put below the slack: each differing sample flips two bits."""
+    n, k = odd_minhash.SAMPLES, np.arange(odd_minhash.BITS + 1)
+    p, total = np.where(k == 0, 1.0, 0.0), np.zeros(odd_minhash.BITS + 1)
+    for d in range(n + 1):
+        total += math.comb(n, d) * 0.2**d * 0.8 ** (n - d) * p
+        for _ in range(2):
+            up, down = p * (odd_minhash.BITS - k) / odd_minhash.BITS, p * k / odd_minhash.BITS
+            p = np.concatenate(([0.0], up[:-1])) + np.concatenate((down[1:], [0.0]))
+    assert total[odd_minhash.estimated(k) < 0.8 - odd_minhash.SLACK].sum() < (1 - 0.8**4) ** odd_minhash.BANDS
+
+
 def test_shingle_sets():
     assert len(shingles.shingle_set(None, 5)) == 0 and len(shingles.shingle_set("a b", 5)) == 1
     assert np.array_equal(shingles.shingle_set("A  b\tc", 2), shingles.shingle_set("a b c", 2))
