@@ -1,8 +1,9 @@
 """Packing into length buckets whose bounds minimise padding over the global histogram.
 
-Lengths round up to a fixed grid: multiples of 64 to 65,536, then 64 steps an octave.  The histogram over the grid
-has at most about 3,700 rows whatever the input, so it goes to the driver, where dynamic programming finds the
-bounds, among grid points, of least padding for the given number of buckets.  Each bucket's rows form batches of
+Lengths fall into the cells of a fixed grid: multiples of 64 to 65,536, then 64 steps an octave.  The histogram, a count
+and the greatest length of each cell, has at most about 3,700 rows whatever the input, so it goes to the driver, where
+dynamic programming finds the bounds, among those greatest lengths, of least padding for the given number of buckets.
+As rows of one cell share a bound, only they are padded without need, by less than a cell's width.  Each bucket's rows form batches of
 as many rows as fit the token budget at the bucket's bound.
 """
 
@@ -60,7 +61,8 @@ def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(length, F.lit(0)).cast("long").alias("length"))
     rows = rows.withColumn("__point", on_grid(F.col("length")))
-    seen = sorted((r["__point"], r["n"]) for r in rows.groupBy("__point").agg(F.count(F.lit(1)).alias("n")).collect())
+    most = F.greatest(F.max("length"), F.lit(1).cast("long"))
+    seen = sorted((r["most"], r["n"]) for r in rows.groupBy("__point").agg(most.alias("most"), F.count(F.lit(1)).alias("n")).collect())
     bounds = best_bounds(np.array([p for p, _ in seen], dtype=np.int64), np.array([n for _, n in seen], dtype=np.int64), buckets)
     bucket, bound = F.lit(None).cast("int"), F.lit(None).cast("long")
     for i, b in reversed(list(enumerate(bounds))):

@@ -105,6 +105,18 @@ def test_packing(spark):
     assert length_buckets.packed(docs.limit(0), F.octet_length("text")).count() == 0
 
 
+def test_bounds_are_lengths(spark):
+    lengths = [65] * 50 + [0, 1, 130, 130, 131, 7000]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    for k in (1, 2, 3, 4):
+        got = length_buckets.packed(docs, F.col("n"), buckets=k).collect()
+        some = sorted(set(lengths[:-1]) - {0, 130})
+        least = min(sum(min(b for b in (*c, 7000) if b >= n) - n for n in lengths) for c in itertools.combinations(some, min(k - 1, len(some))))
+        assert sum(x.padding for x in got) == least and all(x.padding == 0 for x in got if x.length == 65 and k > 2)
+    zero = length_buckets.packed(docs.where("n = 0"), F.col("n")).first()
+    assert (zero.length, zero.bound, zero.place) == (0, 1, 0)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
