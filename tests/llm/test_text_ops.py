@@ -191,6 +191,15 @@ def test_quality(spark):
     assert quality_cascade.report(docs.limit(0)).count() == 0
 
 
+def test_shouting_in_other_scripts(spark):
+    r = random.Random(8)
+    word = lambda first, n: "".join(chr(first + r.randrange(n)) for _ in range(6))
+    texts = [" ".join(word(first, n) for _ in range(80)) + " NATO USB" for first, n in ((0x430, 32), (0x3B1, 17), (0x621, 26))]
+    texts += [" ".join(word(65, 26) for _ in range(80)), " ".join(word(65, 26) for _ in range(80)) + " " + word(0x430, 32)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in quality_cascade.kept(docs).collect()) == [0, 1, 2]
+
+
 def test_quality_features():
     r = random.Random(6)
     for _ in range(300):
