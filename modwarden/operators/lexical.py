@@ -132,3 +132,17 @@ def contextual_phrase(text: Column, strict: Column) -> Column:
     ok = F.size(tokens).between(2, 48) & (F.size(strict) > 0) & F.exists(tokens, lambda t: _among(t, lexicon.TRIGGER_TOKENS)) & ~F.exists(tokens, lambda t: _among(t, lexicon.BAD_WORDS)) & F.forall(tokens, lambda t: _among(t, lexicon.WHITELIST) | clean_word(t))
     found = F.coalesce(*[F.when(padded.contains(f" {p} "), F.lit(p)) for p in sorted(lexicon.PHRASES)])
     return F.when(ok, found)
+
+
+def vector_candidates(text: Column, merged: Column, leet: Column, hard_separator: Column, digit: Column) -> Column:
+    """The words of a message that are compared with seed words by vector: of its first 32 candidates the first eight
+    unknown ones that are obfuscated or stand in a text with odd signs.  Long plain texts have none."""
+    short = (F.regexp_count(text, F.lit(r"(?U)\S+")) <= 8) | leet | hard_separator
+
+    def wanted(c: Column) -> Column:
+        w = c["text"]
+        unknown = ~_among(w, lexicon.BAD_WORDS) & ~_among(w, lexicon.WHITELIST) & ~clean_word(w)
+        return F.length(w).between(MIN_MATCH, X.TOKEN_MAX) & unknown & (c["obfuscated"] | leet | hard_separator | digit)
+
+    some = F.slice(F.array_distinct(F.transform(F.filter(F.slice(merged, 1, 32), wanted), lambda c: c["text"])), 1, 8)
+    return F.when(short, some).otherwise(F.array().cast("array<string>"))

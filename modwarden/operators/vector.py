@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 #: Indexed vectors in one block, and blocks searched side by side.
 BLOCK_ROWS = 8_192
+#: Categories of the indexed words that block a message by one word's vector.
+PROFANITY = ("seed_profanity", "live_trained_profanity")
 
 
 def _unit(rows: pd.Series) -> np.ndarray:

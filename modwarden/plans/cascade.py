@@ -1,4 +1,4 @@
-"""The moderation cascade as one plan: the first decisive stage gives verdict and reason."""
+"""The moderation cascade: the first decisive stage gives verdict and reason."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ def scored(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     strict = F.col("strict")
     rows = rows.withColumns(signals.surface(F.col("text"), F.col("raw")) | {"high_risk": signals.high_risk_phrase(F.col("text")), "skip": lexical.lexical_skip(strict), "phrase": lexical.contextual_phrase(F.col("text"), strict)})
     raw_hit = lexical.raw_hit(F.col("raw"), lexicon.BAD_WORDS) | lexical.raw_hit(X.normalized(F.col("text")), lexicon.BAD_WORDS)
+    rows = rows.withColumn("probes", lexical.vector_candidates(F.col("text"), F.col("merged"), F.col("leet"), F.col("hard_separator"), F.col("digit")))
     rows = rows.withColumns({"acronym": lexical.short_acronym(strict, F.col("hard_separator"), F.col("leet")), "native": raw_hit & lexical.native_valid(strict, F.col("collapsed"))})
     plain = ~F.col("native") & ~F.col("acronym") & F.col("alpha_only") & (F.size(strict) > 0)
     known = F.forall(strict, lambda c: ~c["obfuscated"] & (F.length(c["text"]) >= lexical.MIN_MATCH) & lexical.clean_word(c["text"]))
@@ -49,8 +50,13 @@ def verdicts(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, verdict, reason, decision, score and needs_semantic of each message, by the lexical stages.
 
     A lexical match that does not block ends the cascade as allowed.  needs_semantic marks the unresolved messages that
-    the vector stage would look at (see operators.vector); without vectors they are allowed.
+    the vector stage would look at; without vectors they are allowed (see semantic_verdicts).
     """
+    return _lexical(messages, id_col, text_col).drop("probes")
+
+
+def _lexical(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of verdicts() and probes, the candidates that an unresolved message is compared by."""
     rows = scored(messages, id_col, text_col)
     reason = F.when(F.col("skip"), F.lit("lexical_skip")).when(F.col("matched"), F.lit("lexical_match")).when(F.col("phrase").isNotNull(), F.lit("contextual_whitelist_phrase")).otherwise(F.lit("no_lexical_or_semantic_hit"))
     rows = rows.withColumn("reason", reason)
@@ -62,6 +68,7 @@ def verdicts(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "decision",
         F.round("score", 6).alias("score"),
         ((F.col("reason") == "no_lexical_or_semantic_hit") & F.col("gate")).alias("needs_semantic"),
+        F.when(F.col("reason") == "no_lexical_or_semantic_hit", F.col("probes")).otherwise(F.array().cast("array<string>")).alias("probes"),
     )
 
 
@@ -76,3 +83,34 @@ def with_semantic(decided: DataFrame, vectors: DataFrame, index: DataFrame, thre
     rows = decided.join(near, id_col, "left")
     hit = F.coalesce("__hit", F.lit(False))
     return rows.withColumn("verdict", F.when(hit, F.lit("block")).otherwise(F.col("verdict"))).withColumn("reason", F.when(F.col("needs_semantic"), F.lit("semantic_fallback")).otherwise(F.col("reason"))).drop("__hit")
+
+
+def with_profanity(decided: DataFrame, embed, index: DataFrame, threshold: float = 0.80, id_col: str = "doc_id") -> DataFrame:
+    """Verdicts with the stage before the fallback: an unresolved message is blocked if the vector of any of its probes
+    reaches the threshold with an indexed one of a profanity category.
+
+    index is (id, vector, category), embed gives a text's vector.  Every different probe is searched once."""
+    from modwarden.operators import vector
+
+    asked = decided.where(F.size("probes") > 0).select(F.col(id_col).alias("__id"), F.explode("probes").alias("probe"))
+    words = asked.select("probe").distinct().withColumn("id", F.xxhash64("probe"))
+    known = index.where(F.col("category").isin(*vector.PROFANITY)).select("id", "vector")
+    near = vector.top1(words.select("id", embed(F.col("probe")).alias("vector")), known, threshold).select("id")
+    hits = asked.join(words.join(near, "id", "left_semi"), "probe", "left_semi").select("__id").distinct().withColumn("__hit", F.lit(True))
+    rows = decided.join(hits, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    hit = F.coalesce("__hit", F.lit(False))
+    changed = {"verdict": F.when(hit, F.lit("block")).otherwise(F.col("verdict")), "reason": F.when(hit, F.lit("semantic_profanity")).otherwise(F.col("reason")), "needs_semantic": F.col("needs_semantic") & ~hit}
+    return rows.withColumns(changed).drop("__hit")
+
+
+def semantic_verdicts(messages: DataFrame, embed, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", profanity: float = 0.80, general: float = 0.65) -> DataFrame:
+    """verdicts() by all stages: the lexical ones, profanity by vector, and the vector fallback over the whole index.
+
+    index is (id, vector, category), embed an expression of a text's vector.  Only texts that reach a stage are embedded."""
+    from modwarden.llm import common
+
+    decided = common.staged(_lexical(messages, id_col, text_col))
+    decided = common.staged(with_profanity(decided, embed, index, profanity, id_col).drop("probes"))
+    open_ = decided.where("needs_semantic").select(F.col(id_col).alias("id"))
+    texts = messages.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(open_, "id", "left_semi")
+    return with_semantic(decided, texts.select("id", embed(F.col("text")).alias("vector")), index.select("id", "vector"), general, id_col)

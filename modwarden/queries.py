@@ -122,6 +122,13 @@ def moderation_verdicts(spark, sf_dir):
     return cascade.verdicts(read(spark, sf_dir, "documents")).select("doc_id", "verdict", "reason", "decision", "score", "needs_semantic")
 
 
+def semantic_verdicts(spark, sf_dir):
+    """All stages; the index is of the bad words, and hashed n-grams stand in for a text embedding."""
+    embed = vector.hashed_ngrams()
+    index = vector.bootstrapped(lexicon.words(spark, lexicon.BAD_WORDS)).select(F.xxhash64("text").alias("id"), embed(F.col("text")).alias("vector"), "category")
+    return cascade.semantic_verdicts(read(spark, sf_dir, "documents"), embed, index).select("doc_id", "verdict", "reason", "decision", "score", "needs_semantic")
+
+
 def verdict_summary(spark, sf_dir):
     v = cascade.verdicts(read(spark, sf_dir, "documents"))
     return v.groupBy("verdict", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -298,3 +305,6 @@ QUERIES |= {
     "distinct_offenders": _events(reports.distinct_offenders),
     "daily_activity": _events(reports.daily),
 }
+
+#: Queries without SQL: DuckDB has no CRC-32 for the stand-in's vectors; tests/test_operators.py covers them.
+WITHOUT_SQL = {"semantic_verdicts": semantic_verdicts}

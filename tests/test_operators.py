@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from modwarden import lexicon
 from modwarden.functions import distance, hashing
-from modwarden.operators import seeds, vector
+from modwarden.operators import lexical, seeds, vector
 from modwarden.plans import cascade, mining, reports
 from modwarden.sources import scans
 from modwarden.streaming import jobs
@@ -37,6 +38,42 @@ def test_cascade(spark):
     assert got[15].reason == "lexical_skip"
 
 
+def test_semantic_stages(spark):
+    texts = {1: "x.disgusting", 2: "hello friendly world", 3: "you IDIOT", 4: "i would say xdisgusting to all of you here and now", 5: "xdisgusting", 6: "clown", 7: None, 8: "q0zzlement", 9: "x_disgusting and y_pathetic", 10: "x.disgusting"}
+    docs = spark.createDataFrame([*texts.items(), (None, "x.disgusting")], "doc_id long, text string")
+    embed = vector.hashed_ngrams()
+    seeds_ = vector.bootstrapped(lexicon.words(spark, lexicon.BAD_WORDS)).select(F.xxhash64("text").alias("id"), embed(F.col("text")).alias("vector"), "category")
+    plain = {r.doc_id: r for r in cascade.verdicts(docs).collect()}
+    got = {r.doc_id: r for r in cascade.semantic_verdicts(docs, embed, seeds_).collect()}
+    assert set(got) == set(plain) and plain[1].verdict == "allow"
+    for i in (1, 9, 10, None):
+        assert (got[i].verdict, got[i].reason, got[i].needs_semantic) == ("block", "semantic_profanity", False), got[i]
+    for i in (2, 3, 4, 6, 7, 8):
+        assert got[i].reason != "semantic_profanity" and (got[i].needs_semantic or got[i] == plain[i]), got[i]
+    # only profanity categories count for a word; the fallback searches all, and only what is unresolved
+    other = cascade.semantic_verdicts(docs, embed, seeds_.withColumn("category", F.lit("general_scam"))).collect()
+    assert all(r.reason != "semantic_profanity" for r in other)
+    whole = spark.createDataFrame([(1, "send the wallet seed now")], "doc_id long, text string")
+    index = whole.select(F.col("doc_id").alias("id"), embed(F.col("text")).alias("vector"), F.lit("general_scam").alias("category"))
+    row = cascade.semantic_verdicts(whole, embed, index).first()
+    assert cascade.verdicts(whole).first().needs_semantic and (row.verdict, row.reason) == ("block", "semantic_fallback")
+
+
+def test_vector_candidates(spark):
+    word = lambda w, odd: {"text": w, "obfuscated": odd}
+    many = [word(f"word{chr(97 + i)}", True) for i in range(20)]
+    cases = [
+        ("a b", [word("abcd", True), word("abc", True), word("plain", False), word("idiot", True), word("closer", True), word("this", True)], False, ["abcd"]),
+        ("a b", [word("plain", False)], True, ["plain"]),
+        ("a b c d e f g h i", many, False, []),
+        ("a b c d e f g h", many, False, [x["text"] for x in many[:8]]),
+        ("a", [word("this", True)] * 32 + many, False, []),
+    ]
+    rows = spark.createDataFrame([(i, t, m, d) for i, (t, m, d, _) in enumerate(cases)], "i int, text string, merged array<struct<text:string,obfuscated:boolean>>, digit boolean")
+    got = rows.select("i", lexical.vector_candidates(F.col("text"), F.col("merged"), F.lit(False), F.lit(False), F.col("digit")).alias("v")).collect()
+    assert [x.v for x in sorted(got)] == [c[3] for c in cases]
+
+
 def test_top1(spark):
     r = random.Random(2)
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(60)] + [(60, None)]
@@ -92,6 +129,14 @@ def test_triplets(spark):
     assert got == [(1, 2, "you are worthless scum", "please stay polite", "a clean question here")]
 
 
+def test_triplets_by_phrase(spark):
+    turns = [(1, 0, "user", "a clean question here"), (1, 1, "user", "get lost now please"), (1, 2, "assistant", "please stay polite"), (1, 3, "user", "just shut up already"), (1, 4, "assistant", "an answer to it")]
+    got = sorted(tuple(r) for r in mining.triplets(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect())
+    assert got == [(1, 1, "get lost now please", "please stay polite", "a clean question here"), (1, 3, "just shut up already", "an answer to it", "a clean question here")]
+    texts = spark.createDataFrame([(0, "get lost now the 12"), (1, "you idiot get lost"), (2, "nothing of it"), (3, "shut up")], "i int, t string")
+    assert [r.v for r in sorted(texts.select("i", mining.turn_terms(F.col("t")).alias("v")).collect())] == [["get", "lost", "now"], ["idiot"], [], ["shut"]]
+
+
 def test_toxic_asymmetry(spark):
     rows = spark.createDataFrame([(0.1, 0.9), (0.6, 0.0)], "toxic_score double, threat double")
     got = mining.toxic_scores(rows, ["toxic_score", "threat"], ["toxic_score"], 0.5).collect()
@@ -112,11 +157,3 @@ def test_moderate_stream(spark, tmp_path):
     plain, _ = scans.commands(stream)
     jobs.moderate(plain, cascade.verdicts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted((r.doc_id, r.verdict) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "block"), (2, "allow")]
-def test_triplets_by_phrase(spark):
-    turns = [(1, 0, "user", "a clean question here"), (1, 1, "user", "get lost now please"), (1, 2, "assistant", "please stay polite"), (1, 3, "user", "just shut up already"), (1, 4, "assistant", "an answer to it")]
-    got = sorted(tuple(r) for r in mining.triplets(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect())
-    assert got == [(1, 1, "get lost now please", "please stay polite", "a clean question here"), (1, 3, "just shut up already", "an answer to it", "a clean question here")]
-    texts = spark.createDataFrame([(0, "get lost now the 12"), (1, "you idiot get lost"), (2, "nothing of it"), (3, "shut up")], "i int, t string")
-    assert [r.v for r in sorted(texts.select("i", mining.turn_terms(F.col("t")).alias("v")).collect())] == [["get", "lost", "now"], ["idiot"], [], ["shut"]]
-
-
