@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modwarden import lexicon
+from modwarden import lexicon, staging
 from modwarden.functions import hashing, signals
 from modwarden.functions import text as X
 from modwarden.operators import candidates, lexical
@@ -107,10 +107,8 @@ def semantic_verdicts(messages: DataFrame, embed, index: DataFrame, id_col: str
     """verdicts() by all stages: the lexical ones, profanity by vector, and the vector fallback over the whole index.
 
     index is (id, vector, category), embed an expression of a text's vector.  Only texts that reach a stage are embedded."""
-    from modwarden.llm import common
-
-    decided = common.staged(_lexical(messages, id_col, text_col))
-    decided = common.staged(with_profanity(decided, embed, index, profanity, id_col).drop("probes"))
+    decided = staging.staged(_lexical(messages, id_col, text_col))
+    decided = staging.staged(with_profanity(decided, embed, index, profanity, id_col).drop("probes"))
     open_ = decided.where("needs_semantic").select(F.col(id_col).alias("id"))
     texts = messages.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(open_, "id", "left_semi")
     return with_semantic(decided, texts.select("id", embed(F.col("text")).alias("vector")), index.select("id", "vector"), general, id_col)

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A folder for checkpoints or output: under spark.checkpoint.dir, which a cluster shares, or temporary if unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}" if at else tempfile.mkdtemp(prefix=name)
+from modwarden import staging
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -31,7 +25,7 @@ def violation_counts(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now and reads its result as a table."""
     spark = stream.sparkSession
-    out, checkpoint = folder(spark, "stream-out"), folder(spark, "stream-state")
+    out, checkpoint = staging.folder(spark, "stream-out"), staging.folder(spark, "stream-state")
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
