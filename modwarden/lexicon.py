@@ -1,12 +1,18 @@
-"""Project-owned word lists, as plain lists and as DataFrames.
+"""Project-owned word lists, and lexicons: what the cascade looks words up in, of these lists or of scanned tables.
 
-The lists are small and fixed, so their DataFrames may always be broadcast; lexicons read with sources.scans are joined
-without a hint and leave the choice to the optimizer's size estimate.
+The project's lists are small and fixed, so their tables may always be broadcast.  A lexicon of scanned tables is counted:
+up to BROADCAST_WORDS words it is broadcast, beyond that the joins shuffle.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from modwarden.functions import text as X
 
 # Word lists and weights that results depend on.
 TRIGGER_TOKENS = "die kill suicide yourself end rope jump wallet crypto airdrop seed scam fraud phishing btc eth usdt card cvv otp pin".split()
@@ -77,3 +83,61 @@ def bad_index(spark: SparkSession, values: list[str] | None = None) -> DataFrame
     """word, len, head, tail, skeleton, sk_len, sk_head of each bad word: the blocking keys of the fuzzy joins."""
     rows = [(w, len(w), w[0], w[-1], skeleton(w), len(skeleton(w)), skeleton(w)[0]) for w in (values or BAD_WORDS)]
     return spark.createDataFrame(rows, "word string, len int, head string, tail string, skeleton string, sk_len int, sk_head string")
+
+
+#: Up to so many words (some 100 bytes each) are sent to every executor.
+BROADCAST_WORDS = 200_000
+KINDS = ("bad", "white", "clean", "short", "aggressive", "trigger")
+
+
+@dataclass(frozen=True)
+class Weights:
+    """The decision model: weights of the signals and the bias, and the thresholds of review and block."""
+
+    weights: dict[str, float]
+    review: float
+    block: float
+
+
+SHIPPED = Weights(WEIGHTS, REVIEW_THRESHOLD, BLOCK_THRESHOLD)
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """words: word and whether it is of each of KINDS; index: the blocking keys of bad words; raw: bad words that are looked
+    for anywhere in a text; phrases: contextual phrases."""
+
+    words: DataFrame
+    index: DataFrame
+    raw: list[str]
+    phrases: list[str]
+
+
+def indexed(bad: DataFrame) -> DataFrame:
+    """word, len, head, tail, skeleton, sk_len, sk_head of each bad word: the blocking keys of the fuzzy joins."""
+    w = bad.select("word", F.length("word").alias("len"), F.substring("word", 1, 1).alias("head"), F.substring("word", -1, 1).alias("tail"), X.consonants(F.col("word")).alias("skeleton"))
+    return w.select("*", F.length("skeleton").alias("sk_len"), F.substring("skeleton", 1, 1).alias("sk_head"))
+
+
+def of_tables(tables: dict[str, DataFrame], phrases: list[str], most_raw: int = 500_000) -> Lexicon:
+    """The lexicon of one-column tables of words by kind (of KINDS; a missing kind has none; `whitelist` is white), such as
+    those of sources.scans.moderation_db.  A word that is bad or whitelisted is not clean."""
+    spark = next(iter(tables.values())).sparkSession
+    tables = {"white" if k == "whitelist" else k: t for k, t in tables.items()}
+    rows = reduce(DataFrame.unionByName, [t.select(F.col("word"), F.lit(k).alias("kind")) for k, t in tables.items()])
+    flags = {k: F.bool_or(F.col("kind") == k) for k in KINDS}
+    wide = rows.groupBy("word").agg(*[c.alias(k) for k, c in flags.items()]).withColumn("clean", F.col("clean") & ~F.col("bad") & ~F.col("white"))
+    raw = [r.word for r in tables["bad"].select("word").distinct().limit(most_raw + 1).collect()] if "bad" in tables else []
+    if len(raw) > most_raw:
+        raise ValueError(f"more than {most_raw} bad words")
+    index = indexed(tables["bad"].select("word").distinct() if "bad" in tables else words(spark, []))
+    few = wide.count() <= BROADCAST_WORDS
+    return Lexicon(F.broadcast(wide) if few else wide, F.broadcast(index) if few else index, sorted(raw), sorted(phrases))
+
+
+def project(spark: SparkSession) -> Lexicon:
+    """The lexicon of the project's own lists."""
+    lists = dict(zip(KINDS, (BAD_WORDS, WHITELIST, CLEAN_SET, SHORT_WORDS, AGGRESSIVE_SHORT, TRIGGER_TOKENS)))
+    every = sorted(set().union(*lists.values()))
+    rows = [(w, *[w in v for v in lists.values()]) for w in every]
+    return Lexicon(F.broadcast(spark.createDataFrame(rows, "word string, " + ", ".join(f"{k} boolean" for k in KINDS))), F.broadcast(bad_index(spark)), BAD_WORDS, sorted(PHRASES))

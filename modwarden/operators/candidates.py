@@ -5,7 +5,8 @@ canonical variants of obfuscated ones, and runs of short neighbouring pieces mer
 count.  The streams then join to one list of at most 128.
 
 This is an Arrow-batched UDF: a stream ends at its 128th text, which a loop can stop at, while array expressions
-would build every candidate of a long text first (and copy the array for every slice).  Nothing is shuffled.
+would build every candidate of a long text first (and copy the array for every slice).  Pieces are looked at one by one,
+so of a long text little more than those 128 is.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,12 +26,13 @@ MOST, LONGEST, SHORT, JOINED = 128, 24, 3, 5
 _DIGITS, _SYMBOLS = str.maketrans(X.DIGITS, X.DIGIT_LETTERS), str.maketrans(X.SYMBOLS, X.SYMBOL_LETTERS)
 _LOOKALIKE, _OTHER, _NOT_ALPHA = re.compile(r"[a-z@$!|+]"), re.compile(r"[^a-z0-9]+"), re.compile(r"[^A-Za-z]")
 _RUN, _TRIPLE, _AGAIN, _THRICE = re.compile(r"([zxqvjk])\1|(.)\2\2", re.S), re.compile(r"(.)\1{2,}"), re.compile(r"(.)\1+"), r"\1\1"
-#: Unicode white space, which leaves out the four separators U+001C to U+001F.
-_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
+#: A piece between Unicode white space, which leaves out the four separators U+001C to U+001F.
+_PIECE = re.compile(r"[\S\x1c-\x1f]+")
 _VOWELS = frozenset("aeiou")
 
-_LIST = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("obfuscated", T.BooleanType())]))
-_STREAMS = T.StructType([T.StructField(n, _LIST) for n in ("strict", "collapsed", "merged")])
+#: A candidate with its flag of obfuscation in each list that holds it; null where a list does not.
+CANDIDATES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.BooleanType()) for n in ("strict", "collapsed", "merged")]]))
+_RESULT = T.StructType([T.StructField("composed", T.StringType()), T.StructField("candidates", CANDIDATES)])
 
 
 def heavy(word: str) -> bool:
@@ -54,11 +56,15 @@ def looked_at(raw: str) -> tuple[tuple[str, bool], tuple[str, bool]]:
     return (word, odd or heavy(word)), (single, odd or heavy(single))
 
 
-def stream(pieces: list[tuple[str, bool]]) -> dict[str, bool]:
-    """The first MOST distinct texts of a stream with the flag each came with first."""
+def stream(text: str, side: int) -> dict[str, bool]:
+    """The first MOST distinct texts of a stream (0 compact, 1 collapsed) with the flag each came with first."""
     out: dict[str, bool] = {}
-    found = [p for p in pieces if 1 <= len(p[0]) <= LONGEST]
-    for word, odd in found:
+    found: list[tuple[str, bool]] = []
+    for m in _PIECE.finditer(text):
+        word, odd = piece = looked_at(m[0])[side]
+        if not 1 <= len(word) <= LONGEST:
+            continue
+        found.append(piece)
         if len(word) >= 2:
             out.setdefault(word, odd)
         if odd and len(out) < MOST:
@@ -96,19 +102,33 @@ def joined(strict: dict[str, bool], collapsed: dict[str, bool]) -> dict[str, boo
 
 
 def extracted(text: str | None) -> tuple[dict[str, bool], dict[str, bool], dict[str, bool]]:
-    """strict, collapsed and merged candidates of a message; a null message has none."""
-    pieces = [looked_at(p) for p in _SPACE.split(unicodedata.normalize("NFKC", text or "")) if p]
-    strict, collapsed = stream([p[0] for p in pieces]), stream([p[1] for p in pieces])
+    """strict, collapsed and merged candidates of a composed (NFKC) message; a null message has none."""
+    strict, collapsed = stream(text or "", 0), stream(text or "", 1)
     return strict, collapsed, joined(strict, collapsed)
 
 
-@F.pandas_udf(_STREAMS)
-def _extract(texts: pd.Series) -> pd.DataFrame:
-    rows = [[[{"text": w, "obfuscated": o} for w, o in s.items()] for s in extracted(t)] for t in texts]
-    return pd.DataFrame(rows, columns=["strict", "collapsed", "merged"])
+def _extract(texts: pa.Array) -> pa.Array:
+    composed, ends = [], [0]
+    word, flags = [], ([], [], [])
+    for text in texts.to_pylist():
+        whole = text if text is None or text.isascii() else unicodedata.normalize("NFKC", text)
+        composed.append(None if whole == text else whole)
+        lists = extracted(whole)
+        some = lists[0] | lists[1]  # in this order the merged list is a prefix
+        word += some
+        for own, flag in zip(lists, flags):
+            flag += map(own.get, some)
+        ends.append(len(word))
+    items = pa.StructArray.from_arrays([pa.array(word, pa.string()), *[pa.array(f, pa.bool_()) for f in flags]], ["text", "strict", "collapsed", "merged"])
+    return pa.StructArray.from_arrays([pa.array(composed, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["composed", "candidates"])
+
+
+# not deterministic to the optimizer, which would else evaluate it once for a filter on the array and once for its rows
+_extracted = F.arrow_udf(_extract, _RESULT).asNondeterministic()
 
 
 def with_candidates(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """messages with the arrays strict, collapsed and merged of the composed (NFKC) text."""
-    rows = messages.withColumn("__c", _extract(F.col(text_col)))
-    return rows.select(*messages.columns, "__c.strict", "__c.collapsed", "__c.merged")
+    """messages with composed, the text in NFKC, and candidates: see CANDIDATES.  The place of a candidate in the array is
+    its place in the strict and in the merged list."""
+    rows = messages.withColumn("__c", _extracted(F.col(text_col)))
+    return rows.select(*messages.columns, F.coalesce("__c.composed", text_col).alias("composed"), "__c.candidates")

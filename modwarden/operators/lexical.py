@@ -1,12 +1,15 @@
-"""Lexical evidence of messages: exact, fuzzy and skeleton matches of candidates against lexicons.
+"""Lexical evidence of messages: exact, fuzzy and skeleton matches of candidates against a lexicon.
 
-Candidates are exploded, joined with lexicons and aggregated by message.  The lexicon sides are small tables (broadcast
-where the caller knows their size), so the only shuffle is of one partly aggregated row a message.
+Candidates are exploded, joined with the lexicon's tables and aggregated by message, so nothing of a lexicon but the list
+of raw words and the phrases is part of a plan.  The only shuffle is of one partly aggregated row a message.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modwarden import lexicon
@@ -14,24 +17,20 @@ from modwarden.functions import distance
 from modwarden.functions import text as X
 
 MIN_MATCH = 4
+#: Raw words that one pattern may hold; more of them are looked for by an automaton.
+PATTERN_WORDS = 500
 
 
-def flags(spark: SparkSession) -> DataFrame:
-    """word with bad, white and clean, of the project's lists."""
-    every = sorted(set(lexicon.BAD_WORDS) | set(lexicon.WHITELIST) | set(lexicon.CLEAN_SET))
-    return spark.createDataFrame([(w, w in lexicon.BAD_WORDS, w in lexicon.WHITELIST, w in lexicon.CLEAN_SET) for w in every], "word string, bad boolean, white boolean, clean boolean")
-
+def exploded(rows: DataFrame, id_col: str, stream: str) -> DataFrame:
+    """One row a candidate of a stream (strict, collapsed or merged): id, pos, token, obfuscated."""
+    one = rows.select(F.col(id_col), F.posexplode("candidates").alias("pos", "c")).where(F.col(f"c.{stream}").isNotNull())
+    return one.select(id_col, "pos", F.col("c.text").alias("token"), F.col(f"c.{stream}").alias("obfuscated"))
 
-def exploded(rows: DataFrame, id_col: str, array_col: str) -> DataFrame:
-    """One row a candidate: id, pos, token, obfuscated."""
-    return rows.select(F.col(id_col), F.posexplode(array_col).alias("pos", "c")).select(id_col, "pos", F.col("c.text").alias("token"), F.col("c.obfuscated").alias("obfuscated"))
 
-
-def flagged(candidates: DataFrame, words: DataFrame) -> DataFrame:
-    """Candidates with bad, white and clean; a word that is bad or whitelisted is never clean."""
-    known = candidates.join(F.broadcast(words), candidates["token"] == words["word"], "left").drop("word")
+def flagged(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows with a token and what the lexicon says of it; a word that is bad or whitelisted is never clean."""
     off = F.lit(False)
-    known = known.withColumn("bad", F.coalesce("bad", off)).withColumn("white", F.coalesce("white", off)).withColumn("clean", F.coalesce("clean", off))
+    known = tokens.join(words, tokens["token"] == words["word"], "left").drop("word").withColumns({k: F.coalesce(k, off) for k in lexicon.KINDS})
     return known.withColumn("clean", F.col("clean") & ~F.col("bad") & ~F.col("white"))
 
 
@@ -45,104 +44,120 @@ def fuzzy_pairs(candidates: DataFrame, index: DataFrame) -> DataFrame:
     n = F.length("token")
     far = reach(F.col("token"), F.col("obfuscated"))
     eligible = (n >= MIN_MATCH) & (n <= X.TOKEN_MAX) & ~F.col("white") & ~(F.col("clean") & ~F.col("obfuscated")) & (F.col("obfuscated") | (n <= 6))
-    near = (F.substring("token", 1, 1) == F.col("b.head")) & (F.substring(F.col("token"), -1, 1) == F.col("b.tail"))
-    window = (F.col("b.len") >= F.greatest(F.lit(MIN_MATCH), n - far)) & (F.col("b.len") <= n + far)
-    return candidates.join(F.broadcast(index.select("word", "len", "head", "tail").alias("b")), near & eligible & window & distance.may_be_within(F.col("token"), F.col("b.word"), 2), "left").select(
-        candidates["*"], F.col("b.word").alias("fuzzy_word"), far.alias("far")
-    )
+    keyed = candidates.withColumns({"first": F.when(eligible, F.substring("token", 1, 1)), "final": F.when(eligible, F.substring("token", -1, 1)), "far": far})
+    near = (F.col("first") == F.col("b.head")) & (F.col("final") == F.col("b.tail"))
+    window = (F.col("b.len") >= F.greatest(F.lit(MIN_MATCH), n - F.col("far"))) & (F.col("b.len") <= n + F.col("far"))
+    pairs = keyed.join(index.select("word", "len", "head", "tail").alias("b"), near & window & distance.may_be_within(F.col("token"), F.col("b.word"), 2), "left")
+    return pairs.select(*[keyed[c] for c in candidates.columns], F.col("b.word").alias("fuzzy_word"), "far")
 
 
 def skeleton_pairs(candidates: DataFrame, index: DataFrame) -> DataFrame:
     """Candidates with the skeletons of bad words that are within one edit of their own; others keep nulls."""
     own = X.consonants(F.col("token"))
     n = F.length("token")
-    eligible = (n >= MIN_MATCH) & (n <= X.TOKEN_MAX) & F.col("obfuscated") & ~F.col("white") & ~F.col("clean") & (F.length("own") >= MIN_MATCH - 1)
+    eligible = (n >= MIN_MATCH) & (n <= X.TOKEN_MAX) & F.col("obfuscated") & ~F.col("white") & ~F.col("clean") & (F.length(own) >= MIN_MATCH - 1)
+    keyed = candidates.withColumn("own", F.when(eligible, own))
     bones = index.select("skeleton", "sk_len", "sk_head").distinct().alias("s")
-    cond = (F.substring("own", 1, 1) == F.col("s.sk_head")) & eligible & (F.col("s.sk_len") >= F.greatest(F.lit(MIN_MATCH - 1), F.length("own") - 1)) & (F.col("s.sk_len") <= F.length("own") + 1) & distance.within_one(F.col("own"), F.col("s.skeleton"))
-    left = candidates.withColumn("own", own)
-    return left.join(F.broadcast(bones), cond, "left").select(left["*"], F.col("s.skeleton").alias("skeleton")).drop("own")
-
-
-def evidence(rows: DataFrame, id_col: str, words: DataFrame, index: DataFrame, merged_col: str = "merged") -> DataFrame:
-    """Per message with a candidate of at least four letters: exact, fuzzy_strong, fuzzy_weak, skeleton, obfuscated,
-    likely_clean, min_len, short_token, long_token and matched.  An exact match leaves the later passes unset."""
-    cand = flagged(exploded(rows, id_col, merged_col).where(F.length("token") >= MIN_MATCH), words)
-    pairs = skeleton_pairs(fuzzy_pairs(cand, index), index)
-    d = distance.osa(F.when(F.col("fuzzy_word").isNotNull(), F.col("token")), F.col("fuzzy_word"))
-    pairs = pairs.withColumn("d", d)
+    size = F.col("s.sk_len").between(F.greatest(F.lit(MIN_MATCH - 1), F.length("own") - 1), F.length("own") + 1)
+    pairs = keyed.join(bones, (F.substring("own", 1, 1) == F.col("s.sk_head")) & size & distance.within_one(F.col("own"), F.col("s.skeleton")), "left")
+    return pairs.select(*[keyed[c] for c in candidates.columns], F.col("s.skeleton").alias("skeleton"))
+
+
+def evidence(rows: DataFrame, lex: lexicon.Lexicon) -> DataFrame:
+    """Messages with what the lexicon says of their candidates and tokens; the arrays and texts are dropped.
+
+    rows has candidates, tokens (an array, empty where no phrase stands), short (whether vector candidates are wanted at
+    all) and odd (the signs by which plain words are), and columns that stay, as one row a message.
+    The columns are native, acronym (any aggressive short word), acronym_odd (any of three letters, which counts
+    in a text of odd signs), skip, all_clean, phrase_ok, probes, and of candidates of at least four letters exact, fuzzy_strong,
+    fuzzy_weak, skeleton, obfuscated, likely_clean, short_token, long_token; an exact match leaves the later ones unset.
+    """
+    kept = [c for c in rows.columns if c not in ("candidates", "tokens")]
+    none = F.lit(None).cast("boolean")
+    as_item = lambda text, strict, collapsed, merged, token: F.struct(text.alias("text"), strict.alias("strict"), collapsed.alias("collapsed"), merged.alias("merged"), token.alias("token"))
+    items = F.concat(F.transform("candidates", lambda c: as_item(c["text"], c["strict"], c["collapsed"], c["merged"], F.lit(False))), F.transform("tokens", lambda t: as_item(t, none, none, none, F.lit(True))))
+    # a message is a row of its own, whatever its id
+    one = rows.withColumn("__row", F.monotonically_increasing_id()).select("__row", *kept, F.posexplode_outer(items).alias("pos", "__item"))
+    item = lambda name: F.col(f"__item.{name}")
+    # only what is looked up in the merged list of four letters on takes part in the fuzzy joins, which skip nulls
+    looked = item("merged").isNotNull() & (F.length(item("text")) >= MIN_MATCH)
+    one = one.select("__row", *kept, "pos", item("text").alias("token"), item("strict").alias("strict"), item("collapsed").alias("collapsed"), item("token").alias("is_token"), F.when(looked, item("merged")).alias("obfuscated"), item("merged").alias("merged"))
+    pairs = skeleton_pairs(fuzzy_pairs(flagged(one, lex.words), lex.index), lex.index)
+    d = F.when(F.col("fuzzy_word").isNotNull(), distance.osa(F.col("token"), F.col("fuzzy_word")))
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    seen = pairs.groupBy(id_col).agg(
-        F.min(F.length("token")).alias("min_len"),
-        some(F.col("obfuscated")).alias("obfuscated"),
-        some(F.col("bad") & ~F.col("white")).alias("exact"),
-        some(F.col("clean")).alias("likely_clean"),
-        some(F.col("d") <= 1).alias("fuzzy_strong"),
-        some((F.col("d") == 2) & (F.col("far") == 2) & F.col("obfuscated") & ~F.col("clean")).alias("fuzzy_weak"),
-        some(F.col("skeleton").isNotNull()).alias("skeleton"),
+    n, strict, bad, white, clean = F.length("token"), F.col("strict").isNotNull(), F.col("bad"), F.col("white"), F.col("clean")
+    looked = F.col("obfuscated").isNotNull()
+    short = strict & F.col("short") & ~white & n.between(2, MIN_MATCH - 1)
+    skip = strict & ~F.col("trigger") & n.between(MIN_MATCH, X.TOKEN_MAX) & (white | (~bad & ~F.col("strict") & clean))
+    probe = F.col("few") & (F.col("pos") < 32) & F.col("merged").isNotNull() & n.between(MIN_MATCH, X.TOKEN_MAX) & ~bad & ~white & ~clean & (F.col("merged") | F.col("odd"))
+    is_token = F.col("is_token")
+    seen = pairs.withColumn("d", d).groupBy("__row", *kept).agg(
+        some(strict & (n >= MIN_MATCH) & bad & ~white | F.coalesce("collapsed", F.lit(False)) & (n >= MIN_MATCH) & bad & ~white).alias("native"),
+        some(short & F.col("aggressive")).alias("acronym"),
+        some(short & (n == 3)).alias("acronym_odd"),
+        F.max(F.when(strict, F.col("pos"))).alias("__strict"),
+        some(skip).alias("__skip"),
+        some(strict & ~(~F.col("strict") & (n >= MIN_MATCH) & clean)).alias("__unclean"),
+        some(is_token & F.col("trigger")).alias("__trigger"),
+        some(is_token & (bad | ~(white | clean))).alias("__unknown"),
+        F.slice(F.transform(F.array_sort(F.collect_set(F.when(probe, F.struct("pos", "token")))), lambda p: p["token"]), 1, 8).alias("probes"),
+        F.min(F.when(looked, n)).alias("min_len"),
+        some(looked & F.col("obfuscated")).alias("obfuscated"),
+        some(looked & bad & ~white).alias("exact"),
+        some(looked & clean).alias("likely_clean"),
+        some(looked & (F.col("d") <= 1)).alias("fuzzy_strong"),
+        some(looked & (F.col("d") == 2) & (F.col("far") == 2) & F.col("obfuscated") & ~clean).alias("fuzzy_weak"),
+        some(looked & F.col("skeleton").isNotNull()).alias("skeleton"),
     )
     seen = seen.withColumns({c: F.col(c) & ~F.col("exact") for c in ("likely_clean", "fuzzy_strong", "fuzzy_weak", "skeleton")})
-    return (
-        seen.withColumn("short_token", F.col("min_len") <= MIN_MATCH + 1)
-        .withColumn("long_token", F.col("min_len").between(8, 98))
-        .withColumn("matched", F.col("exact") | F.col("fuzzy_strong") | F.col("fuzzy_weak") | F.col("skeleton"))
-    )
+    has = F.col("__strict").isNotNull()
+    seen = seen.withColumns({
+        "skip": F.coalesce(F.col("__strict") == 0, F.lit(False)) & F.col("__skip"),
+        "all_clean": has & ~F.col("__unclean"),
+        "phrase_ok": has & F.col("__trigger") & ~F.col("__unknown"),
+        "short_token": F.coalesce(F.col("min_len") <= MIN_MATCH + 1, F.lit(False)),
+        "long_token": F.coalesce(F.col("min_len").between(8, 98), F.lit(False)),
+    })
+    return seen.drop("__row", "__strict", "__skip", "__unclean", "__trigger", "__unknown", "min_len")
+
 
+@lru_cache(maxsize=4)
+def _automaton(words: tuple[str, ...]):
+    import ahocorasick
 
-def _among(word: Column, values: list[str]) -> Column:
-    return word.isin(*values) if values else F.lit(False)
+    out = ahocorasick.Automaton()
+    for w in words:
+        out.add_word(w, True)
+    out.make_automaton()
+    return out
 
 
 def raw_hit(text: Column, values: list[str]) -> Column:
     """Whether a bad word, of plain letters, stands anywhere in the text, word borders or not."""
-    return X.ascii_lower(text).rlike("|".join(values)) if values else F.lit(False)
-
-
-def native_valid(strict: Column, collapsed: Column) -> Column:
-    """Whether a candidate, strict or obfuscated collapsed, is itself a bad word."""
-    hit = lambda c: (F.length(c["text"]) >= MIN_MATCH) & _among(c["text"], lexicon.BAD_WORDS) & ~_among(c["text"], lexicon.WHITELIST)
-    return F.exists(strict, hit) | F.exists(collapsed, lambda c: c["obfuscated"] & hit(c))
+    if not values:
+        return F.lit(False)
+    low = X.ascii_lower(text)
+    if len(values) <= PATTERN_WORDS:
+        return low.rlike("|".join(values))
+    words = tuple(values)
 
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        known = _automaton(words)
+        return pa.array([t is not None and next(known.iter(t), None) is not None for t in texts.to_pylist()], pa.bool_())
 
-def short_acronym(strict: Column, hard_separator: Column, leet: Column) -> Column:
-    def hit(c: Column) -> Column:
-        w = c["text"]
-        known = F.length(w).between(2, MIN_MATCH - 1) & _among(w, lexicon.SHORT_WORDS) & ~_among(w, lexicon.WHITELIST)
-        return known & (_among(w, lexicon.AGGRESSIVE_SHORT) | ((hard_separator | leet) & (F.length(w) == 3)))
+    return found(low)
 
-    return F.exists(strict, hit)
 
+def native_valid(rows: DataFrame, id_col: str, words: DataFrame) -> DataFrame:
+    """id and valid: whether a candidate, strict or obfuscated collapsed, is itself a bad word.  Ids are distinct."""
+    one = rows.select(F.col(id_col), F.explode_outer("candidates").alias("c")).select(id_col, F.col("c.text").alias("token"), F.coalesce(F.col("c.strict").isNotNull() | F.col("c.collapsed"), F.lit(False)).alias("counts"))
+    return flagged(one, words).groupBy(id_col).agg(F.coalesce(F.bool_or(F.col("counts") & (F.length("token") >= MIN_MATCH) & F.col("bad") & ~F.col("white")), F.lit(False)).alias("valid"))
 
-def clean_word(w: Column) -> Column:
-    return _among(w, lexicon.CLEAN_SET)
 
-
-def lexical_skip(strict: Column) -> Column:
-    """Whether the only candidate is whitelisted, or clean and not obfuscated, and no trigger word."""
-    one = strict[0]
-    w = one["text"]
-    sized = F.length(w).between(MIN_MATCH, X.TOKEN_MAX)
-    ok = ~_among(w, lexicon.TRIGGER_TOKENS) & sized & (_among(w, lexicon.WHITELIST) | (~_among(w, lexicon.BAD_WORDS) & ~one["obfuscated"] & clean_word(w)))
-    return F.when(F.size(strict) == 1, ok).otherwise(F.lit(False))
-
-
-def contextual_phrase(text: Column, strict: Column) -> Column:
-    """The first known phrase in a short message of clean and whitelisted words with a trigger word, else null."""
-    tokens = X.ascii_tokens(text)
+def phrase_in(tokens: Column, phrases: list[str]) -> Column:
+    """The first of the sorted phrases that stands in 2 to 48 tokens, else null."""
     padded = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    ok = F.size(tokens).between(2, 48) & (F.size(strict) > 0) & F.exists(tokens, lambda t: _among(t, lexicon.TRIGGER_TOKENS)) & ~F.exists(tokens, lambda t: _among(t, lexicon.BAD_WORDS)) & F.forall(tokens, lambda t: _among(t, lexicon.WHITELIST) | clean_word(t))
-    found = F.coalesce(*[F.when(padded.contains(f" {p} "), F.lit(p)) for p in sorted(lexicon.PHRASES)])
-    return F.when(ok, found)
-
-
-def vector_candidates(text: Column, merged: Column, leet: Column, hard_separator: Column, digit: Column) -> Column:
-    """The words of a message that are compared with seed words by vector: of its first 32 candidates the first eight
-    unknown ones that are obfuscated or stand in a text with odd signs.  Long plain texts have none."""
-    short = (F.regexp_count(text, F.lit(r"(?U)\S+")) <= 8) | leet | hard_separator
-
-    def wanted(c: Column) -> Column:
-        w = c["text"]
-        unknown = ~_among(w, lexicon.BAD_WORDS) & ~_among(w, lexicon.WHITELIST) & ~clean_word(w)
-        return F.length(w).between(MIN_MATCH, X.TOKEN_MAX) & unknown & (c["obfuscated"] | leet | hard_separator | digit)
-
-    some = F.slice(F.array_distinct(F.transform(F.filter(F.slice(merged, 1, 32), wanted), lambda c: c["text"])), 1, 8)
-    return F.when(short, some).otherwise(F.array().cast("array<string>"))
+    known = F.array(*[F.lit(p) for p in phrases]).cast("array<string>")
+    found = F.filter(known, lambda p: padded.contains(F.concat(F.lit(" "), p, F.lit(" "))))
+    return F.when(F.size(tokens).between(2, 48) & (F.size(found) > 0), F.array_min(found))

@@ -10,54 +10,61 @@ from modwarden.functions import hashing, signals
 from modwarden.functions import text as X
 from modwarden.operators import candidates, lexical
 
-EVIDENCE = ("exact", "fuzzy_strong", "fuzzy_weak", "skeleton", "obfuscated", "likely_clean", "short_token", "long_token", "matched")
+EVIDENCE = ("exact", "fuzzy_strong", "fuzzy_weak", "skeleton", "obfuscated", "likely_clean", "short_token", "long_token")
 
 
-def scored(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Messages with signals, evidence, linear, score, decision, matched and is_profane of the lexical stages.  Ids are
-    distinct; null texts count as empty."""
-    spark = messages.sparkSession
+def scored(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex: lexicon.Lexicon | None = None, model: lexicon.Weights = lexicon.SHIPPED) -> DataFrame:
+    """Messages with signals, evidence, linear, score, decision, matched and is_profane of the lexical stages.
+
+    Each row is a message of its own; null texts count as empty.  lex is the lexicon, the project's where none is given."""
+    lex = lex or lexicon.project(messages.sparkSession)
     rows = messages.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
-    rows = candidates.with_candidates(rows, "raw").withColumn("text", X.nfkc(F.col("raw")))
-    strict = F.col("strict")
-    rows = rows.withColumns(signals.surface(F.col("text"), F.col("raw")) | {"high_risk": signals.high_risk_phrase(F.col("text")), "skip": lexical.lexical_skip(strict), "phrase": lexical.contextual_phrase(F.col("text"), strict)})
-    raw_hit = lexical.raw_hit(F.col("raw"), lexicon.BAD_WORDS) | lexical.raw_hit(X.normalized(F.col("text")), lexicon.BAD_WORDS)
-    rows = rows.withColumn("probes", lexical.vector_candidates(F.col("text"), F.col("merged"), F.col("leet"), F.col("hard_separator"), F.col("digit")))
-    rows = rows.withColumns({"acronym": lexical.short_acronym(strict, F.col("hard_separator"), F.col("leet")), "native": raw_hit & lexical.native_valid(strict, F.col("collapsed"))})
-    plain = ~F.col("native") & ~F.col("acronym") & F.col("alpha_only") & (F.size(strict) > 0)
-    known = F.forall(strict, lambda c: ~c["obfuscated"] & (F.length(c["text"]) >= lexical.MIN_MATCH) & lexical.clean_word(c["text"]))
+    rows = candidates.with_candidates(rows, "raw").withColumnRenamed("composed", "text")
+    text = F.col("text")
+    rows = rows.withColumns(signals.surface(text, F.col("raw")) | {"high_risk": signals.high_risk_phrase(text), "phrase": lexical.phrase_in(X.ascii_tokens(text), lex.phrases)})
+    hits = lexical.raw_hit(F.col("raw"), lex.raw) | lexical.raw_hit(X.normalized(text), lex.raw)
+    leet, hard = F.col("leet"), F.col("hard_separator")
     guards = {"date_like": signals.date_like, "noise": signals.numeric_noise, "code_like": signals.code_like, "math_like": signals.math_like}
-    gate = signals.fallback_gate(F.col("text"), {"leet": F.col("leet"), "hard_separator": F.col("hard_separator")})
-    rows = rows.withColumns({"no_heuristic": plain & known, "gate": gate} | {k: f(F.col("text")) for k, f in guards.items()})
-    found = lexical.evidence(rows.where(~F.col("no_heuristic")), "id", lexical.flags(spark), lexicon.bad_index(spark))
-    both = rows.drop("strict", "collapsed", "merged", "raw", "text").join(found.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    both = both.withColumns({c: F.coalesce(c, F.lit(False)) for c in EVIDENCE})
+    more = {
+        "raw_hit": hits,
+        "tokens": F.when(F.col("phrase").isNotNull(), X.ascii_tokens(text)).otherwise(F.array().cast("array<string>")),
+        "few": (F.regexp_count(text, F.lit(r"(?U)\S+")) <= 8) | leet | hard,
+        "odd": leet | hard | F.col("digit"),
+        "gate": signals.fallback_gate(text, {"leet": leet, "hard_separator": hard}),
+    }
+    rows = rows.withColumns(more | {k: f(text) for k, f in guards.items()}).drop("raw", "text")
+    both = lexical.evidence(rows, lex).drop("few", "odd")
+    both = both.withColumns({"native": F.col("native") & F.col("raw_hit"), "acronym": F.col("acronym") | (F.col("acronym_odd") & (leet | hard))}).drop("raw_hit", "acronym_odd")
+    # the heuristic is not asked about one plain clean word
+    asked = F.col("native") | F.col("acronym") | ~F.col("alpha_only") | ~F.col("all_clean")
+    both = both.withColumns({c: F.col(c) & asked for c in EVIDENCE} | {"phrase": F.when(F.col("phrase_ok"), F.col("phrase"))}).drop("phrase_ok", "all_clean")
+    both = both.withColumn("matched", F.col("exact") | F.col("fuzzy_strong") | F.col("fuzzy_weak") | F.col("skeleton"))
     guarded = ~F.col("native") & ~F.col("acronym") & F.col("matched") & (F.col("date_like") | F.col("noise") | F.col("code_like") | (F.col("math_like") & ~F.col("exact") & ~F.col("fuzzy_strong")))
     both = both.withColumn("guarded", guarded)
     both = both.withColumns({c: F.col(c) & ~F.col("guarded") for c in ("exact", "fuzzy_strong", "fuzzy_weak", "skeleton", "matched")} | {"likely_clean": F.col("likely_clean") & ~F.col("native"), "native_exact": F.col("native")})
-    linear = F.lit(lexicon.WEIGHTS["bias"])
-    for name, w in lexicon.WEIGHTS.items():
+    linear = F.lit(model.weights["bias"])
+    for name, w in model.weights.items():
         if name != "bias":
             linear = linear + F.when(F.col(name), F.lit(w)).otherwise(F.lit(0.0))
     both = both.withColumn("linear", F.when(F.col("high_risk"), F.lit(8.0)).otherwise(linear))
     both = both.withColumn("score", F.when(F.col("high_risk"), F.lit(1.0)).otherwise(hashing.sigmoid(F.col("linear"))))
     both = both.withColumn("matched", F.col("high_risk") | F.col("acronym") | F.col("native") | F.col("matched"))
-    call = F.when(~F.col("matched"), F.lit("allow")).when(F.col("high_risk") | F.col("acronym"), F.lit("block")).otherwise(hashing.decision(F.col("score"), lexicon.REVIEW_THRESHOLD, lexicon.BLOCK_THRESHOLD))
+    call = F.when(~F.col("matched"), F.lit("allow")).when(F.col("high_risk") | F.col("acronym"), F.lit("block")).otherwise(hashing.decision(F.col("score"), model.review, model.block))
     return both.withColumn("decision", call).withColumn("is_profane", F.col("decision") == "block")
 
 
-def verdicts(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verdicts(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex: lexicon.Lexicon | None = None, model: lexicon.Weights = lexicon.SHIPPED) -> DataFrame:
     """id, verdict, reason, decision, score and needs_semantic of each message, by the lexical stages.
 
     A lexical match that does not block ends the cascade as allowed.  needs_semantic marks the unresolved messages that
     the vector stage would look at; without vectors they are allowed (see semantic_verdicts).
     """
-    return _lexical(messages, id_col, text_col).drop("probes")
+    return _lexical(messages, id_col, text_col, lex, model).drop("probes")
 
 
-def _lexical(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lexical(messages: DataFrame, id_col: str, text_col: str, lex: lexicon.Lexicon | None = None, model: lexicon.Weights = lexicon.SHIPPED) -> DataFrame:
     """The columns of verdicts() and probes, the candidates that an unresolved message is compared by."""
-    rows = scored(messages, id_col, text_col)
+    rows = scored(messages, id_col, text_col, lex, model)
     reason = F.when(F.col("skip"), F.lit("lexical_skip")).when(F.col("matched"), F.lit("lexical_match")).when(F.col("phrase").isNotNull(), F.lit("contextual_whitelist_phrase")).otherwise(F.lit("no_lexical_or_semantic_hit"))
     rows = rows.withColumn("reason", reason)
     blocked = ((F.col("reason") == "lexical_match") & F.col("is_profane")) | (F.col("reason") == "contextual_whitelist_phrase")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modwarden import lexicon
+from modwarden import lexicon, staging
 from modwarden.functions import distance, hashing, signals
 from modwarden.functions import text as X
 from modwarden.operators import candidates, lexical, seeds, vector
@@ -17,8 +17,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _messages(spark, sf_dir):
+    """Documents as messages, on all cores: the work on a text is many times that of reading it."""
+    return staging.spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _docs(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", X.nfkc(F.coalesce("text", F.lit(""))).alias("text"))
+    return _messages(spark, sf_dir).select("doc_id", X.nfkc(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _mixed(spark, sf_dir):
@@ -72,7 +77,7 @@ def fallback_gate(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir):
-    return candidates.with_candidates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return candidates.with_candidates(_messages(spark, sf_dir))
 
 
 def strict_candidates(spark, sf_dir):
@@ -90,36 +95,38 @@ def exact_hits(spark, sf_dir):
 
 
 def substring_scan(spark, sf_dir):
-    rows = _extracted(spark, sf_dir).withColumn("raw_hit", lexical.raw_hit(F.col("text"), lexicon.BAD_WORDS) | lexical.raw_hit(X.normalized(F.col("text")), lexicon.BAD_WORDS))
-    return rows.where("raw_hit").select("doc_id", lexical.native_valid(F.col("strict"), F.col("collapsed")).alias("valid"))
+    lex = lexicon.project(spark)
+    rows = _extracted(spark, sf_dir)
+    hits = rows.where(lexical.raw_hit(F.coalesce("text", F.lit("")), lex.raw) | lexical.raw_hit(X.normalized(F.coalesce("composed", F.lit(""))), lex.raw))
+    return lexical.native_valid(hits, "doc_id", lex.words)
 
 
 def _tokens(spark, sf_dir):
-    return lexical.flagged(lexical.exploded(_extracted(spark, sf_dir), "doc_id", "merged"), lexical.flags(spark))
+    return lexical.flagged(lexical.exploded(_extracted(spark, sf_dir), "doc_id", "merged"), lexicon.project(spark).words)
 
 
 def fuzzy_strong(spark, sf_dir):
-    pairs = lexical.fuzzy_pairs(_tokens(spark, sf_dir), lexicon.bad_index(spark)).where("fuzzy_word is not null")
+    pairs = lexical.fuzzy_pairs(_tokens(spark, sf_dir), lexicon.project(spark).index).where("fuzzy_word is not null")
     return pairs.where(distance.within_one(F.col("token"), F.col("fuzzy_word"))).select("doc_id", "token", F.col("fuzzy_word").alias("bad_word")).distinct()
 
 
 def fuzzy_weak(spark, sf_dir):
-    pairs = lexical.fuzzy_pairs(_tokens(spark, sf_dir), lexicon.bad_index(spark)).where("fuzzy_word is not null and far = 2 and not clean")
+    pairs = lexical.fuzzy_pairs(_tokens(spark, sf_dir), lexicon.project(spark).index).where("fuzzy_word is not null and far = 2 and not clean")
     return pairs.withColumn("d", distance.osa(F.col("token"), F.col("fuzzy_word"))).where("d = 2").select("doc_id", "token", F.col("fuzzy_word").alias("bad_word")).distinct()
 
 
 def skeleton_hits(spark, sf_dir):
-    pairs = lexical.skeleton_pairs(_tokens(spark, sf_dir), lexicon.bad_index(spark)).where("skeleton is not null")
+    pairs = lexical.skeleton_pairs(_tokens(spark, sf_dir), lexicon.project(spark).index).where("skeleton is not null")
     return pairs.select("doc_id", "token", "skeleton").distinct()
 
 
 def decision_scores(spark, sf_dir):
-    rows = cascade.scored(read(spark, sf_dir, "documents"))
+    rows = cascade.scored(_messages(spark, sf_dir))
     return rows.select(F.col("id").alias("doc_id"), "matched", "is_profane", "decision", F.round("linear", 6).alias("linear"), F.round("score", 6).alias("score"))
 
 
 def moderation_verdicts(spark, sf_dir):
-    return cascade.verdicts(read(spark, sf_dir, "documents")).select("doc_id", "verdict", "reason", "decision", "score", "needs_semantic")
+    return cascade.verdicts(_messages(spark, sf_dir)).select("doc_id", "verdict", "reason", "decision", "score", "needs_semantic")
 
 
 def semantic_verdicts(spark, sf_dir):
@@ -130,18 +137,18 @@ def semantic_verdicts(spark, sf_dir):
 
 
 def verdict_summary(spark, sf_dir):
-    v = cascade.verdicts(read(spark, sf_dir, "documents"))
+    v = cascade.verdicts(_messages(spark, sf_dir))
     return v.groupBy("verdict", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def verdict_rollup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    v = cascade.verdicts(docs).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    v = cascade.verdicts(_messages(spark, sf_dir)).join(docs.select("doc_id", "source", "lang"), "doc_id")
     return v.rollup("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"))
 
 
 def label_confusion(spark, sf_dir):
-    return reports.confusion(cascade.verdicts(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
+    return reports.confusion(cascade.verdicts(_messages(spark, sf_dir)), read(spark, sf_dir, "labels"))
 
 
 def _vectors(spark, sf_dir):

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch handed to Python.  A batch ends at whichever comes first, so a batch of long texts
 #: fits a worker; a single longer text is a batch of its own.
-ARROW_ROWS, ARROW_BYTES = 2_000, 4_000_000
+ARROW_ROWS, ARROW_BYTES = 2_000, 1_000_000
+
+#: Rows of one file of a staged table whose size is known.
+FILE_ROWS = 50_000
 
 #: The folders that staged() has written and nobody has discarded, with their session.
 _kept: dict[str, SparkSession] = {}
@@ -37,13 +40,14 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there and a lost executor costs no recomputation.
 
-    The table stays until discard(), the end of a scope() around it or of the driver."""
+    The table stays until discard(), the end of a scope() around it or of the driver.  Give rows, a bound of the rows,
+    where the last step is cheap: small tables are then not scattered over as many files as a shuffle has partitions."""
     spark = df.sparkSession
     path = folder(spark, "staged")
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     _kept[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path

@@ -6,20 +6,34 @@ from pyspark.sql import functions as F
 
 from modwarden import lexicon
 from modwarden.functions import distance, hashing
-from modwarden.operators import lexical, seeds, vector
+from modwarden.operators import candidates, lexical, seeds, vector
 from modwarden.plans import cascade, mining, reports
 from modwarden.sources import scans
 from modwarden.streaming import jobs
 
 
+def aligned(a, b):
+    older, old = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            best = min(old[j] + 1, new[-1] + 1, old[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, older[j - 2] + 1)
+            new.append(best)
+        older, old = old, new
+    return old[-1]
+
+
 def test_osa(spark):
     r = random.Random(5)
-    pairs = [("".join(r.choice("abc") for _ in range(r.randint(1, 6))), "".join(r.choice("abc") for _ in range(r.randint(1, 6)))) for _ in range(400)] + [("ca", "abc"), ("abcd", "abdc")]
+    pairs = [("".join(r.choice("abc") for _ in range(r.randint(1, 6))), "".join(r.choice("abc") for _ in range(r.randint(1, 6)))) for _ in range(400)] + [("ca", "abc"), ("abcd", "abdc"), ("", "ab"), ("ab", ""), ("", "")]
     rows = spark.createDataFrame(pairs, "a string, b string")
     for x in rows.select("a", "b", distance.osa(F.col("a"), F.col("b")).alias("d"), distance.within_one(F.col("a"), F.col("b")).alias("one"), distance.may_be_within(F.col("a"), F.col("b"), 2).alias("may")).collect():
-        assert x.one == (x.d <= 1), x
+        assert x.d == aligned(x.a, x.b) and x.one == (x.d <= 1), x
         assert x.may or x.d > 2, x
-    assert distance.aligned("ca", "abc") == 3
+    assert aligned("ca", "abc") == 3
+    assert spark.createDataFrame([(None, "a")], "a string, b string").select(distance.osa(F.col("a"), F.col("b"))).first()[0] is None
 
 
 def test_hashes(spark):
@@ -60,18 +74,41 @@ def test_semantic_stages(spark):
 
 
 def test_vector_candidates(spark):
-    word = lambda w, odd: {"text": w, "obfuscated": odd}
-    many = [word(f"word{chr(97 + i)}", True) for i in range(20)]
+    """P20 over candidates as extracted, beside its rules in plain words."""
+    many = [f"word{chr(97 + i)}" for i in range(20)]
     cases = [
-        ("a b", [word("abcd", True), word("abc", True), word("plain", False), word("idiot", True), word("closer", True), word("this", True)], False, ["abcd"]),
-        ("a b", [word("plain", False)], True, ["plain"]),
-        ("a b c d e f g h i", many, False, []),
-        ("a b c d e f g h", many, False, [x["text"] for x in many[:8]]),
-        ("a", [word("this", True)] * 32 + many, False, []),
+        ("abcd, abc, plain idiot, closer, this,", ["abcd"]),  # plain is not odd; the others are short or known
+        ("plain1 2", ["plaini"]),
+        (" ".join(f"{w}," for w in many[:9]), []),
+        (" ".join(f"{w}," for w in many[:8]), many[:8]),
+        (None, []),
     ]
-    rows = spark.createDataFrame([(i, t, m, d) for i, (t, m, d, _) in enumerate(cases)], "i int, text string, merged array<struct<text:string,obfuscated:boolean>>, digit boolean")
-    got = rows.select("i", lexical.vector_candidates(F.col("text"), F.col("merged"), F.lit(False), F.lit(False), F.col("digit")).alias("v")).collect()
-    assert [x.v for x in sorted(got)] == [c[3] for c in cases]
+    rows = candidates.with_candidates(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")).drop("text")
+    t = F.coalesce("composed", F.lit(""))
+    rows = rows.withColumns({"tokens": F.array().cast("array<string>"), "few": F.regexp_count(t, F.lit(r"\S+")) <= 8, "odd": t.rlike("[0-9]")}).drop("composed")
+    got = lexical.evidence(rows, lexicon.project(spark)).select("i", "probes").collect()
+    assert [x.probes for x in sorted(got)] == [c[1] for c in cases]
+
+
+def test_scanned_lexicon_feeds_the_cascade(spark):
+    raw = spark.createDataFrame([('{"entries":[{"match":"blorple|gnasher","severity":3},{"word":["qzx"],"tags":["acronym","hate"]}],"whitelist":["gnashed"],"slangMap":{}}',)], "value string")
+    lex = lexicon.of_tables(scans.moderation_db(raw) | {"clean": lexicon.words(spark, ["hello", "there", "blorple"]), "trigger": lexicon.words(spark, ["hello"])}, ["hello there"])
+    texts = {1: "you BLORPLE", 2: "you idiot", 3: "qzx", 4: "gnashed", 5: "there", 6: "hello there", 7: "b.l.o.r.p.l.e", 8: "gnsher", 9: None}
+    docs = spark.createDataFrame([*texts.items(), (1, "repeated id"), (None, "gnasher")], "doc_id long, text string")
+    got = {(r.doc_id, r.reason): r.verdict for r in cascade.verdicts(docs, lex=lex).collect()}
+    assert len(got) == 11 and got[(1, "lexical_match")] == got[(3, "lexical_match")] == got[(7, "lexical_match")] == got[(None, "lexical_match")] == "block"
+    assert got[(2, "no_lexical_or_semantic_hit")] == got[(4, "lexical_skip")] == got[(5, "lexical_skip")] == "allow" and got[(6, "contextual_whitelist_phrase")] == "block"
+    assert (8, "lexical_match") in got and (1, "no_lexical_or_semantic_hit") in got
+
+
+def test_raw_hit_by_pattern_and_automaton(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["a THWHORER b", "trashcan", "nothing", "", None, "xidiot"])], "i int, t string")
+    words = ["whore", "idiot", "trash"]
+    one = [r.h for r in sorted(texts.select("i", lexical.raw_hit(F.col("t"), words).alias("h")).collect())]
+    monkeypatch.setattr(lexical, "PATTERN_WORDS", 1)
+    two = [r.h for r in sorted(texts.select("i", lexical.raw_hit(F.col("t"), words).alias("h")).collect())]
+    assert [bool(x) for x in one] == two == [True, True, False, False, False, True]
+    assert not texts.select(lexical.raw_hit(F.col("t"), []).alias("h")).where("h").count()
 
 
 def test_top1(spark):

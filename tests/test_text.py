@@ -64,6 +64,14 @@ def test_candidate_traps():
     assert len(candidates.extracted(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}o" for i in range(400)))[2]) == 128
 
 
+def test_candidates_of_composed_texts(spark):
+    rows = candidates.with_candidates(spark.createDataFrame([(0, "ｉｄｉｏｔ  ﬁne"), (1, None), (2, ""), (3, " ".join(f"w{i}x" for i in range(20_000)))], "i int, t string"), "t")
+    got = {r.i: r for r in rows.collect()}
+    assert got[0].composed == "idiot  fine" and [c.text for c in got[0].candidates] == ["idiot", "fine"] and got[1].composed is None and got[1].candidates == got[2].candidates == []
+    assert sum(c.strict is not None for c in got[3].candidates) == sum(c.merged is not None for c in got[3].candidates) == 128
+    assert len(candidates.looked_at("x")) == 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abiexz  .@3é", max_size=60))
 def test_candidates_hold_only_words(t):
