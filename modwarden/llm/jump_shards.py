@@ -49,7 +49,8 @@ def assigned(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
     """Per row: id, size (UTF-8 bytes of the text plus `overhead`), text_crc32, law, shard, slot and grown_shard.
 
     The law is `key`: id and shard count decide.  Slots count 0, 1, ... in a shard in order of id, then checksum,
-    then size; rows equal in all three are interchangeable.  A null text has no bytes, a null id the key 0.
+    then size; rows equal in all three are interchangeable.  A null text has no bytes, a null id the key 0.  An empty
+    table gives an empty result; other columns are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
