@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modwarden import staging
 from modwarden.llm import common
 from modwarden.llm.induced_sort import permuted_lcp, suffix_array
 from modwarden.llm.shingles import mixed, powers, word_places
@@ -261,8 +262,7 @@ def _shard(length: int, symbols: Symbols):
 
 
 def _having(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """texts with the column `wanted`, for the keys that have one; other texts do not travel."""
-    wanted = common.staged(wanted)
+    """texts with the column `wanted` of a staged table, for the keys that have one; other texts do not travel."""
     keys = wanted.select("k1", "k2")
     if wanted.count() <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
@@ -272,9 +272,11 @@ def _having(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _kinds(pieces: DataFrame) -> DataFrame:
     """The different contents of groups that hold anything repeated: whether it stands twice, one place, and whether its
     group is hot."""
-    kinds = common.staged(pieces.groupBy("grp", "content").agg(F.count(F.lit(1)).alias("places"), F.bool_or("twice").alias("twice"), F.min(F.struct("k1", "k2", "lo", "hi", "at", "anchor")).alias("one")))
+    kinds = staging.staged(pieces.groupBy("grp", "content").agg(F.count(F.lit(1)).alias("places"), F.bool_or("twice").alias("twice"), F.min(F.struct("k1", "k2", "lo", "hi", "at", "anchor")).alias("one")))
     groups = kinds.groupBy("grp").agg(F.sum("places").alias("all"), F.bool_or("twice").alias("any"), F.count(F.lit(1)).alias("contents")).where("all > 1 or any").select("grp", (F.col("contents") > HOT).alias("hot"))
-    return common.staged(kinds.join(common.staged(groups), "grp").select("grp", "content", (F.col("twice") | (F.col("places") > 1)).alias("twice"), "one", "hot"))
+    out = staging.staged(kinds.join(groups, "grp").select("grp", "content", (F.col("twice") | (F.col("places") > 1)).alias("twice"), "one", "hot"))
+    staging.discard(kinds)
+    return out
 
 
 def _resolved(texts: DataFrame, kinds: DataFrame, length: int, level: int, symbols: Symbols) -> DataFrame:
@@ -283,48 +285,58 @@ def _resolved(texts: DataFrame, kinds: DataFrame, length: int, level: int, symbo
     cold = kinds if last else kinds.where("not hot")
     total = cold.agg(F.sum(F.col("one.hi") - F.col("one.lo") + length)).first()[0] or 0
     shards = max(1, -(-int(total) // (SHARD_WORDS if symbols is WORDS else SHARD_BYTES)))
-    wanted = cold.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("grp", "content", "twice", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("wanted"))
+    wanted = staging.staged(cold.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("grp", "content", "twice", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))).alias("wanted")))
     bodies = _having(texts, wanted).mapInArrow(_merged(_contents(length, symbols)), "grp long, content long, twice boolean, body binary")
-    found = common.staged(bodies.groupBy(F.pmod(F.xxhash64("grp"), F.lit(shards)).alias("shard")).applyInPandas(_shard(length, symbols), "grp long, content long, `from` int, `to` int"))
+    found = staging.staged(bodies.groupBy(F.pmod(F.xxhash64("grp"), F.lit(shards)).alias("shard")).applyInPandas(_shard(length, symbols), "grp long, content long, `from` int, `to` int"))
+    staging.discard(wanted)
     hot = kinds.where("hot")
     if last or hot.isEmpty():
         return found
     # only different contents are cut further; their windows' verdicts come back to them as ranges
     one = F.col("one")
-    wanted = hot.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct(one["anchor"].alias("anchor"), one["at"].alias("at"), one["lo"].alias("lo"), one["hi"].alias("hi"), F.col("grp").alias("pg"), F.col("content").alias("pc"), one["lo"].alias("base"), "twice")).alias("wanted"))
-    pieces = common.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, _blocks(symbols)[level + 1], symbols)), PIECE))
-    below = _resolved(texts, _kinds(pieces), length, level + 1, symbols)
+    wanted = staging.staged(hot.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct(one["anchor"].alias("anchor"), one["at"].alias("at"), one["lo"].alias("lo"), one["hi"].alias("hi"), F.col("grp").alias("pg"), F.col("content").alias("pc"), one["lo"].alias("base"), "twice")).alias("wanted")))
+    pieces = staging.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, _blocks(symbols)[level + 1], symbols)), PIECE))
+    staging.discard(wanted)
+    kinds = _kinds(pieces)
+    below = _resolved(texts, kinds, length, level + 1, symbols)
     up = pieces.join(below, ["grp", "content"]).select(F.col("pg").alias("grp"), F.col("pc").alias("content"), (F.col("lo") - F.col("base") + F.col("from")).alias("lo"), (F.col("lo") - F.col("base") + F.col("to")).alias("hi"))
     whole = up.groupBy("grp", "content").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("raw")).select("grp", "content", F.explode(_disjoint("raw")).alias("s"))
-    return common.staged(found.unionByName(whole.select("grp", "content", F.col("s.lo").alias("from"), F.col("s.hi").alias("to"))))
+    out = staging.staged(found.unionByName(whole.select("grp", "content", F.col("s.lo").alias("from"), F.col("s.hi").alias("to"))))
+    staging.discard(found, pieces, kinds, below)
+    return out
 
 
 def repeated_spans(docs: DataFrame, text_col: str, length: int, symbols: Symbols = BYTES) -> tuple[DataFrame, DataFrame]:
     """(docs with k1, k2; per text its repeated ranges of symbols as k1, k2, spans, in order and disjoint)."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    staging.small_batches(spark)
     key = common.content_key(F.coalesce(F.col(text_col), F.lit("")))
     keyed = docs.withColumn("k1", key["h1"]).withColumn("k2", key["h2"])
     # two words take three bytes at least, as words that no space parts have three bytes each
     least = 2 * length - 1 if symbols is WORDS else length
     texts = keyed.select("k1", "k2", F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= least)
-    segments = common.staged(texts.mapInArrow(_merged(_segments(length, symbols)), SEGMENT))
+    segments = staging.staged(texts.mapInArrow(_merged(_segments(length, symbols)), SEGMENT))
     place = F.xxhash64("k1", "k2", "at")
     shared = segments.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
-    left = segments.join(common.staged(shared), "anchor", "left_semi").distinct()
-    wanted = left.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi", F.lit(0).cast("long").alias("pg"), F.lit(0).cast("long").alias("pc"), F.lit(0).alias("base"), F.lit(False).alias("twice"))).alias("wanted"))
-    pieces = common.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, _blocks(symbols)[0], symbols)), PIECE))
+    # equal texts have equal segments, of which the set keeps one; a distinct() here would bind a hot anchor to one task
+    left = segments.join(shared, "anchor", "left_semi")
+    wanted = left.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "at", "lo", "hi", F.lit(0).cast("long").alias("pg"), F.lit(0).cast("long").alias("pc"), F.lit(0).alias("base"), F.lit(False).alias("twice"))).alias("wanted"))
+    wanted = staging.staged(wanted)
+    staging.discard(segments)
+    pieces = staging.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, _blocks(symbols)[0], symbols)), PIECE))
+    staging.discard(wanted)
     kinds = _kinds(pieces)
     found = _resolved(texts, kinds, length, 0, symbols)
-    pieces = pieces.select("grp", "content", "k1", "k2", "lo")
-    spans = pieces.join(found, ["grp", "content"]).select("k1", "k2", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
+    spans = pieces.select("grp", "content", "k1", "k2", "lo").join(found, ["grp", "content"]).select("k1", "k2", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     per_text = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("raw"))
     copies = keyed.where(F.octet_length(text_col) >= least).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(text_col)).alias("size")).where("n > 1")
     if symbols is WORDS:  # words are counted in the texts that stand twice only
-        copies = _having(texts, copies.select("k1", "k2")).select("k1", "k2", _n_words(F.col("text")).alias("size")).where(F.col("size") >= length)
+        copies = _having(texts, staging.staged(copies.select("k1", "k2"))).select("k1", "k2", _n_words(F.col("text")).alias("size")).where(F.col("size") >= length)
     whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("lo"), F.col("size").cast("int").alias("hi"))).alias("whole"))
     joined = per_text.join(whole, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", _disjoint("raw")).alias("spans"))
-    return keyed, common.staged(joined)
+    out = staging.staged(joined)
+    staging.discard(pieces, kinds, found)
+    return keyed, out
 
 
 @F.pandas_udf(T.IntegerType())
@@ -359,13 +371,16 @@ def _split_join(keyed: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def cut_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """Per document: id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay.
+    """Per document: id, n_bytes, n_removed, n_spans, the SHA-256 of the bytes that stay, and `text`, what stays.
 
     Every byte covered by a string of `length` bytes that also starts elsewhere goes, first places included.
-    Null texts count as empty.  Rows that repeat another row are copies of its text.
+    Null texts count as empty, and `text` stays null.  Rows that repeat another row are copies of its text, whatever
+    their ids.  In `text` a character of which only some bytes are covered stays whole.  An empty table gives an empty
+    result; other columns are left out.
     """
-    keyed, spans = repeated_spans(docs.select(id_col, text_col), text_col, length)
-    rows = _split_join(keyed, spans).withColumn("text", F.coalesce(F.col(text_col), F.lit("")))
+    plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    keyed, spans = repeated_spans(plain, "__text", length)
+    rows = _split_join(keyed, spans).withColumn("body", F.coalesce("__text", F.lit("")))
 
     @F.pandas_udf(T.StringType())
     def digest(text: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -382,11 +397,12 @@ def cut_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["hi"] - x["lo"])
     return rows.select(
-        id_col,
-        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.col("__id").alias(id_col),
+        F.octet_length("body").cast("long").alias("n_bytes"),
         F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
-        digest("text", "spans").alias("kept_sha256"),
+        digest("body", "spans").alias("kept_sha256"),
+        _without("__text", "spans").alias("text"),
     ).withColumn("n_spans", F.greatest("n_spans", F.lit(0)))
 
 
