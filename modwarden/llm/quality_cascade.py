@@ -15,14 +15,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modwarden.llm import common
+from modwarden import staging
 
-#: Rows whose texts estimate cost and selectivity: a bounded sample, whatever the table's size.
-SAMPLE_ROWS = 400
+#: Rows whose texts estimate cost and selectivity, and partitions whose first rows they are: a bounded sample,
+#: whatever the table's size, for which the rest of the text is not read.
+SAMPLE_ROWS, SAMPLE_PARTS = 400, 32
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -84,9 +86,9 @@ class Features:
     def _n_lower(self) -> int:
         return len(re.findall("[a-z]", self.text))
 
-    def _n_other(self) -> int:
-        """Letters beyond ASCII."""
-        return 0 if self.text.isascii() else sum(1 for c in self.text if c > "\x7f" and c.isalpha())
+    def _n_beyond(self) -> int:
+        """Characters beyond ASCII."""
+        return 0 if self.text.isascii() else len(self.text) - len(self.text.encode("ascii", "ignore"))
 
     def _n_exclaim(self) -> int:
         return self.text.count("!")
@@ -109,29 +111,27 @@ RULES = (
     Rule("symbols", lambda f: 100 * f.n_symbols > 10 * f.n_words),
     Rule("duplicate_lines", lambda f: 100 * f.n_dup_lines > 30 * f.n_lines),
     Rule("letters", lambda f: 100 * f.n_lettered < 70 * f.n_words),
-    Rule("shouting", lambda f: f.n_upper > f.n_lower),
+    # A-Z must outnumber all that may be small letters: a text of another script does not go by an acronym
+    Rule("shouting", lambda f: f.n_upper > f.n_lower and f.n_upper > f.n_lower + f.n_beyond),
     Rule("exclamations", lambda f: 100 * f.n_exclaim > 30 * f.n_words),
 )
 
-#: The rules of a corpus: capitals must outnumber all other letters, those beyond ASCII too.  RULES, which op4's SQL
-#: fixes, compares with a-z only, so a text of another script goes by one acronym.
-CORPUS_RULES = tuple(Rule("shouting", lambda f: f.n_upper > f.n_lower and f.n_upper > f.n_lower + f.n_other) if r.name == "shouting" else r for r in RULES)
-
 
 def estimates(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> list[tuple[str, float, float]]:
     """(rule, seconds, rejections) of each rule on the sample, summed on the executors: one row a rule comes back."""
-    common.small_batches(docs.sparkSession)
-    total = docs.count()
-    if not total:
-        return [(r.name, 0.0, 0.0) for r in rules]
-    sample = docs.select(F.col(text_col).cast("string").alias("text"))
-    if total > SAMPLE_ROWS:
-        sample = sample.sample(min(1.0, 1.5 * SAMPLE_ROWS / total), seed=7).limit(SAMPLE_ROWS)
+    staging.small_batches(docs.sparkSession)
+    sample = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    parts = max(1, sample._jdf.rdd().getNumPartitions())
+    chosen = {i * parts // min(parts, SAMPLE_PARTS) for i in range(min(parts, SAMPLE_PARTS))}
+    each = -(-SAMPLE_ROWS // len(chosen))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        wanted = each if TaskContext.get().partitionId() in chosen else 0
+        while wanted > 0 and (frame := next(frames, None)) is not None:
             rows = []
-            for text in frame["text"]:
+            texts = frame["text"].iloc[:wanted]
+            wanted -= len(texts)
+            for text in texts:
                 for r in rules:
                     own, began = Features(text), time.perf_counter()
                     bad = r.rejects(own)
@@ -153,7 +153,7 @@ def passes(rules: tuple[Rule, ...], f: Features) -> bool:
     return not any(r.rejects(f) for r in rules)
 
 
-def kept(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE + CORPUS_RULES) -> DataFrame:
+def kept(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE + RULES) -> DataFrame:
     """The rows of docs, all columns as they were, that no rule rejects.  Null and empty texts have no words and go."""
     order = ordered(rules, estimates(docs, text_col, rules))
 
@@ -168,7 +168,11 @@ _REPORT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the base features, whether the base rules fail it, and whether the whole cascade keeps it."""
+    """Per document the base features, whether the base rules fail it, and whether the whole cascade keeps it.
+
+    A null or empty text has no words, so base_failed holds and kept does not.  Each row is judged by itself: repeated
+    rows and null ids have a row each.  An empty table gives an empty result; other columns are left out.
+    """
     order = ordered(RULES, estimates(docs, text_col, RULES))
     names = [x.split()[0] for x in _REPORT.split(", ")]
 
