@@ -14,6 +14,7 @@ the two pieces, latest first, and looks for a merge across the border that would
 from __future__ import annotations
 
 import struct
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modwarden.llm import common
+from modwarden import staging
 from modwarden.llm.shingles import mixed
 
 #: The character that stands for a space.
@@ -32,6 +33,8 @@ _FAR = np.int64(1) << 40
 CACHE_WORDS, MEMO = 500_000, 1 << 20
 #: Words of one search at a time, in characters.
 BATCH_CHARS = 200_000
+#: Words of more than LONG characters are searched in windows; a window, a multiple of all short periods, follows a run-up.
+WINDOW, RUN_UP, LONG = 10_080, 2_520, 20_160
 #: Fixed values of the public model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -123,6 +126,7 @@ class Pieces:
         self.raw_size = np.array([len(b) for b in raw], dtype=np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.words: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}
 
     def _hash(self, piece: str) -> np.uint64:
         h = 0
@@ -190,9 +194,11 @@ class Pieces:
                 self.memo_key[slot[new[clash]]] = -1
         return out
 
-    def _search(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, chars: np.ndarray, known: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
         """For words of one length (rows of code points): the piece that ends at each position, -1 for a character without
-        one, and its length."""
+        one, its length, and the merit of the path to there.
+
+        known holds these for the first `longest` positions and position 0 of rows that begin inside a word."""
         n, size = chars.shape
         most = min(self.longest, size)
         piece = np.full((most, n, size + 1), -1, dtype=np.int64)  # by length - 1 and end
@@ -209,8 +215,12 @@ class Pieces:
         step = np.ones((n, size + 1), dtype=np.int64)
         merit = np.full((n, size + 1), -np.inf)
         merit[:, 0] = 0.0
+        start = 0
+        if known is not None:
+            start = most
+            last[:, : start + 1], step[:, : start + 1], merit[:, : start + 1] = known
         lens = np.arange(1, most + 1)
-        for j in range(1, size + 1):
+        for j in range(start + 1, size + 1):
             m = min(most, j)
             cand = piece[:m, :, j].T
             before = last[:, j - lens[:m]]
@@ -237,13 +247,59 @@ class Pieces:
                 best = np.where(value[np.arange(n), best] > 0, best, 0)
             step[:, j] = best + 1
             last[:, j] = cand[np.arange(n), best]
-        return last, step
+        return last, step, merit
+
+    def _long(self, word: str) -> bytes:
+        """The ids of one word of more than LONG characters, whose search goes window by window.
+
+        What ends at a position depends on the `longest` positions before it only.  For a BPE model windows are searched
+        side by side from a run-up of their own; where a window's run-up ends with what the window before it found
+        there, the rest agrees too, and otherwise that window is searched again from what is known."""
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size, most = len(chars), self.longest
+        last, step = np.full(size + 1, -1, np.int32), np.ones(size + 1, np.int8)
+
+        def put(lo: int, found: tuple[np.ndarray, ...], row: int, frm: int) -> None:
+            """Keeps positions from `frm` of a row that begins at lo."""
+            last[lo + frm : lo + found[0].shape[1]], step[lo + frm : lo + found[0].shape[1]] = found[0][row, frm:], found[1][row, frm:]
+
+        first = self._search(chars[None, :WINDOW])
+        put(0, first, 0, 0)
+        merit = first[2][0, -most - 1 :]  # of the path, which only a unigram model goes by
+        lows = list(range(WINDOW, size, WINDOW))
+        per = max(1, BATCH_CHARS // WINDOW) if self.model == BPE else 1
+        for k in range(0, len(lows), per):
+            some = lows[k : k + per]
+            if self.model == BPE and (whole := [lo for lo in some if lo + WINDOW <= size]):
+                found = self._search(np.stack([chars[lo - RUN_UP : lo + WINDOW] for lo in whole]))
+            else:
+                found, whole = None, []
+            for i, lo in enumerate(some):
+                back = slice(lo - most, lo + 1)
+                if i < len(whole) and np.array_equal(found[0][i, RUN_UP - most : RUN_UP + 1], last[back]) and np.array_equal(found[1][i, RUN_UP - most : RUN_UP + 1], step[back]):
+                    put(lo - RUN_UP, found, i, RUN_UP + 1)
+                    continue
+                again = self._search(chars[None, lo - most : lo + WINDOW], (last[None, back], step[None, back], merit[None, :]))
+                put(lo - most, again, 0, most + 1)
+                if self.model != BPE:
+                    merit = again[2][0, -most - 1 :] - again[2][0, -1]
+        ids, ends, at = [], [], size
+        a, b = memoryview(last), memoryview(step)
+        while at > 0:
+            ids.append(a[at])
+            ends.append(at)
+            at -= b[at]
+        ids, ends = np.array(ids[::-1], dtype=np.int32), np.array(ends[::-1])
+        return self._filled(word, ids, ends) if (ids == -1).any() else ids.tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Segments words of one length and keeps their ids as bytes."""
         size = len(words[0])
+        if size > LONG:
+            self.long.update((w, self._long(w)) for w in words)
+            return
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), size)
-        last, step = self._search(chars)
+        last, step, _ = self._search(chars)
         n = len(words)
         at = np.full(n, size)
         back = []
@@ -314,19 +370,21 @@ class Pieces:
                 split.append([head, *parts] if head else parts)
             else:
                 split.append([META + p for p in parts])
+        self.long.clear()  # long words are kept for one call only
         self.learn(set().union(*map(set, split)) if split else set())
+        words = ChainMap(self.words, self.long) if self.long else self.words
         one = np.array([self.one_mark if self.one_mark is not None else self.unknown], dtype=np.int32).tobytes()
         out = []
         for parts in split:
             if META not in parts:
-                found = list(map(self.words.__getitem__, parts))
+                found = list(map(words.__getitem__, parts))
             else:
                 found, marks = [], 0
                 for p in parts:
                     if p == META:
                         marks += 1
                         continue
-                    own = self.words[p]
+                    own = words[p]
                     if marks and own[:4] == one and p[0] == META:
                         found += [self._run(marks + 1), own[4:]]
                     else:
@@ -360,7 +418,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     `path` is a model file that every executor can open.  Null and empty texts have no ids.  A text that holds the
     space mark U+2581 itself encodes it as a space, as the library does, so its round trip is false.
     """
-    common.small_batches(docs.sparkSession)
+    staging.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_at(path)
