@@ -19,22 +19,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modwarden import staging
 from modwarden.llm import common
 from modwarden.llm.shingles import mixed, shingle_set
 
 SAMPLES, BANDS, BITS = 128, 32, 512
 SLACK = 0.25
 PIVOT_ROUNDS = 2
-#: Nodes of one bucket that are compared in one task at a time.
-CHUNK = 400
+#: Nodes of one bucket that are compared in one task at a time, and shingles that these may hold, about.
+CHUNK, CHUNK_SHINGLES = 400, 4_000_000
+#: Rows that one task of a comparison takes, about.
+TASK_ROWS = 20_000
 #: Up to so many wanted rows (8 bytes each) are sent to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -89,7 +93,7 @@ def _prepared(width: int, with_sketch: bool):
             sets = [shingle_set(t, width) for t in texts]
             node = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
             if not with_sketch:
-                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "members"])
                 continue
             lows = [samples(s) if len(s) else None for s in sets]
             keys = [band_keys(x) if x is not None else np.zeros(0, np.int64) for x in lows]
@@ -120,25 +124,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(alike("sa", "sb")).select("a", "b")
 
 
-def _whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """The groups of a partition sorted by key, one at a time."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        if frame.empty:
-            continue
-        k = frame[key].to_numpy()
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        edges = [0, *cuts.tolist(), len(frame)]
-        for i, j in zip(edges, edges[1:]):
-            part = frame.iloc[i:j]
-            if held and held[0][key].iloc[0] != part[key].iloc[0]:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
 def _plausible(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs of different components whose sketches and set sizes allow a link, and their estimates."""
     bits, comp, n = _bits(group["sketch"].tolist()), group["comp"].to_numpy(), group["n"].to_numpy()
@@ -162,13 +147,13 @@ def _involved(percent: int):
 
     def run(frames):
         seen: set[bytes] = set()
-        for group in _whole_groups(frames, "part"):
+        for group in common.whole_groups(frames, "part"):
             group = group.sort_values("node")
             a, b, _ = _plausible(group, percent)
             if not len(a):
                 continue
             some = group.iloc[np.unique(np.concatenate((a, b)))]
-            name = hashlib.blake2b(b"".join(some["node"]), digest_size=16).digest()
+            name = hashlib.blake2b(some["node"].to_numpy(np.int64).tobytes(), digest_size=16).digest()
             if name not in seen:
                 seen.add(name)
                 yield some[["node", "comp", "n", "sketch"]].assign(name=name)
@@ -180,7 +165,7 @@ def _resolved(percent: int):
     """Confirmed links that join the components of a group."""
 
     def run(frames):
-        for group in _whole_groups(frames, "name"):
+        for group in common.whole_groups(frames, "name"):
             group = group.drop_duplicates("node")
             a, b, est = _plausible(group, percent)
             top = {c: c for c in pd.factorize(group["comp"])[0].tolist()}
@@ -213,27 +198,34 @@ def _labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(documents with id, the text's key k1 and k2, n_shingles and node; node -> component node, for nodes with a
-    confirmed link)."""
+    confirmed link).  Both are staged tables; what else was staged is deleted."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    staging.small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     key = common.content_key(F.col("text"))
-    prepared = common.staged(source.withColumns({"k1": key["h1"], "k2": key["h2"]}).mapInArrow(_prepared(width, True), "id long, k1 long, k2 long, n_shingles long, node binary, bands array<long>, sketch binary"))
-    some = prepared.where("node is not null")
-    # the parity bitmaps ride along only from here on: bucket rows are a key and a node
-    buckets = some.select(F.explode("bands").alias("bucket"), "node").distinct()
-    shared = common.staged(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *[F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("p"), F.col("node").alias("v")))["v"].alias(f"pivot{r}") for r in range(PIVOT_ROUNDS)]).where("size > 1"))
-    members = common.staged(buckets.join(shared, "bucket"))
-    wanted = common.staged(members.select("node").distinct())
-    nodes = common.staged(some.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).join(wanted, "node", "left_semi"))
+    prepared = staging.staged(source.withColumns({"k1": key["h1"], "k2": key["h2"]}).mapInArrow(_prepared(width, True), "id long, k1 long, k2 long, n_shingles long, node binary, bands array<long>, sketch binary"))
+    out = staging.staged(prepared.select("id", "k1", "k2", "n_shingles", "node"))
+    # a class goes by a number, which being written fixes; bucket rows are a key and a number
+    own = F.first(F.struct(F.col("n_shingles").alias("n"), "sketch", "bands")).alias("x")
+    classes = staging.staged(prepared.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), own).select(F.col("node").alias("digest"), F.monotonically_increasing_id().alias("node"), "id", "x.*"))
+    staging.discard(prepared)
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
+    pivots = [F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("p"), F.col("node").alias("v")))["v"].alias(f"pivot{r}") for r in range(PIVOT_ROUNDS)]
+    shared = staging.staged(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *pivots).where("size > 1"))
+    members = staging.staged(buckets.join(shared, "bucket"))
+    wanted = members.select("node").distinct()
+    nodes = staging.staged(classes.drop("bands").join(wanted, "node", "left_semi"))
+    names = staging.staged(classes.select("node", "digest"))
+    staging.discard(classes, shared)
     ids = nodes.select("id").distinct()
     if nodes.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = source.join(ids, source["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = common.staged(texts.select("id", "text").mapInArrow(_prepared(width, False), "node binary, members binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    sets = texts.select("id", "text").mapInArrow(_prepared(width, False), "digest binary, members binary")
+    sets = staging.staged(sets.join(nodes.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "members"))
 
-    links: DataFrame | None = None
-    comps = wanted.select("node", F.col("node").alias("component_id")).limit(0)
+    confirmed: list[DataFrame] = []
+    comps = nodes.select("node", F.col("node").alias("component_id")).limit(0)
     for r in range(PIVOT_ROUNDS):
         pairs = members.where(F.col("node") != F.col(f"pivot{r}")).select(F.col("node").alias("a"), F.col(f"pivot{r}").alias("b")).distinct()
         if r:
@@ -241,29 +233,42 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
             pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         scored = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").withColumn("est", _estimate("sa", "sb")).where(F.col("est") >= percent / 100 - SLACK)
-        best = common.staged(scored.groupBy("a").agg(F.max(F.struct("est", "b"))["b"].alias("b")))
-        found = common.staged(_confirmed(best, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        comps = common.staged(common.components(links))
+        best = staging.staged(scored.groupBy("a").agg(F.max(F.struct("est", "b"))["b"].alias("b")))
+        confirmed.append(staging.staged(_confirmed(best, sets, percent)))
+        staging.discard(best, comps)
+        comps = common.components(reduce(DataFrame.unionByName, confirmed))
 
     placed = _labelled(members.select("bucket", "node"), comps)
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    rows = placed.join(common.staged(open_), "bucket").join(nodes.select("node", "n", "sketch"), "node")
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    rows = staging.staged(placed.join(open_, "bucket").join(nodes.select("node", "n", "sketch"), "node"))
+    staging.discard(members, comps)
+    # a chunk is bounded by its nodes and, as their whole sets may follow, by what those hold
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    cut = staging.staged(rows.groupBy("bucket").agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("size")))
+    tasks = common.tasks_for(spark, cut.agg(F.sum(F.col("size") * F.col("chunks"))).first()[0] or 0, TASK_ROWS)
+    parts = rows.join(cut.drop("size"), "bucket")
     at = F.pmod(F.xxhash64("node", F.lit(99)), F.col("chunks")).cast("int")
-    rows = rows.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("part", F.xxhash64("bucket", F.least("at", "other"), F.greatest("at", "other"))).select("part", "node", "comp", "n", "sketch")
-    involved = common.staged(rows.repartition("part").sortWithinPartitions("part").mapInPandas(_involved(percent), "node binary, comp binary, n long, sketch binary, name binary").dropDuplicates(["name", "node"]))
-    last = involved.join(sets, "node").repartition("name").sortWithinPartitions("name").mapInPandas(_resolved(percent), "a binary, b binary")
-    links = links.unionByName(common.staged(last))
-    return prepared.select("id", "k1", "k2", "n_shingles", "node"), common.staged(common.components(links))
-
-
-def _targets(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """(node, component_id) of the classes that have copies or links; the others stand for themselves."""
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    moved = common.staged(classes.join(comps, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "node").alias("top"), "first"))
-    least = common.staged(moved.groupBy("top").agg(F.min("first").alias("component_id")))
-    return common.staged(moved.join(least, "top").select("node", "component_id"))
+    parts = parts.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    parts = parts.withColumn("part", F.xxhash64("bucket", F.least("at", "other"), F.greatest("at", "other"))).select("part", "node", "comp", "n", "sketch")
+    involved = parts.repartition(tasks, "part").sortWithinPartitions("part").mapInPandas(_involved(percent), "node long, comp long, n long, sketch binary, name binary")
+    involved = staging.staged(involved.dropDuplicates(["name", "node"]))
+    size = involved.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    tasks = max(common.tasks_for(spark, size["rows"], TASK_ROWS // 4), common.tasks_for(spark, size["n"] or 0, CHUNK_SHINGLES))
+    confirmed.append(staging.staged(involved.join(sets, "node").repartition(tasks, "name").sortWithinPartitions("name").mapInPandas(_resolved(percent), "a long, b long")))
+    staging.discard(rows, cut, involved, sets, nodes)
+    comps = common.components(reduce(DataFrame.unionByName, confirmed))
+    named = comps.join(names, "node").join(names.select(F.col("node").alias("component_id"), F.col("digest").alias("top")), "component_id")
+    linked = staging.staged(named.select(F.col("digest").alias("node"), F.col("top").alias("component_id")))
+    staging.discard(comps, names, *confirmed)
+    return out, linked
+
+
+def _tops(classes: DataFrame, comps: DataFrame, least: Column) -> DataFrame:
+    """Of the classes that have copies or links, (node, least): the least `first` of their components."""
+    moved = staging.staged(classes.join(comps, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "node").alias("top"), "first"))
+    out = staging.staged(moved.join(moved.groupBy("top").agg(least), "top").drop("top", "first"))
+    staging.discard(moved)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -271,23 +276,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A link holds where 100 * |intersection| >= percent * |union| of the distinct shingles of `width` words.  Texts
     without words (or null) link with nothing and stay.  Rows of equal text are linked; rows that also share their
-    id are all kept.  A null id is never the smallest id of a component that has others.
+    id are all kept.  A null id is never the smallest id of a component that has others.  An empty table gives an
+    empty result, other columns are left out.
     """
     rows, comps = link_classes(docs, id_col, text_col, width, percent)
-    target = _targets(rows, comps)
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    target = _tops(classes, comps, F.min("first").alias("component_id"))
+    staging.discard(comps)
     out = rows.join(target, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _winners(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """(node, w) of the classes that have copies or links: the id and key of the row that stays of the class's group."""
-    own = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
-    classes = rows.where("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("copies"))
-    moved = common.staged(classes.join(comps, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "node").alias("top"), "first"))
-    least = common.staged(moved.groupBy("top").agg(F.min("first").alias("w")))
-    return common.staged(moved.join(least, "top").select("node", "w"))
-
-
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they were, that stand alone, and one of each group of linked rows.
 
@@ -299,18 +298,25 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     id_at, text_at = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
     rows, comps = link_classes(plain, id_at, text_at, width, percent)
-    linked = rows.join(_winners(rows, comps), "node")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    classes = rows.where("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("copies"))
+    winners = _tops(classes, comps, F.min("first").alias("w"))
+    linked = rows.join(winners, "node")
     stays = F.col("id").eqNullSafe(F.col("w.id")) & (F.col("k1") == F.col("w.k1")) & (F.col("k2") == F.col("w.k2"))
-    gone = common.staged(linked.where(~stays).select("id", "k1", "k2").distinct())
-    twice = common.staged(linked.where(stays).groupBy("id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    # rows that go (n = 0), and those of which one of several equal ones stays
+    acts = staging.staged(linked.groupBy("id", "k1", "k2").agg(F.max(F.when(stays, F.lit(1)).otherwise(F.lit(0))).alias("stay"), F.count(F.lit(1)).alias("n")).where("stay = 0 or n > 1").select("id", "k1", "k2", "stay"))
+    staging.discard(rows, comps, winners)
     key = common.content_key(F.col(text_at).cast("string"))
     left = plain.withColumns({"__id": F.col(id_at).cast("long"), "__k1": key["h1"], "__k2": key["h2"]})
+    twice = acts.where("stay = 1")
 
-    def without(some: DataFrame, how: str) -> DataFrame:
+    def joined(some: DataFrame, n: int, how: str) -> DataFrame:
+        """Texts do not travel where the keys are few enough to be sent to them."""
+        some = F.broadcast(some) if n <= BROADCAST_ROWS else some
         same = F.col("__id").eqNullSafe(some["id"]) & (F.col("__k1") == some["k1"]) & (F.col("__k2") == some["k2"])
         return left.join(some, same, how)
 
-    left = without(gone, "left_anti")
-    if not twice.isEmpty():
-        left = without(twice, "left_anti").unionByName(without(twice, "left_semi").dropDuplicates(["__id", "__k1", "__k2"]))
-    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    out = joined(acts, acts.count(), "left_anti")
+    if n := twice.count():
+        out = out.unionByName(joined(twice, n, "left_semi").dropDuplicates(["__id", "__k1", "__k2"]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
