@@ -5,30 +5,43 @@ each group to points of the E8 lattice: the nearest of D8 and of D8 shifted by o
 runner-up.  A vector is filed under its nearest pair of points and under the pairs with the nearest
 neighbours of each.  Vectors filed together are compared by cosine in double precision.
 
-Equal vectors form a class that is compared once and counted by its size.  A cell with more than `CHUNK` classes is
-cut into chunks, and each pair of chunks is a group of its own.  A pair that meets in several cells counts in
-the least of them only.  Links are counted where they are found and never listed; only what joins
-components leaves a group.  In a dense group every pair has to be counted, so that work grows with the square of the
-group, spread over tasks of bounded size.
+1. Equal vectors form a class (a node) that is compared once and counted by its size.
+2. Cores: in a cell of `DENSE` nodes or more, nodes are compared with one pivot of the cell.  Two nodes within half the
+   threshold's angle of one vector are linked by the triangle inequality, so the links inside a core are
+   counted from its size and never looked at, however dense a group is.
+3. Cells that hold more than one core or node apart go on.  A cell of more than `CHUNK` nodes is cut into chunks: of its
+   largest core, and of the rest; pairs of chunks that hold the rest are groups.  Cells ship one byte a
+   dimension and an error bound, which leave no link out, to find the nodes that may have a link there.
+4. Only those nodes' vectors follow.  A pair that meets in several cells counts in the least of them only.  Links
+   are counted where they are found and never listed; only what joins components leaves a group.
+
+The pairs of a dense group that is wider than a core are all compared: that part grows with the square of the group,
+spread over tasks of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from modwarden import staging
 from modwarden.llm import common
-from modwarden.llm.odd_minhash import _whole_groups
 from modwarden.llm.shingles import mixed
 
 TABLES, SCALE, PROBES, SEED = 10, 1.4, 2, 11
-CHUNK = 512
+#: Nodes of one cell that a task compares at a time, and nodes from which a cell has a pivot.
+CHUNK, DENSE = 512, 16
+#: Groups of up to so many rows are compared side by side.
+SMALL = 48
+#: Rows that one task of a comparison takes, about.
+TASK_ROWS = 20_000
 
 
 def _d8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,118 +99,234 @@ def cell_keys(unit: np.ndarray, tables: int = TABLES, scale: float = SCALE, prob
     return np.stack(out, axis=1).view(np.int64)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+
+
+def _packed(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One byte a dimension, the scale of each row, and how far the row is from what the bytes say."""
+    scale = np.abs(unit).max(axis=1) / 127.0
+    small = np.rint(unit / scale[:, None]).astype(np.int8)
+    off = np.sqrt(((unit - small * scale[:, None]) ** 2).sum(axis=1))
+    return small, scale, off + 1e-9
+
+
+_PREPARED = "id long, cls binary, wide boolean, vec binary, keys array<long>, small binary, scale double, off double"
+
+
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, class digest (null where the vector links with nothing), unit vector as doubles, keys."""
+    """id; class digest, raw vector, cell keys and bytes, null where the vector links with nothing."""
     for batch in batches:
-        ids, vectors = batch.column(0), batch.column(1).to_pylist()
-        good: dict[int, list[np.ndarray]] = {}
-        places: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            if v is None or any(x is None for x in v) or not len(v):
-                continue
-            a = np.asarray(v, dtype=np.float64)
-            norm = np.sqrt((a * a).sum())
-            if not np.isfinite(a).all() or not np.isfinite(norm) or norm == 0:
+        ids, lists = batch.column(0), batch.column(1)
+        n = len(ids)
+        edge = np.asarray(lists.offsets)
+        values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+        size = np.where(np.asarray(lists.is_valid()), np.diff(edge), 0)
+        cls, vec, keys, small = ([None] * n for _ in range(4))
+        wide, scale, off = [None] * n, [None] * n, [None] * n
+        for dim in np.unique(size[size > 0]).tolist():
+            at = np.flatnonzero(size == dim)
+            m = values[edge[at][:, None] + np.arange(dim)]
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = np.sqrt((m * m).sum(axis=1))
+            good = np.isfinite(m).all(axis=1) & np.isfinite(norm) & (norm > 0)
+            at, m = at[good], m[good]
+            if not len(at):
                 continue
-            good.setdefault(len(a), []).append(a)
-            places.setdefault(len(a), []).append(i)
-        cls: list[bytes | None] = [None] * len(vectors)
-        unit: list[bytes | None] = [None] * len(vectors)
-        keys: list[list[int] | None] = [None] * len(vectors)
-        for dim, rows in good.items():
-            m = np.stack(rows)
-            u = m / np.sqrt((m * m).sum(axis=1))[:, None]
-            k = cell_keys(u).reshape(len(m), -1)
-            k = mixed(k.view(np.uint64) + np.uint64(dim)).view(np.int64)
-            for i, a, b, own in zip(places[dim], m, u, k):
-                cls[i], unit[i], keys[i] = hashlib.blake2b(a.tobytes(), digest_size=16).digest(), b.tobytes(), own
-        yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.binary()), pa.array(unit, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "cls", "unit", "keys"])
+            u = _unit(m)
+            k = mixed(cell_keys(u).reshape(len(m), -1).view(np.uint64) + np.uint64(dim)).view(np.int64)
+            b, s, o = _packed(u)
+            with np.errstate(over="ignore"):
+                thin = m.astype(np.float32)
+            big = (thin != m).any(axis=1)
+            for j, i in enumerate(at.tolist()):
+                cls[i], keys[i], small[i], scale[i], off[i] = hashlib.blake2b(m[j].tobytes(), digest_size=16).digest(), k[j], b[j].tobytes(), s[j], o[j]
+                wide[i], vec[i] = bool(big[j]), (m[j] if big[j] else thin[j]).tobytes()
+        columns = [ids, pa.array(cls, pa.binary()), pa.array(wide, pa.bool_()), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary()), pa.array(scale, pa.float64()), pa.array(off, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "cls", "wide", "vec", "keys", "small", "scale", "off"])
+
+
+def _vectors(wide, vec) -> np.ndarray:
+    """Unit vectors, one a row, of raw ones."""
+    if not any(wide):
+        return _unit(np.frombuffer(b"".join(vec), np.float32).reshape(len(vec), -1).astype(np.float64))
+    return _unit(np.stack([np.frombuffer(v, np.float64 if w else np.float32).astype(np.float64) for w, v in zip(wide, vec)]))
+
+
+def _near(v: np.ndarray, bar: Callable, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs x < y of one group (part), of different labels and, where a group is two chunks, of different ones, whose
+    products reach bar(x, y).  Small groups are compared side by side, each row with the one some rows on."""
+    part, label, at = (rows[c].to_numpy() for c in ("part", "label", "at"))
+    one = at == rows["other"].to_numpy()
+    edge = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+    size = np.diff(edge)
+    small = np.repeat(size <= SMALL, size)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, int(size[size <= SMALL].max(initial=0))):
+        i = np.flatnonzero(small[:-d] & (part[d:] == part[:-d]) & (label[d:] != label[:-d]) & (one[:-d] | (at[d:] != at[:-d])))
+        i = i[np.einsum("ij,ij->i", v[i], v[i + d]) >= bar(i, i + d)]
+        xs.append(i)
+        ys.append(i + d)
+    for lo, hi in zip(edge[:-1][size > SMALL].tolist(), edge[1:][size > SMALL].tolist()):
+        for k in range(lo, hi, 256):
+            i, j = np.arange(k, min(k + 256, hi)), np.arange(k, hi)
+            x, y = np.nonzero(v[i] @ v[j].T >= bar(i[:, None], j[None, :]))
+            x, y = i[x], j[y]
+            ok = (x < y) & (label[x] != label[y]) & (one[x] | (at[x] != at[y]))
+            xs.append(x[ok])
+            ys.append(y[ok])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _of_one_dimension(frames: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """Whole groups, many at a time, whose vectors have one length."""
+    for block in common.group_blocks(frames, "part"):
+        size = block[column].map(len)
+        for n in size.unique():
+            yield block[size == n] if (size != n).any() else block
+
+
+def _maybe(least: float):
+    """Of each group of a cell, the nodes that may be linked with one of another core."""
+
+    def run(frames):
+        for rows in _of_one_dimension(frames, "small"):
+            v = np.frombuffer(b"".join(rows["small"]), np.int8).reshape(len(rows), -1).astype(np.float32) * rows["scale"].to_numpy(np.float32)[:, None]
+            off = rows["off"].to_numpy()
+            # single precision and the bytes are off by less than what the bar is lowered by
+            hit = np.unique(np.concatenate(_near(v, lambda i, j: least - (off[i] + off[j] + off[i] * off[j] + 1e-5), rows)))
+            if len(hit):
+                yield rows.iloc[hit][["part", "cell", "node", "label", "at", "other"]]
+
+    return run
+
+
+def _counted_here(keys: np.ndarray, x: np.ndarray, y: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether a pair's `cell` is the first, by table and then by key, of the cells that rows x and y share."""
+    out = np.zeros(len(x), dtype=bool)
+    live = np.arange(len(x))
+    far = np.iinfo(np.int64).max
+    for t in range(TABLES):
+        a, b = keys[x[live], t], keys[y[live], t]
+        first = np.where(a[:, :, None] == b[:, None, :], a[:, :, None], far).min(axis=(1, 2))
+        met = first != far
+        out[live[met]] = first[met] == cell[live[met]]
+        live = live[~met]
+        if not len(live):
+            break
+    return out
 
 
 def _linked(least: float):
-    """Of each group of a cell: links counted by class, and pairs that join components (count 0)."""
+    """Of each group of a cell: links between cores counted by node, and pairs that join components (count 0)."""
 
     def run(frames):
-        counts: dict[bytes, int] = {}
-        for group in _whole_groups(frames, "part"):
-            cls = group["cls"].tolist()
-            unit = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group), -1)
-            keys = np.stack(group["keys"].to_list())
-            size = group["copies"].to_numpy()
-            at, other = group["at"].to_numpy(), group["other"].to_numpy()
-            cell, cross = group["cell"].iloc[0], bool((at != other).any())
-            top = list(range(len(group)))
-
-            def find(x):
-                while top[x] != x:
-                    top[x] = top[top[x]]
-                    x = top[x]
-                return x
+        for rows in _of_one_dimension(frames, "small"):
+            node, label, size, cell = (rows[c].to_numpy() for c in ("node", "label", "copies", "cell"))
+            keys = np.stack(rows["keys"].to_list()).reshape(len(rows), TABLES, -1)
+            x, y = _near(_vectors(rows["wide"], rows["vec"]), lambda i, j: least, rows)
+            own = np.concatenate([_counted_here(keys, x[k : k + 20_000], y[k : k + 20_000], cell[x[k : k + 20_000]]) for k in range(0, len(x), 20_000)] or [np.zeros(0, bool)])
+            x, y = x[own], y[own]
+            if not len(x):
+                continue
+            sums = np.bincount(x, weights=size[y], minlength=len(rows)) + np.bincount(y, weights=size[x], minlength=len(rows))
+            hit = np.flatnonzero(sums)
+            yield pd.DataFrame({"a": node[hit], "b": pd.array([None] * len(hit), dtype="Int64"), "n": sums[hit].astype(np.int64)})
+            top = {c: c for c in label[np.unique(np.concatenate((x, y)))].tolist()}
+
+            def find(c):
+                while top[c] != c:
+                    top[c] = top[top[c]]
+                    c = top[c]
+                return c
 
             joined = []
-            for i in range(0, len(group), 256):
-                cos = unit[i : i + 256] @ unit.T
-                a, b = np.nonzero(cos >= least)
-                a = a + i
-                ok = (a < b) & ((at[a] != at[b]) if cross else True)
-                a, b = a[ok], b[ok]
-                for k in range(0, len(a), 20_000):
-                    x, y = a[k : k + 20_000], b[k : k + 20_000]
-                    first = np.full(len(x), np.iinfo(np.int64).max)
-                    shape = (len(x), TABLES, -1)
-                    kx, ky = keys[x].reshape(shape), keys[y].reshape(shape)
-                    for t in range(TABLES):
-                        same = kx[:, t, :, None] == ky[:, t, None, :]
-                        first = np.minimum(first, np.where(same, kx[:, t, :, None], np.iinfo(np.int64).max).min(axis=(1, 2)))
-                    own = first == cell
-                    x, y = x[own], y[own]
-                    for u, v, n in ((x, y, size[y]), (y, x, size[x])):
-                        sums = np.bincount(u, weights=n, minlength=len(group)).astype(np.int64) if len(u) else np.zeros(0, np.int64)
-                        for j in np.flatnonzero(sums):
-                            counts[cls[j]] = counts.get(cls[j], 0) + int(sums[j])
-                    for u, v in zip(x.tolist(), y.tolist()):
-                        ru, rv = find(u), find(v)
-                        if ru != rv:
-                            top[max(ru, rv)] = min(ru, rv)
-                            joined.append((cls[u], cls[v], 0))
-            if joined:
-                yield pd.DataFrame(joined, columns=["a", "b", "n"])
-            if len(counts) > 50_000:
-                yield pd.DataFrame([(k, None, v) for k, v in counts.items()], columns=["a", "b", "n"])
-                counts = {}
-        if counts:
-            yield pd.DataFrame([(k, None, v) for k, v in counts.items()], columns=["a", "b", "n"])
+            for u, v in zip(x.tolist(), y.tolist()):
+                ru, rv = find(int(label[u])), find(int(label[v]))
+                if ru != rv:
+                    top[max(ru, rv)] = min(ru, rv)
+                    joined.append((int(node[u]), int(node[v]), 0))
+            yield pd.DataFrame(joined, columns=["a", "b", "n"]).astype({"b": "Int64"})
 
     return run
 
 
+def _cores(dense: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(node, label) of the nodes in cores of at least two: label is the pivot that the core lies around."""
+    half = float(np.cos(np.arccos(min(1.0, least)) / 2)) + 1e-9
+
+    @F.pandas_udf(T.BooleanType())
+    def near(w: pd.Series, a: pd.Series, x: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        same = a.map(len) * (2 - w.astype(int)) == b.map(len) * (2 - x.astype(int))
+        out = np.zeros(len(a), dtype=bool)
+        for size in a[same].map(len).mul(2 - w[same].astype(int)).unique():
+            own = np.flatnonzero(same & (a.map(len) * (2 - w.astype(int)) == size))
+            out[own] = (_vectors(w.iloc[own], a.iloc[own]) * _vectors(x.iloc[own], b.iloc[own])).sum(axis=1) >= half
+        return pd.Series(out)
+
+    pairs = dense.where("node <> pivot").select("node", "pivot").distinct()
+    side = lambda c, w, v: nodes.select(F.col("node").alias(c), F.col("wide").alias(w), F.col("vec").alias(v))
+    both = pairs.join(side("node", "w", "a"), "node").join(side("pivot", "x", "b"), "pivot").where(near("w", "a", "x", "b"))
+    # of several pivots that of least priority, which is one order for all cells, so that a dense group has few cores
+    taken = staging.staged(both.groupBy("node").agg(F.min(F.struct(F.xxhash64("pivot").alias("p"), F.col("pivot").alias("label")))["label"].alias("label")))
+    heads = taken.select("label").distinct().join(taken.select(F.col("node").alias("label")), "label", "left_anti")
+    return staging.staged(taken.unionByName(heads.select(F.col("label").alias("node"), "label")))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
     """One row per vector: id, n_links (other rows linked directly), component_id (smallest id reachable), kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing.  Vectors of
-    different dimensions are never compared.  Equal vectors are linked with each other.
+    different dimensions are never compared.  Equal vectors are linked with each other, rows that repeat another row
+    and rows with a null id included; a null id is the smallest of a component only if there is no other, and
+    component_id is then null.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark, 2_000)
+    staging.small_batches(spark)
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    prepared = common.staged(source.mapInArrow(_prepared, "id long, cls binary, unit binary, keys array<long>"))
+    prepared = staging.staged(source.mapInArrow(_prepared, _PREPARED))
     some = prepared.where("cls is not null")
-    classes = some.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
-    classes = common.staged(classes)
-    filed = some.select("cls", F.explode("keys").alias("cell")).distinct()
-    cells = common.staged(filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    members = common.staged(filed.join(cells, "cell"))
-    wanted = common.staged(members.select("cls").distinct())
-    bodies = common.staged(some.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "unit", "keys").join(classes.select("cls", "copies"), "cls"))
-    rows = members.withColumn("at", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("part", F.xxhash64("cell", F.least("at", "other"), F.greatest("at", "other"))).drop("chunks").join(bodies, "cls")
-    found = common.staged(rows.select("part", "cell", "cls", "at", "other", "unit", "keys", "copies").repartition("part").sortWithinPartitions("part").mapInPandas(_linked(least), "a binary, b binary, n long"))
-    degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("cls"), "n")
-    comps = common.components(found.where("b is not null"))
-    whole = classes.join(degree, "cls", "left").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-    whole = common.staged(whole.select("cls", "first", F.coalesce("component_id", "cls").alias("top"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")).where("n_links > 0"))
-    least_id = common.staged(whole.groupBy("top").agg(F.min("first").alias("component_id")))
-    target = common.staged(whole.join(least_id, "top").select("cls", "n_links", "component_id"))
-    out = prepared.select("id", "cls").join(target, "cls", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    body = some.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.first(F.struct("wide", "vec", "keys", "small", "scale", "off")).alias("b"))
+    # class numbers are fixed by being written
+    nodes = staging.staged(body.select(F.monotonically_increasing_id().alias("node"), "cls", "copies", "first", "b.*"))
+    filed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("cell"))
+    pivot = F.min(F.struct(F.xxhash64("node").alias("p"), F.col("node").alias("v")))["v"].alias("pivot")
+    cells = staging.staged(filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), pivot).where("n > 1"))
+    members = staging.staged(filed.join(cells, "cell"))
+    cores = _cores(members.where(F.col("n") >= DENSE), nodes, least)
+    named = staging.staged(members.select("cell", "node").join(cores, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label")))
+
+    sizes = named.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("cell").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most")).where("n > most.m")
+    whole = F.col("n") <= CHUNK
+    rest = F.when(whole, F.lit(1)).otherwise(F.ceil((F.col("n") - F.col("most.m")) / CHUNK)).cast("int")
+    core = F.when(whole, F.lit(0)).otherwise(F.ceil(F.col("most.m") / CHUNK)).cast("int")
+    open_ = staging.staged(sizes.select("cell", F.col("most.label").alias("top"), rest.alias("rest"), core.alias("core"), (F.col("n") * F.col("rest") + (F.col("n") - F.col("most.m")) * F.col("core")).alias("rows")))
+    tasks = common.tasks_for(spark, open_.agg(F.sum("rows")).first()[0] or 0, TASK_ROWS)
+    rows = named.join(open_, "cell")
+    inside = (F.col("core") > 0) & (F.col("label") == F.col("top"))
+    mix = F.xxhash64("node", F.lit(5))
+    rows = rows.withColumn("at", F.when(inside, F.col("rest") + F.pmod(mix, F.greatest("core", F.lit(1)))).otherwise(F.pmod(mix, F.col("rest"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("core")) - 1)))
+    rows = rows.withColumn("part", F.xxhash64("cell", F.least("at", "other"), F.greatest("at", "other"))).select("part", "cell", "node", "label", "at", "other")
+    shipped = rows.join(nodes.select("node", "small", "scale", "off"), "node").repartition(tasks, "part").sortWithinPartitions("part")
+    involved = staging.staged(shipped.mapInPandas(_maybe(least), "part long, cell long, node long, label long, at int, other int"))
+    tasks = common.tasks_for(spark, involved.count(), TASK_ROWS)
+    shipped = involved.join(nodes.select("node", "wide", "vec", "keys", "small", "copies"), "node").repartition(tasks, "part").sortWithinPartitions("part")
+    found = staging.staged(shipped.mapInPandas(_linked(least), "a long, b long, n long"))
+
+    degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("node"), "n")
+    sums = cores.join(nodes.select("node", "copies"), "node").groupBy("label").agg(F.sum("copies").alias("all"), F.min("node").alias("head"))
+    cored = staging.staged(cores.join(sums, "label").select("node", "all", "head"))
+    links = found.where("b is not null").select("a", "b").unionByName(cored.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    comps = common.components(links)
+    out = nodes.select("node", "cls", "first", "copies").join(degree, "node", "left").join(cored, "node", "left").join(comps, "node", "left")
+    n_links = F.coalesce("n", F.lit(0)) + F.coalesce(F.col("all"), F.col("copies")) - 1
+    out = staging.staged(out.select("cls", "first", F.coalesce("component_id", "node").alias("top"), n_links.cast("long").alias("n_links")).where("n_links > 0"))
+    least_id = staging.staged(out.groupBy("top").agg(F.min("first").alias("component_id")))
+    target = staging.staged(out.join(least_id, "top").select("cls", "n_links", "component_id"))
+    staging.discard(nodes, cells, members, cores, named, open_, involved, found, cored, comps, out, least_id)
+    final = prepared.select("id", "cls").join(target, "cls", "left")
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return final.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
