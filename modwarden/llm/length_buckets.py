@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modwarden import staging
 from modwarden.llm import common
 
 GRID_STEP, FINE_TO, OCTAVE_STEPS = 64, 65_536, 64
@@ -57,19 +58,19 @@ def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int
 
     A batch holds floor(token_budget / bound) rows; a row longer than the budget has a batch of its own and is not
     cut.  Batches fill in the order of a hash of the id, which mixes sources.  Only the last batch of a bucket may
-    be part full.  Null texts have length 0.  An empty table gives an empty result.
+    be part full.  Null texts have length 0.  An empty table gives an empty result.  Other columns are left out; rows
+    of a null or repeated id each have a place.  Lengths are computed once and written.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(length, F.lit(0)).cast("long").alias("length"))
-    rows = rows.withColumn("__point", on_grid(F.col("length")))
+    rows = staging.staged(docs.select(F.col(id_col).alias("__id"), F.coalesce(length, F.lit(0)).cast("long").alias("length")))
     most = F.greatest(F.max("length"), F.lit(1).cast("long"))
-    seen = sorted((r["most"], r["n"]) for r in rows.groupBy("__point").agg(most.alias("most"), F.count(F.lit(1)).alias("n")).collect())
+    seen = sorted((r["most"], r["n"]) for r in rows.groupBy(on_grid(F.col("length")).alias("point")).agg(most.alias("most"), F.count(F.lit(1)).alias("n")).collect())
     bounds = best_bounds(np.array([p for p, _ in seen], dtype=np.int64), np.array([n for _, n in seen], dtype=np.int64), buckets)
     bucket, bound = F.lit(None).cast("int"), F.lit(None).cast("long")
     for i, b in reversed(list(enumerate(bounds))):
         inside = F.col("length") <= b
         bucket, bound = F.when(inside, F.lit(i)).otherwise(bucket), F.when(inside, F.lit(b).cast("long")).otherwise(bound)
     rows = rows.withColumn("bucket", bucket).withColumn("bound", bound).withColumn("__mix", F.xxhash64("__id"))
-    rows = common.numbered(rows.drop("__point"), ["bucket"], "__mix", ["__id", "length"], "__slot")
+    rows = common.numbered(rows, ["bucket"], "__mix", ["__id", "length"], "__slot")
     per = F.greatest(F.floor(F.lit(token_budget) / F.col("bound")), F.lit(1)).cast("long")
     return rows.withColumn("batch_rows", per).select(
         F.col("__id").alias(id_col),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modwarden import staging
 from modwarden.llm import (
     chat_rotation,
     common,
@@ -29,7 +30,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
+    staging.small_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -51,7 +52,7 @@ def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths are UTF-8 bytes, the tokens of a byte-level model."""
+    """Lengths are UTF-8 bytes, the tokens of a model without a vocabulary; the pipeline packs by BPE tokens."""
     return length_buckets.packed(common.table(spark, sf_dir, "documents"), F.octet_length("text"))
 
 

@@ -26,7 +26,7 @@ _ODD_SPACE = re.compile(r"[\s\x1c-\x1f] | [\s\x1c-\x1f]")
 _SAFE_SPACE = re.compile(r"(?<![\s\x1c-\x1f]) (?![\s\x1c-\x1f])")
 _FAR = np.int64(1) << 40
 #: Bounds that keep memory level; they change no result.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 CHUNK_PIECES = 200_000
 
 
