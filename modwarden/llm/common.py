@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from modwarden import staging
-from modwarden.staging import small_batches, staged  # noqa: F401
 
 #: Blocks that even a small table is cut into for numbering, if it has 2,000 rows for each.
 SMALL_BLOCKS = 64

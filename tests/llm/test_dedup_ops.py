@@ -164,14 +164,14 @@ def test_suffix_dedup(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20_000)
     rows = passages(3)
     got = sorted(map(tuple, suffix_dedup.cut_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert got == plain_cut(rows, 400)
+    assert [r[:5] for r in got] == plain_cut(rows, 400)
 
 
 def test_suffix_dedup_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
     rows = passages(4)[-15:]
     got = sorted(map(tuple, suffix_dedup.cut_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert got == plain_cut(rows, 400)
+    assert [r[:5] for r in got] == plain_cut(rows, 400)
 
 
 def test_cut_texts(spark):

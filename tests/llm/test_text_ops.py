@@ -10,6 +10,8 @@ from modwarden.llm import license_scan, quality_cascade, sentencepiece_lattice,
 from modwarden.llm.queries import tokenizer_path
 
 ODD = ["", None, " ", "a" * 5000, "  x", "x  ", "<|endoftext|> a<|endoftext|>", "don't we'll I'm", "\r\n\t \u0085　é梦1٣½\x1c", "☃ ☃  ☃", "a▁b", "the the the " * 30, "MIT License mit license", "x" * 200_000]
+#: A row of every kind of trouble, for operators that judge rows by themselves.
+LONG = "x" * 1_000_000
 
 
 def random_texts(n, alphabet, seed):
@@ -49,7 +51,7 @@ def test_sentencepiece(spark):
 
     path = tokenizer_path("piece_bpe_32k.model")
     model, lib = sentencepiece_lattice.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = [t or "" for t in ODD[:-1]] + random_texts(3000, "aabbeeinthrs    \n\t▁<0x>s/é梦☃1٣½,!\r​_", 3) + ["".join(random.Random(i).choice(model.text[300:3000]) for _ in range(25)).replace("▁", " ") for i in range(500)] + [" " * n for n in range(60)]
+    texts = [t or "" for t in ODD] + random_texts(3000, "aabbeeinthrs    \n\t▁<0x>s/é梦☃1٣½,!\r​_", 3) + ["".join(random.Random(i).choice(model.text[300:3000]) for _ in range(25)).replace("▁", " ") for i in range(500)] + [" " * n for n in range(60)]
     want = lib.encode(texts)
     got = model.encode(texts)
     assert [g.tolist() for g in got] == want
@@ -58,7 +60,22 @@ def test_sentencepiece(spark):
     assert len(rows) == 63 and all(list(r.ids) == want[r.doc_id] and r.n_ids == len(r.ids) and r.round_trip == ("▁" not in texts[r.doc_id]) for r in rows if r.doc_id is not None)
 
 
-def test_sentencepiece_unigram(tmp_path):
+def test_sentencepiece_long_words(spark):
+    """Words that are searched in windows, some of which agree with their run-up and some of which do not."""
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, lib = sentencepiece_lattice.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(11)
+    texts = ["x" * 100_000, "abcdefghijk" * 4000, "".join(r.choice("abcdeéßж01+/") for _ in range(60_000)), "".join(r.choice(["the", "ing", "tion", "ab", "e"]) for _ in range(25_000)) + " end", "=" * 45_001, "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(21_000))]
+    assert [g.tolist() for g in model.encode(texts)] == [lib.encode(t) for t in texts]
+    docs = spark.createDataFrame([(1, "y" * 10_000_000, "c"), (2, "a b", "c")], "doc_id long, text string, ids string")
+    rows = {x.doc_id: x for x in sentencepiece_lattice.encoded(docs, path).select("doc_id", "n_ids", "round_trip").collect()}
+    assert rows[1].n_ids == len(lib.encode("y" * 10_000_000)) and rows[1].round_trip and rows[2].n_ids == 2
+    assert sentencepiece_lattice.encoded(docs.limit(0), path).count() == 0
+
+
+def test_sentencepiece_unigram(tmp_path, monkeypatch):
     """The same pieces as a unigram model: the kind of model is one byte of the file."""
     import sentencepiece
 
@@ -90,6 +107,12 @@ def test_sentencepiece_unigram(tmp_path):
             return top[-1]
 
         assert model.score[ids].sum() == pytest.approx(sum(best("▁" + w) for w in text.split(" ")))
+    long = "".join(random.Random(3).choice(["the", "cat", "sat", "x"]) for _ in range(200))
+    want = model.encode([long])[0]
+    for name, n in (("LONG", 90), ("WINDOW", 60), ("RUN_UP", 40)):
+        monkeypatch.setattr(sentencepiece_lattice, name, n)
+    again = sentencepiece_lattice.Pieces(flipped).encode([long])[0]
+    assert model.score[again].sum() == pytest.approx(model.score[want].sum()) and model.decode(again) == long
 
 
 def plain_scan(text):
@@ -117,7 +140,7 @@ def plain_scan(text):
 
 
 def test_license_scan(spark):
-    texts = ODD[:-1] + [
+    texts = ODD + [
         "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3 or later", "GNU Lesser General Public License v2.1 or GPL",
         "SPDX-License-Identifier: GPL-2.0-only\nMIT LICENSE", "Licensed under CC BY-NC 4.0.", "der mit lizenz", "MIT licenses Apache License", "é mit license mit license", "public domain; licensed under the BSD 3-Clause license", "K mit license", "BSD License " * 50,
     ]
@@ -125,9 +148,12 @@ def test_license_scan(spark):
     r = random.Random(4)
     texts += [" ".join(r.choice(["released under the", "mit", "license", "apache", "2 0", "gnu", "general public license", "spdx license identifier", "gpl", "x", "cc by nc", "lesser"]) for _ in range(r.randint(1, 14))) for _ in range(150)]
     assert len(license_scan.rules()) >= 200 and all(re.compile(n) for n in names)
-    rows = license_scan.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    rows = license_scan.scanned(table(spark, texts)).collect()
+    assert len(rows) == len(texts) + 3 and [x.n_words for x in rows if x.doc_id is None] == [2]
     for x in rows:
-        assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, x.score) == plain_scan(texts[x.doc_id]), texts[x.doc_id]
+        if x.doc_id is not None:
+            assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, x.score) == plain_scan(texts[x.doc_id]), texts[x.doc_id]
+    assert license_scan.scanned(table(spark, texts).limit(0)).count() == 0
 
 
 def matches_of(regex):
@@ -161,12 +187,13 @@ def matches_of(regex):
 
 def test_license_rules_hold_their_words():
     for r in license_scan.rules():
-        for m in matches_of(r.regex):
+        # what stands for a name holds none of a rule's words
+        for m in matches_of(r.regex.replace(license_scan._NAME, "name ").replace("[0-9 ]{1,5}", "3 0")):
             assert r.keyword in m.split(" ") and (not r.anchor or r.anchor in m.split(" ")), (r, m)
 
 
 def test_license_labels_without_the_gate(spark):
-    texts = ["MIT No Attribution License", "MIT No Attribution", "released under the PSF license", "PSF licence", "under GPL2", "GPLv2 0", "GPL3 0", "License: GPL3", "Licence: MIT 0", "the licence is the Boost Software Licence", "SPDX-License-Identifier: MIT-0", "Licence: GPL v2 0", "x gpl2 license"]
+    texts = ["MIT No Attribution License", "MIT No Attribution", "released under the PSF license", "PSF licence", "under GPL2", "GPLv2 0", "GPL3 0", "License: GPL3", "Licence: MIT 0", "the licence is the Boost Software Licence", "SPDX-License-Identifier: MIT-0", "Licence: GPL v2 0", "x gpl2 license", "Licence: Apache Licence 2.0", "released under the MIT No Attribution License", "covered by the PSF License", "this is gpl2 code"]
     want = []
     for t in texts:
         norm = f" {' '.join(re.findall('[a-z0-9]+', t.lower()))} "
@@ -178,17 +205,47 @@ def test_license_labels_without_the_gate(spark):
     base = {i: {label for p, label in license_scan.BASE if f" {p} " in f" {' '.join(re.findall('[a-z0-9]+', t.lower()))} "} for i, t in enumerate(texts)}
     assert [got[i] for i in range(len(texts))] == [(w | base[i], s) for i, (w, s) in enumerate(want)]
     assert [got[i][0] for i in (0, 2, 4, 7)] == [{"mit-0"}, {"python-2.0"}, {"gpl-2.0"}, {"gpl-3.0"}] and got[8] == ({"mit-0"}, 0.8)
+    assert [got[i] for i in (13, 14, 15, 16)] == [({"apache-2.0"}, 0.8), ({"mit-0"}, 0.9), ({"python-2.0"}, 0.7), ({"gpl-2.0"}, 0.7)]
+
+
+def test_license_every_rule_is_found_through_the_gate(spark):
+    """A text made of each rule's shortest and longest match has, through the gate, a detection there of its priority or more."""
+    texts, rules = [], license_scan.rules()
+    for r in rules:
+        some = matches_of(r.regex.replace(license_scan._NAME, "some one ").replace("[0-9 ]{1,5}", "3 0"))
+        texts += [(len(texts), "Zz " + min(some, key=len) + " zz", r), (len(texts) + 1, "Zz " + max(some, key=len) + " zz", r)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    got = {x.doc_id: x for x in license_scan.scanned(docs).collect()}
+    for i, t, r in texts:
+        ends = (4, len(" ".join(re.findall("[a-z0-9]+", t.lower()))) + 1 - 3)
+        assert any(d.start <= ends[0] and d.stop >= ends[1] and d.priority >= r.priority for d in got[i].detections), (t, r)
+
+
+def test_license_sentences(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+    to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"""
+    bsd = "Neither the name of the Great Holder Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"
+    docs = spark.createDataFrame([(0, mit), (1, bsd), (2, gpl), (3, mit.replace("hereby", "not"))], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scanned(docs).collect()}
+    assert got == {0: ("mit", 0.97), 1: ("bsd-3-clause", 0.97), 2: ("gpl,gpl-3.0", 0.97), 3: ("mit", 0.97)}
 
 
 def test_quality(spark):
-    clean = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
-    texts = {1: clean, 2: "short", 3: "same words here " * 40, 4: " ".join(f"w{i}###" for i in range(60)), 5: "\n".join(["a line of it"] * 3 + [f"line number {i} has words" for i in range(20)]), 6: clean.upper(), 7: None, 8: "", 9: " | ".join(clean.split()), 10: clean.replace(" ", "!! ")}
-    docs = spark.createDataFrame([(i, t, i) for i, t in texts.items()], "doc_id long, text string, kept long")
-    got = {r.doc_id: r for r in quality_cascade.report(docs).collect()}
-    assert [i for i in got if got[i].kept] == [1, 5]
-    assert got[3].base_failed and got[3].n_repeat_words == 120 and got[5].n_dup_lines == 2 and got[4].n_symbols == 180
-    assert sorted(r.doc_id for r in quality_cascade.kept(docs).collect()) == [1, 5] and quality_cascade.kept(docs).columns == docs.columns
-    assert quality_cascade.report(docs.limit(0)).count() == 0
+    fresh = lambda n, k=0: " ".join(f"word{chr(97 + i % 26)}{chr(97 + (i // 26 + k) % 26)}" for i in range(n))
+    clean = fresh(80)
+    lines = "\n".join(["a line of it"] * 3 + [f"{chr(97 + i)}x{i} {chr(98 + i)}y{i} {chr(99 + i)}z{i} {chr(97 + i)}w{i}" for i in range(20)])
+    texts = {1: clean, 2: "short", 3: "same words here " * 40, 4: " ".join(f"w{i}###" for i in range(60)), 5: lines, 6: clean.upper(), 7: None, 8: "", 9: " | ".join(clean.split()), 10: clean.replace(" ", "!! "), 11: " ".join(f"t{i}o{i * 7}" for i in range(300_000))}
+    docs = spark.createDataFrame([*((i, t, i) for i, t in texts.items()), (1, clean, 1), (None, clean, 2), (None, None, 3)], "doc_id long, text string, kept long")
+    rows = quality_cascade.report(docs).collect()
+    got = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert len(rows) == 14 and sorted(r.doc_id for r in rows if r.kept and r.doc_id is not None) == [1, 1, 5, 11]
+    assert sorted((r.n_words, r.kept) for r in rows if r.doc_id is None) == [(0, False), (80, True)]
+    assert got[3].base_failed and got[3].n_repeat_words == 120 and got[5].n_dup_lines == 2 and got[4].n_symbols == 180 and got[11].n_words == 300_000
+    left = quality_cascade.kept(docs)
+    assert sorted((r.doc_id or 0, r.kept) for r in left.collect()) == [(0, 2), (1, 1), (1, 1), (5, 5), (11, 11)] and left.columns == docs.columns
+    assert quality_cascade.report(docs.limit(0)).count() == quality_cascade.kept(docs.limit(0)).count() == 0
 
 
 def test_shouting_in_other_scripts(spark):
@@ -198,6 +255,7 @@ def test_shouting_in_other_scripts(spark):
     texts += [" ".join(word(65, 26) for _ in range(80)), " ".join(word(65, 26) for _ in range(80)) + " " + word(0x430, 32)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x.doc_id for x in quality_cascade.kept(docs).collect()) == [0, 1, 2]
+    assert sorted(x.doc_id for x in quality_cascade.report(docs).where("kept").collect()) == [0, 1, 2]
 
 
 def test_quality_features():
