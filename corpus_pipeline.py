@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modwarden.llm import common, length_buckets, odd_minhash, quality_cascade, suffix_dedup
+from modwarden import staging
+from modwarden.llm import common, length_buckets, odd_minhash, quality_cascade, suffix_dedup, token_counts
+from modwarden.llm.queries import tokenizer_path
 from modwarden.session import prepare
 
 #: Words of a repeated passage that the corpus may not keep: over 50.
@@ -35,9 +37,10 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batch and place of each document by its UTF-8 bytes."""
+    """The batch and place of each document by its BPE tokens."""
     prepare(spark)
-    return length_buckets.packed(docs, F.octet_length("text"))
+    staging.small_batches(spark)
+    return length_buckets.packed(docs, token_counts.n_tokens(F.col("text"), tokenizer_path("byte_bpe_50k.json")))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", packing)]
@@ -47,11 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written and read again."""
+    """Applies the stages to documents, each written and read again.
+
+    Null and empty texts go in the first stage; of rows that repeat another one stays; null ids and columns named like a
+    stage's own are kept as they are.  An empty table gives an empty result."""
     prepare(spark)
     docs = common.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = common.staged(docs)
+            docs = staging.staged(docs)
     return docs
