@@ -82,8 +82,8 @@ def label_state(label: Column) -> Column:
     """True, False or null for a label in words or digits; negatives are looked for first."""
     low = F.lower(F.trim(label))
     return (
-        F.when(low.rlike("non[-_ ]?toxic|not[-_ ]|clean|neutral|normal|benign|ham"), F.lit(False))
-        .when(low.rlike("toxic|offensive|hate|abus|insult|spam"), F.lit(True))
+        F.when(low.rlike("|".join(lexicon.CLEAN_LABELS)), F.lit(False))
+        .when(low.rlike("|".join(lexicon.TOXIC_LABELS)), F.lit(True))
         .when(low == "0", F.lit(False))
         .when(low == "1", F.lit(True))
     )

@@ -56,16 +56,6 @@ def chunks(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda c: c != "")
 
 
-def repeated_run(chunk: Column) -> Column:
-    return F.lower(chunk).rlike(r"([zxqvjk])\1|(.)\2\2")
-
-
-def consonant_heavy(word: Column) -> Column:
-    n = F.length(word)
-    vowels = F.length(F.regexp_replace(word, "[^aeiou]", ""))
-    return F.when(n < 3, F.lit(False)).when(n <= 4, vowels == 0).otherwise(vowels / n <= 0.22)
-
-
 def canonical(word: Column) -> Column:
     """Runs of at most two, and a final `ie` of a longer word as `y`."""
     two = F.regexp_replace(word, r"(.)\1{2,}", "$1$1")
@@ -129,6 +119,16 @@ def first_letter_mask(word: Column) -> Column:
     return F.concat(F.left(word, F.lit(1)), F.repeat(F.lit("•"), 8))
 
 
+def date_int(day: Column) -> Column:
+    """A date as the number yyyymmdd."""
+    return F.date_format(day, "yyyyMMdd").cast("int")
+
+
+def first_sentence_length(text: Column) -> Column:
+    """Characters of the first sentence, up to its . ; ! or ? and without leading spaces; of the whole text if it has none."""
+    return F.length(F.regexp_extract(text, r"^ *([^.;!?]*)", 1))
+
+
 def question_count(text: Column) -> Column:
     """Sentences that end in a question mark and have more than one character."""
     return F.regexp_count(text, F.lit(r"[^.!;?]{2,}\?"))

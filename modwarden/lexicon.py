@@ -21,6 +21,8 @@ URGENCY_TOKENS = "urgent immediately now verify confirm claim winner bonus profi
 HIGH_RISK_PHRASES = ["kill yourself", "end yourself", "go die", "just die", "die now", "commit suicide", "hang yourself", "jump off", "gas yourself", "off yourself"]
 LINK_MARKS = ["http://", "https://", "t.me/", "bit.ly/", "tinyurl.com/", "wa.me/"]
 SHORT_TAGS = ["acronym", "acronyms", "short-acronym", "abbreviation", "abbreviations"]
+CLEAN_LABELS = ["neither", "not hate", "not_hate", "non-toxic", "clean"]
+TOXIC_LABELS = ["hate", "offensive", "toxic", "abusive", "insult"]
 AGGRESSIVE_TAGS = ["aggressive", "severe", "racism", "hate"]
 WEIGHTS = {
     "bias": -1.977544,
@@ -61,6 +63,18 @@ BAD_ENTRIES = [
 WHITELIST = ["clown", "closer", "moron", "the", "that", "with"]
 CLEAN_WORDS = ["this", "from", "have", "were", "which", "und", "die", "der", "das", "para", "como", "dans", "pour", "avec", "these", "those", "what", "there", "loses", "idiom", "than", "then", "hath", "tion", "thin"]
 PHRASES = ["just die", "end of this", "der die das", "from this card", "kill the process", "these were the"]
+#: Invented examples of one kind of scam.
+SCAM_EXAMPLES = [
+    "free nitro for the first hundred members, claim it now",
+    "claim your gift of three months before midnight",
+    "your account won a bonus, confirm it under this link",
+    "send one coin and get two back today",
+    "verify the wallet seed to keep your access",
+    "the airdrop ends in ten minutes, connect now",
+    "staff will ban you unless you confirm your card",
+    "cheap boosts, pay first and trust me",
+    "vote for my team here, it needs your login",
+]
 SLANG = {"lmk": "let me know", "smh": "shaking my head", "dumbo": "foolish person", "nitwit": "silly person"}
 
 BAD_WORDS = sorted({w for w, s, _, _ in BAD_ENTRIES if s >= 2 and len(w) >= 4} | {k for k in SLANG if len(k) >= 4})

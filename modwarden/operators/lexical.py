@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modwarden import lexicon
-from modwarden.functions import distance
+from modwarden.functions import distance, hashing
 from modwarden.functions import text as X
 
 MIN_MATCH = 4
@@ -161,3 +161,15 @@ def phrase_in(tokens: Column, phrases: list[str]) -> Column:
     known = F.array(*[F.lit(p) for p in phrases]).cast("array<string>")
     found = F.filter(known, lambda p: padded.contains(F.concat(F.lit(" "), p, F.lit(" "))))
     return F.when(F.size(tokens).between(2, 48) & (F.size(found) > 0), F.array_min(found))
+
+
+def bloom(words: DataFrame) -> DataFrame:
+    """bit: the set bits of the Bloom filter of a column `word`."""
+    return words.select(F.explode(hashing.bloom_indexes(F.col("word"))).alias("bit")).distinct()
+
+
+def maybe_known(words: DataFrame, bits: DataFrame) -> DataFrame:
+    """Distinct words of four letters or more all of whose bits are set: those of the filter, and the odd other one."""
+    one = words.select("word").where(F.length("word") >= MIN_MATCH).distinct().select("word", F.explode(F.array_distinct(hashing.bloom_indexes(F.col("word")))).alias("bit"))
+    seen = one.join(bits.withColumn("__set", F.lit(1)), "bit", "left").groupBy("word").agg(F.count("__set").alias("k"), F.count(F.lit(1)).alias("n"))
+    return seen.where("k = n").select("word")

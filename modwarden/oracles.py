@@ -172,7 +172,7 @@ top AS (SELECT channel_id, user_id, word AS top_word FROM (SELECT *, row_number(
 o AS (SELECT channel_id, user_id, violations, last_day, top_word, left(top_word, 1) || repeat('•', 8) AS masked_word FROM bad JOIN top USING (channel_id, user_id))"""
 _DAILY = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS scanned, count(*) FILTER (event_type = 'error') AS blocked FROM events GROUP BY 1"
 _LETTER_WORDS = f"(SELECT doc_id, unnest({words('text')}) AS word FROM docs)"
-_SPEAKER = "CASE WHEN lower(trim(role)) IN ('user', 'human', 'prompter') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'bot', 'model', 'gpt') THEN 'assistant' ELSE lower(trim(role)) END"
+_SPEAKER = "CASE WHEN regexp_matches(lower(role), 'user|human|prompter') THEN 'user' WHEN regexp_matches(lower(role), 'assistant|bot|model|gpt') THEN 'assistant' ELSE lower(trim(role)) END"
 _CLEANED = clean("coalesce(text, '')")
 
 ORACLES = {
@@ -217,10 +217,6 @@ SELECT c_custkey, f::VARCHAR AS fnv64, substr(s, 1, 8) || '-' || substr(s, 9, 4)
     "mined_contexts": f"WITH {MINED} SELECT doc_id, source, toxicity_score, array_to_string(profane_terms, ',') AS terms, md5(context) AS context_md5 FROM mined",
     "mined_sources": f"WITH {MINED} SELECT source, count(*) AS n FROM mined GROUP BY source",
     "mined_terms": f"WITH {MINED}, u AS (SELECT doc_id, source, toxicity_score, unnest(profane_terms) AS term FROM mined) SELECT term, max(toxicity_score) AS score, min_by(source, doc_id) AS source, count(*) AS n FROM u GROUP BY term",
-    "context_phrases": f"""WITH {DOCS}, l AS (SELECT unnest(string_split_regex(text, '[.\\n]')) AS text FROM docs), c AS (SELECT {clean('text')} AS cleaned FROM l),
-t AS (SELECT list_filter({words('cleaned')}, lambda w: length(w) >= 2) AS toks FROM c WHERE length(cleaned) >= 8)
-SELECT DISTINCT array_to_string(toks, ' ') AS phrase FROM t WHERE len(toks) BETWEEN 2 AND 24 AND list_has_any(toks, {lst(L.TRIGGER_TOKENS)})
-  AND len(list_filter(toks, lambda w: NOT list_contains({lst(sorted(set(L.WHITELIST) | set(L.CLEAN_SET) | set(L.TRIGGER_TOKENS)))}, w))) = 0 AND length(array_to_string(toks, ' ')) BETWEEN 8 AND 180""",
     "triplets": f"""WITH r AS (SELECT conv_id, turn, {_SPEAKER} AS role, {_CLEANED} AS t FROM conversations),
 f AS (SELECT *, role = 'user' AND length(t) >= 12 AND list_has_any({words('t')}, ['la', 'die']) AS toxic, role = 'user' AND length(t) >= 12 AND NOT list_has_any({words('t')}, ['la', 'die']) AS clean FROM r),
 p AS (SELECT f.*, (SELECT max(g.turn) FROM f g WHERE g.conv_id = f.conv_id AND g.turn < f.turn AND g.clean) AS back, (SELECT min(g.turn) FROM f g WHERE g.conv_id = f.conv_id AND g.turn > f.turn AND g.role IN ('user', 'assistant')) AS ahead FROM f WHERE toxic),
@@ -230,7 +226,7 @@ SELECT conv_id, turn, md5(anchor) AS anchor, md5(answer) AS answer, md5(clean_us
 SELECT DISTINCT word FROM n WHERE length(word) >= 2""",
     "toxic_rows": "WITH s AS (SELECT greatest(0.0, coalesce(l_discount * 10, 0), coalesce(l_tax * 10, 0), coalesce(l_quantity / 50, 0)) AS score, greatest(0.0, l_discount * 10, l_tax * 10) >= 0.5 AS toxic FROM lineitem) SELECT toxic, count(*) AS n, round(max(score), 4) AS top, round(min(score), 4) AS low FROM s GROUP BY toxic",
     "label_states": """WITH l AS (SELECT p_partkey, (['toxic', 'Non-toxic', '0', '1', 'neutral', 'maybe', 'offensive', 'not hate'])[p_size % 8 + 1] AS label FROM part)
-SELECT p_partkey, label, CASE WHEN label IN ('Non-toxic', 'neutral', 'not hate', '0') THEN false WHEN label IN ('toxic', 'offensive', '1') THEN true END AS state FROM l""",
+SELECT p_partkey, label, CASE WHEN label IN ('Non-toxic', 'not hate', '0') THEN false WHEN label IN ('toxic', 'offensive', '1') THEN true END AS state FROM l""",
     "phrase_containment": "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "question_sentences": "SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[^.!;?]{2,}\\?'))::INT AS questions, CASE WHEN length(text) > 40 THEN 41 ELSE length(text) END::INT AS shown FROM conversations",
     "streaming_daily_activity": _DAILY,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from modwarden import lexicon, staging
 from modwarden.functions import hashing, signals
 from modwarden.functions import text as X
-from modwarden.operators import candidates, lexical
+from modwarden.operators import candidates, lexical, vector
 
 EVIDENCE = ("exact", "fuzzy_strong", "fuzzy_weak", "skeleton", "obfuscated", "likely_clean", "short_token", "long_token")
 
@@ -79,12 +79,15 @@ def _lexical(messages: DataFrame, id_col: str, text_col: str, lex: lexicon.Lexic
     )
 
 
+def probed(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex: lexicon.Lexicon | None = None) -> DataFrame:
+    """id and probes of messages: the words that an unresolved one is compared by."""
+    return _lexical(messages, id_col, text_col, lex).select(id_col, "probes")
+
+
 def with_semantic(decided: DataFrame, vectors: DataFrame, index: DataFrame, threshold: float = 0.65, id_col: str = "doc_id") -> DataFrame:
     """Verdicts with the vector stage: unresolved messages whose nearest indexed vector reaches the threshold are blocked.
 
     vectors are (id, vector) of messages; only those of unresolved messages are searched."""
-    from modwarden.operators import vector
-
     open_ = decided.where("needs_semantic").select(F.col(id_col).alias("id"))
     near = vector.top1(vectors.join(open_, "id", "left_semi"), index, threshold).select(F.col("id").alias(id_col), F.lit(True).alias("__hit"))
     rows = decided.join(near, id_col, "left")
@@ -97,8 +100,6 @@ def with_profanity(decided: DataFrame, embed, index: DataFrame, threshold: float
     reaches the threshold with an indexed one of a profanity category.
 
     index is (id, vector, category), embed gives a text's vector.  Every different probe is searched once."""
-    from modwarden.operators import vector
-
     asked = decided.where(F.size("probes") > 0).select(F.col(id_col).alias("__id"), F.explode("probes").alias("probe"))
     words = asked.select("probe").distinct().withColumn("id", F.xxhash64("probe"))
     known = index.where(F.col("category").isin(*vector.PROFANITY)).select("id", "vector")
@@ -119,3 +120,16 @@ def semantic_verdicts(messages: DataFrame, embed, index: DataFrame, id_col: str
     open_ = decided.where("needs_semantic").select(F.col(id_col).alias("id"))
     texts = messages.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(open_, "id", "left_semi")
     return with_semantic(decided, texts.select("id", embed(F.col("text")).alias("vector")), index.select("id", "vector"), general, id_col)
+
+
+def verdicts_once(messages: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex: lexicon.Lexicon | None = None) -> DataFrame:
+    """verdicts(), each different text judged once: for message streams in which the same texts come again and again.
+
+    Texts meet by 128 bits of hash; a text of a third of all rows is joined to one small row, which adaptive execution
+    splits."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(3), text, F.octet_length(text)).alias("b"))
+    keyed = messages.select(F.col(id_col), key.alias("__key"), text.alias("__text"))
+    one = keyed.groupBy("__key").agg(F.first("__text").alias("__text"))
+    judged = verdicts(one, "__key", "__text", lex)
+    return keyed.drop("__text").join(judged, "__key").drop("__key")

@@ -64,18 +64,28 @@ def terms(mined: DataFrame) -> DataFrame:
     return one.groupBy("term").agg(F.max("toxicity_score").alias("score"), F.min_by("source", "doc_id").alias("source"), F.count(F.lit(1)).alias("n"))
 
 
-def phrases(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct short texts that are wholly of known words and hold a trigger word."""
+def phrases(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
+    """Distinct short texts that are wholly of known words (a column `word`) and hold a trigger word.
+
+    Only texts with a trigger word are looked up, word by word."""
     rows = docs.select(X.clean_context(F.col(text_col)).alias("cleaned")).where(F.length("cleaned") >= 8)
     rows = rows.withColumn("tokens", F.filter(X.letter_words(F.col("cleaned")), lambda w: F.length(w) >= 2)).where(F.size("tokens").between(2, 24))
-    known = _array(sorted(set(lexicon.WHITELIST) | set(lexicon.CLEAN_SET) | set(lexicon.TRIGGER_TOKENS)))
-    rows = rows.where(F.arrays_overlap("tokens", _array(lexicon.TRIGGER_TOKENS)) & (F.size(F.array_except("tokens", known)) == 0))
-    return rows.select(F.array_join("tokens", " ").alias("phrase")).where(F.length("phrase").between(8, 180)).distinct()
+    rows = rows.where(F.arrays_overlap("tokens", _array(lexicon.TRIGGER_TOKENS)))
+    rows = rows.select(F.array_join("tokens", " ").alias("phrase"), "tokens").where(F.length("phrase").between(8, 180)).dropDuplicates(["phrase"])
+    words = known.select("word").distinct().withColumn("__known", F.lit(1))
+    looked = rows.select("phrase", F.explode("tokens").alias("word")).join(words, "word", "left")
+    return looked.groupBy("phrase").agg(F.count("__known").alias("k"), F.count(F.lit(1)).alias("n")).where("k = n").select("phrase")
 
 
 def speaker(role: Column) -> Column:
     r = F.lower(F.trim(role))
-    return F.when(r.isin("user", "human", "prompter"), F.lit("user")).when(r.isin("assistant", "bot", "model", "gpt"), F.lit("assistant")).otherwise(r)
+    return F.when(r.rlike("user|human|prompter"), F.lit("user")).when(r.rlike("assistant|bot|model|gpt"), F.lit("assistant")).otherwise(r)
+
+
+def in_language(rows: DataFrame, prefix: str, column: str = "language") -> DataFrame:
+    """Rows whose language begins with the prefix, and rows of no known language."""
+    low = F.lower(F.coalesce(F.col(column), F.lit("")))
+    return rows.where((low == "") | low.startswith(prefix.strip().lower()))
 
 
 def triplets(turns: DataFrame, is_toxic=None) -> DataFrame:

@@ -29,6 +29,12 @@ def overview(events: DataFrame) -> DataFrame:
     return rows.select(F.greatest("channels", F.lit(1).cast("long")).alias("channels"), "scanned", "blocked", F.round(hashing.percent(F.col("blocked"), F.col("scanned")), 6).alias("block_rate"))
 
 
+def platforms(events: DataFrame) -> DataFrame:
+    """Channels and messages by platform; the parity of a channel stands for its platform."""
+    rows = messages(events).withColumn("platform", F.when(F.col("channel_id") % 2 == 0, F.lit("telegram")).otherwise(F.lit("discord")))
+    return rows.groupBy("platform").agg(F.countDistinct("channel_id").alias("channels"), F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("blocked") & (F.col("word") != "")).alias("blocked"))
+
+
 def offenders(events: DataFrame) -> DataFrame:
     """Per channel and user of a blocked message: violations, last day, and the most frequent word of all their messages
     (ties: the first in order)."""

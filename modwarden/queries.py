@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from modwarden import lexicon, staging
 from modwarden.functions import distance, hashing, signals
 from modwarden.functions import text as X
-from modwarden.operators import candidates, lexical, seeds, vector
+from modwarden.operators import candidates, containment, lexical, seeds, vector
 from modwarden.plans import cascade, mining, reports
+from modwarden.source_queries import SOURCE_QUERIES
 from modwarden.streaming import jobs
 
 
@@ -130,10 +131,13 @@ def moderation_verdicts(spark, sf_dir):
 
 
 def semantic_verdicts(spark, sf_dir):
-    """All stages; the index is of the bad words, and hashed n-grams stand in for a text embedding."""
+    """All stages; the index is of the bad words, and hashed n-grams stand in for a text embedding.
+
+    The bars are the stand-in's own, low enough that both stages find something; its cosines are ratios of small whole
+    numbers, so they lie beside round values."""
     embed = vector.hashed_ngrams()
     index = vector.bootstrapped(lexicon.words(spark, lexicon.BAD_WORDS)).select(F.xxhash64("text").alias("id"), embed(F.col("text")).alias("vector"), "category")
-    return cascade.semantic_verdicts(read(spark, sf_dir, "documents"), embed, index).select("doc_id", "verdict", "reason", "decision", "score", "needs_semantic")
+    return cascade.semantic_verdicts(_messages(spark, sf_dir), embed, index, profanity=0.487, general=0.237).select("doc_id", "verdict", "reason", "decision", "score", "needs_semantic")
 
 
 def verdict_summary(spark, sf_dir):
@@ -220,12 +224,6 @@ def mined_terms(spark, sf_dir):
     return mining.terms(_mined(spark, sf_dir))
 
 
-def context_phrases(spark, sf_dir):
-    """Lines of documents stand for the short texts that are mined."""
-    lines = _docs(spark, sf_dir).select(F.explode(F.split("text", "[.\n]")).alias("text"))
-    return mining.phrases(lines)
-
-
 def triplets(spark, sf_dir):
     """Texts with a German article stand for toxic ones, as no conversation holds an insult."""
     return mining.triplets(read(spark, sf_dir, "conversations"), lambda c: F.array_contains(X.letter_words(c), "la") | F.array_contains(X.letter_words(c), "die")).select(
@@ -250,21 +248,9 @@ def label_states(spark, sf_dir):
 
 
 def phrase_containment(spark, sf_dir):
-    """Benchmark passages in documents.  The passages are joined on a word pair of theirs, then looked for as a whole."""
+    """Benchmark passages in documents."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    w = words(F.col("passage"))
-    items = items.withColumn("key", F.when(F.size(w) >= 4, F.concat_ws(" ", w[1], w[2])).otherwise(F.lit("")))
-    long_, short = items.where("key <> ''"), items.where("key = ''")
-    dw = words(F.col("text"))
-    pairs = F.array_distinct(F.zip_with(dw, F.slice(dw, F.lit(2), F.size(dw)), lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit("")))))
-    wanted = long_.select("key").distinct()
-    keyed = docs.select("doc_id", F.explode(pairs).alias("key")).join(wanted, "key", "left_semi").distinct()
-    found = keyed.join(long_, "key").join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    if not short.isEmpty():
-        found = found.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id"))
-    return found.distinct()
+    return containment.passages_in(_messages(spark, sf_dir), items)
 
 
 def question_sentences(spark, sf_dir):
@@ -275,10 +261,13 @@ def _events(f):
     return lambda spark, sf_dir: f(read(spark, sf_dir, "events"))
 
 
-def streaming_daily_activity(spark, sf_dir):
+def event_stream(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet") if sf_dir_is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return jobs.drained(jobs.daily_counts(source))
+    return spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet") if sf_dir_is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def streaming_daily_activity(spark, sf_dir):
+    return jobs.drained(jobs.daily_counts(event_stream(spark, sf_dir)))
 
 
 def sf_dir_is_folder(spark, path: str) -> bool:
@@ -297,8 +286,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_documents, collapse_repeats, surface_signals, risk_signals, page_signals, context_guards, fallback_gate, strict_candidates, merged_candidates, exact_hits, substring_scan,
-        fuzzy_strong, fuzzy_weak, skeleton_hits, decision_scores, moderation_verdicts, verdict_summary, verdict_rollup, label_confusion, knn_top1, knn_filtered, knn_label_counts,
-        seed_terms_round_robin, clean_lexicon_top, fnv1a32_bloom_index, stable_ids, upsert_latest, mined_contexts, mined_sources, mined_terms, context_phrases, triplets, dictionary_build,
+        fuzzy_strong, fuzzy_weak, skeleton_hits, decision_scores, moderation_verdicts, semantic_verdicts, verdict_summary, verdict_rollup, label_confusion, knn_top1, knn_filtered, knn_label_counts,
+        seed_terms_round_robin, clean_lexicon_top, fnv1a32_bloom_index, stable_ids, upsert_latest, mined_contexts, mined_sources, mined_terms, triplets, dictionary_build,
         toxic_rows, label_states, phrase_containment, question_sentences, streaming_daily_activity, admin_channels,
     )
 }
@@ -313,5 +302,4 @@ QUERIES |= {
     "daily_activity": _events(reports.daily),
 }
 
-#: Queries without SQL: DuckDB has no CRC-32 for the stand-in's vectors; tests/test_operators.py covers them.
-WITHOUT_SQL = {"semantic_verdicts": semantic_verdicts}
+QUERIES |= SOURCE_QUERIES

@@ -40,6 +40,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that is deleted like a staged table."""
+    path = folder(spark, name)
+    _kept[path] = spark
+    return path
+
+
 def staged(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there and a lost executor costs no recomputation.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from modwarden import staging
+from modwarden.sources import scans
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -35,6 +36,26 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def counted(events: DataFrame) -> DataFrame:
+    """violation_counts() of a stream, run over what is there now."""
+    return drained(violation_counts(events))
+
+
+def moderate_and_learn(messages: DataFrame, judge: Callable[[DataFrame, DataFrame], DataFrame], learn: Callable[[DataFrame], DataFrame], table: str, out: str, checkpoint: str) -> StreamingQuery:
+    """moderate() with a table of vectors that training messages add to.
+
+    A batch's messages are judged by the table as it is when the batch begins, so what a batch learns is seen by the later
+    ones; its rows are written under the batch's number, so a batch that runs again learns nothing twice."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        plain, commands = scans.commands(batch)
+        spark = batch.sparkSession
+        judge(plain, spark.read.parquet(table)).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        learn(commands).write.mode("overwrite").parquet(f"{table}/learned=batch-{n}")
+
+    return messages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def moderate(messages: DataFrame, plan: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Applies a batch plan to every micro-batch and appends the verdicts; a batch that runs again is not written twice."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from modwarden import lexicon
 from modwarden.functions import distance, hashing
-from modwarden.operators import candidates, lexical, seeds, vector
+from modwarden.operators import candidates, containment, lexical, seeds, vector
 from modwarden.plans import cascade, mining, reports
 from modwarden.sources import scans
 from modwarden.streaming import jobs
@@ -157,7 +157,7 @@ def test_conversation_shapes(spark):
 
 def test_phrases(spark):
     rows = spark.createDataFrame([("The end of this.",), ("these were the end",), ("end of nothing known",)], "text string")
-    assert sorted(r.phrase for r in mining.phrases(rows).collect()) == ["these were the end"]
+    assert sorted(r.phrase for r in mining.phrases(rows, lexicon.words(spark, [*lexicon.WHITELIST, *lexicon.CLEAN_SET, *lexicon.TRIGGER_TOKENS])).collect()) == ["these were the end"]
 
 
 def test_triplets(spark):
@@ -194,3 +194,16 @@ def test_moderate_stream(spark, tmp_path):
     plain, _ = scans.commands(stream)
     jobs.moderate(plain, cascade.verdicts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted((r.doc_id, r.verdict) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "block"), (2, "allow")]
+
+
+def test_containment(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["the", "cat", "sat", "on", "mats", "ab", "x"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(60)] + [None, "", "the cat sat  on the mat", "one\nodd line"]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 6)))[r.randint(0, 2) :]) for i in range(40)] + [(90, ""), (91, None), (92, "one\nodd"), (93, "at on the ma"), (94, "cat sat  on the m")]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, "the cat sat on the mats ab")], "doc_id int, text string")
+    want = {(i, d) for i, p in items if p for d, t in [*enumerate(texts), (None, "the cat sat on the mats ab")] if t and p in t}
+    for n in (1000, 3):
+        monkeypatch.setattr(containment, "SHORT_PASSAGES", n)
+        got = [tuple(x) for x in containment.passages_in(docs, spark.createDataFrame(items, "item_id int, passage string")).collect()]
+        assert set(got) == want and len(got) == len(set(got))

@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from modwarden.source_queries import SOURCE_QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["surface_signals", "risk_signals", "merged_candidates", "skeleton_hits", "moderation_verdicts", "knn_top1", "stable_ids", "triplets", "offender_rollup", "top_words", "phrase_containment"]
+NAMES = ["surface_signals", "risk_signals", "merged_candidates", "skeleton_hits", "moderation_verdicts", "knn_top1", "stable_ids", "triplets", "offender_rollup", "top_words", "phrase_containment", "semantic_verdicts", "label_states", "knn_filtered", *SOURCE_QUERIES]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -28,5 +29,6 @@ def test_query(spark, name):
 def test_every_query_of_the_library_has_sql():
     from modwarden.oracles import ORACLES
     from modwarden.queries import QUERIES
+    from modwarden.source_oracles import SOURCE_ORACLES
 
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES | SOURCE_ORACLES) and not set(ORACLES) & set(SOURCE_ORACLES)
