@@ -50,11 +50,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there and a lost executor costs no recomputation.
 
-    The table stays until discard(), the end of a scope() around it or of the driver.  Give rows, a bound of the rows,
-    where the last step is cheap: small tables are then not scattered over as many files as a shuffle has partitions."""
+    The table stays until discard(), the end of a scope() around it or of the driver.  rows is a bound of its rows, where
+    one is known: a table of far fewer files than a shuffle has partitions is put together first."""
     spark = df.sparkSession
     path = folder(spark, "staged")
-    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    files = None if rows is None else max(1, -(-rows // FILE_ROWS))
+    if files is not None and 4 * files <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(files)
+    df.write.parquet(path)
     _kept[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
