@@ -287,22 +287,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     staging.small_batches(spark)
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     prepared = staging.staged(source.mapInArrow(_prepared, _PREPARED))
+    total, cells_each = prepared.count(), TABLES * PROBES**2
     some = prepared.where("cls is not null")
     body = some.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.first(F.struct("wide", "vec", "keys", "small", "scale", "off")).alias("b"))
     # class numbers are fixed by being written
     nodes = staging.staged(body.select(F.monotonically_increasing_id().alias("node"), "cls", "copies", "first", "b.*"))
     filed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("cell"))
     pivot = F.min(F.struct(F.xxhash64("node").alias("p"), F.col("node").alias("v")))["v"].alias("pivot")
-    cells = staging.staged(filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), pivot).where("n > 1"))
-    members = staging.staged(filed.join(cells, "cell"))
+    cells = staging.staged(filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), pivot).where("n > 1"), cells_each * total // 2)
+    members = staging.staged(filed.join(cells, "cell"), cells_each * total)
     cores = _cores(members.where(F.col("n") >= DENSE), nodes, least)
-    named = staging.staged(members.select("cell", "node").join(cores, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label")))
+    named = staging.staged(members.select("cell", "node").join(cores, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label")), members.count())
 
     sizes = named.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("cell").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most")).where("n > most.m")
     whole = F.col("n") <= CHUNK
     rest = F.when(whole, F.lit(1)).otherwise(F.ceil((F.col("n") - F.col("most.m")) / CHUNK)).cast("int")
     core = F.when(whole, F.lit(0)).otherwise(F.ceil(F.col("most.m") / CHUNK)).cast("int")
-    open_ = staging.staged(sizes.select("cell", F.col("most.label").alias("top"), rest.alias("rest"), core.alias("core"), (F.col("n") * F.col("rest") + (F.col("n") - F.col("most.m")) * F.col("core")).alias("rows")))
+    open_ = staging.staged(sizes.select("cell", F.col("most.label").alias("top"), rest.alias("rest"), core.alias("core"), (F.col("n") * F.col("rest") + (F.col("n") - F.col("most.m")) * F.col("core")).alias("rows")), members.count())
     tasks = common.tasks_for(spark, open_.agg(F.sum("rows")).first()[0] or 0, TASK_ROWS)
     rows = named.join(open_, "cell")
     inside = (F.col("core") > 0) & (F.col("label") == F.col("top"))
@@ -323,9 +324,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     comps = common.components(links)
     out = nodes.select("node", "cls", "first", "copies").join(degree, "node", "left").join(cored, "node", "left").join(comps, "node", "left")
     n_links = F.coalesce("n", F.lit(0)) + F.coalesce(F.col("all"), F.col("copies")) - 1
-    out = staging.staged(out.select("cls", "first", F.coalesce("component_id", "node").alias("top"), n_links.cast("long").alias("n_links")).where("n_links > 0"))
-    least_id = staging.staged(out.groupBy("top").agg(F.min("first").alias("component_id")))
-    target = staging.staged(out.join(least_id, "top").select("cls", "n_links", "component_id"))
+    out = staging.staged(out.select("cls", "first", F.coalesce("component_id", "node").alias("top"), n_links.cast("long").alias("n_links")).where("n_links > 0"), total)
+    least_id = staging.staged(out.groupBy("top").agg(F.min("first").alias("component_id")), out.count())
+    target = staging.staged(out.join(least_id, "top").select("cls", "n_links", "component_id"), out.count())
     staging.discard(nodes, cells, members, cores, named, open_, involved, found, cored, comps, out, least_id)
     final = prepared.select("id", "cls").join(target, "cls", "left")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))

@@ -204,6 +204,7 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     key = common.content_key(F.col("text"))
     prepared = staging.staged(source.withColumns({"k1": key["h1"], "k2": key["h2"]}).mapInArrow(_prepared(width, True), "id long, k1 long, k2 long, n_shingles long, node binary, bands array<long>, sketch binary"))
+    total = prepared.count()
     out = staging.staged(prepared.select("id", "k1", "k2", "n_shingles", "node"))
     # a class goes by a number, which being written fixes; bucket rows are a key and a number
     own = F.first(F.struct(F.col("n_shingles").alias("n"), "sketch", "bands")).alias("x")
@@ -211,11 +212,11 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     staging.discard(prepared)
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     pivots = [F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("p"), F.col("node").alias("v")))["v"].alias(f"pivot{r}") for r in range(PIVOT_ROUNDS)]
-    shared = staging.staged(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *pivots).where("size > 1"))
-    members = staging.staged(buckets.join(shared, "bucket"))
+    shared = staging.staged(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *pivots).where("size > 1"), BANDS * total // 2)
+    members = staging.staged(buckets.join(shared, "bucket"), BANDS * total)
     wanted = members.select("node").distinct()
     nodes = staging.staged(classes.drop("bands").join(wanted, "node", "left_semi"))
-    names = staging.staged(classes.select("node", "digest"))
+    names = staging.staged(classes.select("node", "digest"), total)
     staging.discard(classes, shared)
     ids = nodes.select("id").distinct()
     if nodes.count() <= BROADCAST_ROWS:
@@ -233,18 +234,18 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
             pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         scored = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").withColumn("est", _estimate("sa", "sb")).where(F.col("est") >= percent / 100 - SLACK)
-        best = staging.staged(scored.groupBy("a").agg(F.max(F.struct("est", "b"))["b"].alias("b")))
-        confirmed.append(staging.staged(_confirmed(best, sets, percent)))
+        best = staging.staged(scored.groupBy("a").agg(F.max(F.struct("est", "b"))["b"].alias("b")), total)
+        confirmed.append(staging.staged(_confirmed(best, sets, percent), 16 * best.count()))
         staging.discard(best, comps)
         comps = common.components(reduce(DataFrame.unionByName, confirmed))
 
     placed = _labelled(members.select("bucket", "node"), comps)
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rows = staging.staged(placed.join(open_, "bucket").join(nodes.select("node", "n", "sketch"), "node"))
+    rows = staging.staged(placed.join(open_, "bucket").join(nodes.select("node", "n", "sketch"), "node"), 4 * members.count())
     staging.discard(members, comps)
     # a chunk is bounded by its nodes and, as their whole sets may follow, by what those hold
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
-    cut = staging.staged(rows.groupBy("bucket").agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("size")))
+    cut = staging.staged(rows.groupBy("bucket").agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("size")), rows.count())
     tasks = common.tasks_for(spark, cut.agg(F.sum(F.col("size") * F.col("chunks"))).first()[0] or 0, TASK_ROWS)
     parts = rows.join(cut.drop("size"), "bucket")
     at = F.pmod(F.xxhash64("node", F.lit(99)), F.col("chunks")).cast("int")
@@ -258,15 +259,15 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     staging.discard(rows, cut, involved, sets, nodes)
     comps = common.components(reduce(DataFrame.unionByName, confirmed))
     named = comps.join(names, "node").join(names.select(F.col("node").alias("component_id"), F.col("digest").alias("top")), "component_id")
-    linked = staging.staged(named.select(F.col("digest").alias("node"), F.col("top").alias("component_id")))
+    linked = staging.staged(named.select(F.col("digest").alias("node"), F.col("top").alias("component_id")), comps.count())
     staging.discard(comps, names, *confirmed)
     return out, linked
 
 
-def _tops(classes: DataFrame, comps: DataFrame, least: Column) -> DataFrame:
-    """Of the classes that have copies or links, (node, least): the least `first` of their components."""
-    moved = staging.staged(classes.join(comps, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "node").alias("top"), "first"))
-    out = staging.staged(moved.join(moved.groupBy("top").agg(least), "top").drop("top", "first"))
+def _tops(classes: DataFrame, comps: DataFrame, least: Column, most: int) -> DataFrame:
+    """Of the classes (`most` at most) that have copies or links, (node, least): the least `first` of their components."""
+    moved = staging.staged(classes.join(comps, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "node").alias("top"), "first"), most)
+    out = staging.staged(moved.join(moved.groupBy("top").agg(least), "top").drop("top", "first"), moved.count())
     staging.discard(moved)
     return out
 
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows, comps = link_classes(docs, id_col, text_col, width, percent)
     classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    target = _tops(classes, comps, F.min("first").alias("component_id"))
+    target = _tops(classes, comps, F.min("first").alias("component_id"), rows.count())
     staging.discard(comps)
     out = rows.join(target, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -300,11 +301,11 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, comps = link_classes(plain, id_at, text_at, width, percent)
     own = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
     classes = rows.where("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("copies"))
-    winners = _tops(classes, comps, F.min("first").alias("w"))
+    winners = _tops(classes, comps, F.min("first").alias("w"), rows.count())
     linked = rows.join(winners, "node")
     stays = F.col("id").eqNullSafe(F.col("w.id")) & (F.col("k1") == F.col("w.k1")) & (F.col("k2") == F.col("w.k2"))
     # rows that go (n = 0), and those of which one of several equal ones stays
-    acts = staging.staged(linked.groupBy("id", "k1", "k2").agg(F.max(F.when(stays, F.lit(1)).otherwise(F.lit(0))).alias("stay"), F.count(F.lit(1)).alias("n")).where("stay = 0 or n > 1").select("id", "k1", "k2", "stay"))
+    acts = staging.staged(linked.groupBy("id", "k1", "k2").agg(F.max(F.when(stays, F.lit(1)).otherwise(F.lit(0))).alias("stay"), F.count(F.lit(1)).alias("n")).where("stay = 0 or n > 1").select("id", "k1", "k2", "stay"), rows.count())
     staging.discard(rows, comps, winners)
     key = common.content_key(F.col(text_at).cast("string"))
     left = plain.withColumns({"__id": F.col(id_at).cast("long"), "__k1": key["h1"], "__k2": key["h2"]})

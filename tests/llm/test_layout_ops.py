@@ -25,6 +25,34 @@ def test_rotation(spark):
     assert len(own) == 1 and text[(1, "bob")][own[0].learn_start : own[0].learn_end] == "yo<|end|>\n"
 
 
+def test_rotation_edges(spark):
+    long = "x" * 2_000_000
+    turns = spark.createDataFrame([(1, 0, "ann", long, "c"), (1, None, "bob", "first", "c"), (1, 0, "ann", long, "c")], "conv_id long, turn long, role string, text string, segment string")
+    rows = [r for r in chat_rotation.rotated(turns).collect() if r.perspective == "bob"]
+    assert [(r.turn, len(r.segment)) for r in sorted(rows, key=lambda r: r.seg_start)] == [(None, 31), (0, 2_000_030), (0, 2_000_030)] and sorted(r.seg_start for r in rows) == [0, 31, 2_000_061]
+    assert chat_rotation.rotated(turns.limit(0)).count() == 0
+
+
+def test_hot_keys_are_cut(spark):
+    """10,000 equal rows with a null key, in one group, lie in blocks of bounded size and are numbered without gaps."""
+    df = spark.range(10_000).select(F.lit("g").alias("g"), F.lit(None).cast("long").alias("k"), F.lit("t").alias("t"))
+    seen = []
+    real = common.staging.staged
+
+    def spy(x, *a):
+        out = real(x, *a)
+        if "__block" in out.columns:
+            seen.append([r["count"] for r in out.groupBy("__block").count().collect()])
+        return out
+
+    common.staging.staged = spy
+    try:
+        got = sorted(r.n for r in common.numbered(df, ["g"], "k", ["t"], "n", block_rows=1_000).collect())
+    finally:
+        common.staging.staged = real
+    assert got == list(range(10_000)) and len(seen[0]) >= 8 and max(seen[0]) <= 2_000
+
+
 def plain_jump(key, n):
     b, j = -1, 0
     while j < n:
@@ -44,7 +72,7 @@ def test_jump():
 
 def test_shards(spark):
     r = random.Random(1)
-    rows = [(r.randrange(10**6), "t" * r.randrange(9), "s") for _ in range(500)] + [(7, "é", "s"), (7, "é", "s"), (None, None, "s"), (None, "x", "s")]
+    rows = [(r.randrange(10**6), "t" * r.randrange(9), "s") for _ in range(500)] + [(10**7, "é" * 1_500_000, "s")] + [(7, "é", "s"), (7, "é", "s"), (None, None, "s"), (None, "x", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
     got = jump_shards.assigned(docs, 24).collect()
     assert len(got) == len(rows) and {x.law for x in got} == {"key"}
@@ -53,6 +81,7 @@ def test_shards(spark):
     for x in got:
         key = int(mixed(np.array([x.doc_id or 0], dtype=np.uint64))[0])
         assert x.shard == plain_jump(key, 24) and x.grown_shard == plain_jump(key, 25)
+    assert next(x.size for x in got if x.doc_id == 10**7) == 3_000_008
     one = next(x for x in got if x.doc_id == 7)
     assert (one.size, one.text_crc32) == (10, zlib.crc32("é".encode()))
     assert jump_shards.assigned(docs.limit(0), 24).count() == 0
@@ -91,8 +120,8 @@ def test_grid(spark):
 
 def test_packing(spark):
     r = random.Random(4)
-    rows = [(i, "x" * r.choice([1, 50, 200, 3000])) for i in range(300)] + [(300, None), (301, ""), (None, "y"), (5, "dup"), (302, "z" * 50_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(i, "x" * r.choice([1, 50, 200, 3000])) for i in range(300)] + [(300, None), (301, ""), (None, "y"), (5, "dup"), (302, "z" * 50_000), (303, "z" * 3_000_000), (302, "z" * 50_000)]
+    docs = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, bucket int")
     got = length_buckets.packed(docs, F.octet_length("text"), buckets=4, token_budget=10_000).collect()
     assert len(got) == len(rows) and len({x.bucket for x in got}) <= 4
     for x in got:
@@ -150,3 +179,25 @@ def test_pipeline_cuts_51_short_words(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x.doc_id: x.text for x in corpus_pipeline.passage_dedup(spark, docs, "").collect()}
     assert long not in kept[0] and long not in kept[1] and (kept[2], kept[3]) == (texts[2], texts[3])
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, repeated rows, a very long text, extra columns named like a stage's own, no rows at all."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(n))
+    a, b, c, d = (prose(90) for _ in range(4))
+    rows = [(1, a), (1, a), (None, b), (None, c), (2, prose(60_000)), (3, d), (3, prose(80)), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), k, "x", 0.5) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, node long, spans string, length double")
+    docs.write.parquet(f"{tmp_path}/some/documents.parquet")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, "")
+        assert out.columns == docs.columns
+    kept = out.collect()
+    assert sorted((x.doc_id or 0, x.text[:50]) for x in kept) == sorted((i or 0, t[:50]) for i, t in rows[1:7]) and all(x.n_chars == len(x.text) and x.spans == "x" for x in kept)
+    final = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert sorted(x.doc_id or 0 for x in final) == [0, 0, 1, 2, 3, 3] and len({(x.bucket, x.batch, x.place) for x in final}) == 6
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
