@@ -89,7 +89,8 @@ def in_language(rows: DataFrame, prefix: str, column: str = "language") -> DataF
 
 
 def triplets(turns: DataFrame, is_toxic=None) -> DataFrame:
-    """conv_id, turn, anchor, negative_assistant, previous_clean_user of toxic user turns that an assistant answers.
+    """conv_id, turn, anchor, negative_assistant, previous_clean_user, anchor_terms of toxic user turns that an assistant
+    answers.
 
     A turn is toxic if it has turn_terms(), or by is_toxic, where given.
     previous_clean_user is the last earlier user turn that is long enough and not toxic ('' if none); it stays when
@@ -102,7 +103,7 @@ def triplets(turns: DataFrame, is_toxic=None) -> DataFrame:
     rows = rows.withColumn("previous_clean_user", F.coalesce(F.last(F.when(F.col("clean"), F.col("t")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")))
     nxt = F.first(F.when(F.col("role").isin("user", "assistant"), F.struct("role", "t")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     rows = rows.withColumn("next", nxt).where("toxic and next.role = 'assistant'").where(F.length("next.t") >= MIN_CONTEXT)
-    rows = rows.select("conv_id", "turn", F.col("t").alias("anchor"), F.col("next.t").alias("negative_assistant"), "previous_clean_user")
+    rows = rows.select("conv_id", "turn", F.col("t").alias("anchor"), F.col("next.t").alias("negative_assistant"), "previous_clean_user", turn_terms(F.col("t")).alias("anchor_terms"))
     pair = Window.partitionBy("anchor", "negative_assistant").orderBy("conv_id", "turn")
     return rows.withColumn("__rn", F.row_number().over(pair)).where("__rn = 1").drop("__rn")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from modwarden import lexicon as L
 from modwarden import oracles as O
-from modwarden.plans.mining import STEMS  # noqa: F401
+from modwarden.plans.mining import TOXIC_PHRASES
 
 _FNV64 = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({t}, ''), lambda c: ord(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::VARCHAR"
 
@@ -41,7 +41,14 @@ UNION ALL SELECT 'binary_label_tweets', name, 0.95 FROM l WHERE d % 3 <> 0
 UNION ALL SELECT 'tweet_eval_binary', name, 0.95 FROM l WHERE d % 3 = 1
 UNION ALL SELECT 'paradetox_pairs', name, 0.98 FROM l WHERE d % 2 = 0)"""
 _CAPPED = """capped AS (SELECT *, row_number() OVER (ORDER BY source, doc_id) - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM mined) WHERE rn <= 3)"""
-_TURNS = O.ORACLES["triplets"].partition("f AS (")[0] + "f AS ("
+_WORDS = f"list_sort(list_distinct(list_filter({O.words('t')}, lambda w: length(w) >= 3 AND NOT list_contains({O.lst(L.WHITELIST)}, w))))"
+_KNOWN = O._TERMS.replace("context", "t")
+_TOXIC = f"""r AS (SELECT conv_id, turn, {O._SPEAKER} AS role, {O.clean("substr(coalesce(text, ''), 1, 60) || (CASE (conv_id + turn) % 5 WHEN 0 THEN ' you idiot and scum' WHEN 1 THEN ' so trashy' WHEN 2 THEN ' now get lost' WHEN 3 THEN '' ELSE ' indeed' END)")} AS t FROM conversations),
+k AS (SELECT *, {_KNOWN} AS known, {_WORDS} AS words FROM r),
+f AS (SELECT *, CASE WHEN len(known) = 0 AND regexp_matches(t, {O.q('|'.join(TOXIC_PHRASES))}) THEN CASE WHEN len(words) > 0 THEN words ELSE ['toxic_phrase'] END ELSE known END AS terms FROM k),
+g AS (SELECT *, role = 'user' AND length(t) >= 12 AND len(terms) > 0 AS toxic, role = 'user' AND length(t) >= 12 AND len(terms) = 0 AS clean FROM f),
+p AS (SELECT g.*, (SELECT max(h.turn) FROM g h WHERE h.conv_id = g.conv_id AND h.turn < g.turn AND h.clean) AS back, (SELECT min(h.turn) FROM g h WHERE h.conv_id = g.conv_id AND h.turn > g.turn AND h.role IN ('user', 'assistant')) AS ahead FROM g WHERE toxic),
+j AS (SELECT p.conv_id, p.turn, p.t AS anchor, p.terms, n.t AS answer, coalesce(c.t, '') AS clean_user FROM p JOIN g n ON n.conv_id = p.conv_id AND n.turn = p.ahead AND n.role = 'assistant' AND length(n.t) >= 12 LEFT JOIN g c ON c.conv_id = p.conv_id AND c.turn = p.back)"""
 _TRIPLETS = O.ORACLES["triplets"].replace("FROM conversations)", "FROM conversations WHERE conv_id % 3 <> 1)").rpartition("SELECT conv_id, turn, md5(anchor)")[0]
 _PROBES = f"""few AS (SELECT *, len({O.CHUNKS}) <= 8 OR leet OR hard_separator AS few FROM reasons WHERE reason = 'no_lexical_or_semantic_hit'),
 probes AS (SELECT doc_id, txt AS probe, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS pos FROM merged m JOIN few USING (doc_id)
@@ -81,6 +88,7 @@ SELECT 'union' AS kind, word FROM (SELECT word FROM a UNION SELECT word FROM b)
     "mined_items": f"""WITH {O.MINED}, b AS (SELECT DISTINCT regexp_replace(unnest(profane_terms), '[^\\p{{L}}]', '', 'g') AS text, 'live_trained_profanity' AS category FROM mined UNION SELECT substr(context, 1, 512), 'mined_toxicity_context' FROM mined WHERE length(context) >= 16),
 h AS (SELECT category, text, sha1('mined::' || text) AS s FROM b WHERE length(text) >= 4) SELECT category, substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-' || substr(s, 13, 4) || '-' || substr(s, 17, 4) || '-' || substr(s, 21, 12) AS id, length(text)::INT AS n FROM h""",
     "jsonl_triplets": _TRIPLETS + "SELECT conv_id, turn, md5(anchor) AS anchor, length(clean_user)::INT AS clean_len FROM (SELECT *, row_number() OVER (PARTITION BY anchor, answer ORDER BY conv_id, turn) AS rn FROM j) WHERE rn = 1",
+    "toxic_triplets": f"WITH {_TOXIC} SELECT conv_id, turn, array_to_string(terms, ',') AS terms, md5(answer) AS answer, md5(clean_user) AS clean_user FROM (SELECT *, row_number() OVER (PARTITION BY anchor, answer ORDER BY conv_id, turn) AS rn FROM j) WHERE rn = 1",
     "conversation_shapes": f"WITH c AS (SELECT conv_id, turn, {O._SPEAKER} AS speaker, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM conversations), s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM c WHERE t <> '') SELECT conv_id, n::INT AS turn, CASE WHEN conv_id % 4 <> 3 AND speaker NOT IN ('user', 'assistant') THEN 'the ' || speaker ELSE speaker END AS speaker, md5(t) AS text FROM s",
     "seed_words": f"WITH {O.DOCS}, w AS (SELECT DISTINCT lower(trim(unnest(string_split(text, ' ')))) AS text FROM docs) SELECT {fnv64('text')} AS id, text, 'seed_profanity' AS category FROM w WHERE regexp_full_match(text, '[a-z]{{4,24}}')",
     "vector_table": f"""WITH n AS (SELECT lower(n_name) AS text, n_nationkey < 5 AS again FROM nation), r AS (SELECT lower(r_name) AS text FROM region), t AS (SELECT text, bool_or(again) AS again FROM (SELECT * FROM n UNION ALL SELECT text, true FROM r) GROUP BY text)

@@ -149,6 +149,14 @@ def jsonl_triplets(spark, sf_dir):
     return back.select("conv_id", "turn", F.md5(F.col("anchor").cast("binary")).alias("anchor"), F.length("previous_clean_user").alias("clean_len"))
 
 
+def toxic_triplets(spark, sf_dir):
+    """Triplets by the terms of a turn; insults, their stems and toxic phrases are put into some turns."""
+    said = F.element_at(F.array(F.lit(" you idiot and scum"), F.lit(" so trashy"), F.lit(" now get lost"), F.lit(""), F.lit(" indeed")), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 60), said).alias("text"))
+    rows = mining.triplets(turns)
+    return rows.select("conv_id", "turn", F.array_join("anchor_terms", ",").alias("terms"), F.md5(F.col("negative_assistant").cast("binary")).alias("answer"), F.md5(F.col("previous_clean_user").cast("binary")).alias("clean_user"))
+
+
 def conversation_shapes(spark, sf_dir):
     """Conversations as JSON of several shapes: lists, containers, JSON texts within JSON, texts in parts."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -279,7 +287,7 @@ SOURCE_QUERIES = {
     f.__name__: f
     for f in (
         word_file_scan, whitelist_scan, context_phrase_scan, moderation_db_words, scanned_lexicon, legacy_words, decision_overlay, labelled_corpora, labelled_texts, literal_messages, mined_file, mined_items,
-        jsonl_triplets, conversation_shapes, seed_words, vector_table, text_vectors, text_forms, safe_casts, bloom_known_words, frequent_phrases, vector_probes, repeated_texts, message_stream, training_commands,
+        jsonl_triplets, toxic_triplets, conversation_shapes, seed_words, vector_table, text_vectors, text_forms, safe_casts, bloom_known_words, frequent_phrases, vector_probes, repeated_texts, message_stream, training_commands,
         live_training, violation_counters, platform_totals, pipe_fields,
     )
 }

@@ -162,13 +162,13 @@ def test_phrases(spark):
 
 def test_triplets(spark):
     turns = [(1, 0, "user", "a clean question here"), (1, 1, "assistant", "a clean answer here"), (1, 2, "user", "you are worthless scum"), (1, 3, "system", "note"), (1, 4, "assistant", "please stay polite"), (1, 5, "user", "stupid stupid thing"), (1, 6, "user", "another question")]
-    got = [tuple(r) for r in mining.triplets(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()]
+    got = [tuple(r)[:5] for r in mining.triplets(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()]
     assert got == [(1, 2, "you are worthless scum", "please stay polite", "a clean question here")]
 
 
 def test_triplets_by_phrase(spark):
     turns = [(1, 0, "user", "a clean question here"), (1, 1, "user", "get lost now please"), (1, 2, "assistant", "please stay polite"), (1, 3, "user", "just shut up already"), (1, 4, "assistant", "an answer to it")]
-    got = sorted(tuple(r) for r in mining.triplets(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect())
+    got = sorted(tuple(r)[:5] for r in mining.triplets(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect())
     assert got == [(1, 1, "get lost now please", "please stay polite", "a clean question here"), (1, 3, "just shut up already", "an answer to it", "a clean question here")]
     texts = spark.createDataFrame([(0, "get lost now the 12"), (1, "you idiot get lost"), (2, "nothing of it"), (3, "shut up")], "i int, t string")
     assert [r.v for r in sorted(texts.select("i", mining.turn_terms(F.col("t")).alias("v")).collect())] == [["get", "lost", "now"], ["idiot"], [], ["shut"]]
