@@ -37,8 +37,8 @@ SLACK = 0.25
 PIVOT_ROUNDS = 2
 #: Nodes of one bucket that are compared in one task at a time, and shingles that these may hold, about.
 CHUNK, CHUNK_SHINGLES = 400, 4_000_000
-#: Rows that one task of a comparison takes, about.
-TASK_ROWS = 20_000
+#: Rows that one task of a comparison takes, about, and rows and shingles of one that confirms on whole sets.
+TASK_ROWS, SET_ROWS, SET_SHINGLES = 8_000, 2_500, 1_000_000
 #: Up to so many wanted rows (8 bytes each) are sent to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -254,7 +254,7 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
     involved = parts.repartition(tasks, "part").sortWithinPartitions("part").mapInPandas(_involved(percent), "node long, comp long, n long, sketch binary, name binary")
     involved = staging.staged(involved.dropDuplicates(["name", "node"]))
     size = involved.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
-    tasks = max(common.tasks_for(spark, size["rows"], TASK_ROWS // 4), common.tasks_for(spark, size["n"] or 0, CHUNK_SHINGLES))
+    tasks = max(common.tasks_for(spark, size["rows"], SET_ROWS), common.tasks_for(spark, size["n"] or 0, SET_SHINGLES))
     confirmed.append(staging.staged(involved.join(sets, "node").repartition(tasks, "name").sortWithinPartitions("name").mapInPandas(_resolved(percent), "a long, b long")))
     staging.discard(rows, cut, involved, sets, nodes)
     comps = common.components(reduce(DataFrame.unionByName, confirmed))
