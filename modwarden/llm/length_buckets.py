@@ -69,8 +69,9 @@ def packed(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int
     for i, b in reversed(list(enumerate(bounds))):
         inside = F.col("length") <= b
         bucket, bound = F.when(inside, F.lit(i)).otherwise(bucket), F.when(inside, F.lit(b).cast("long")).otherwise(bound)
-    rows = rows.withColumn("bucket", bucket).withColumn("bound", bound).withColumn("__mix", F.xxhash64("__id"))
-    rows = common.numbered(rows, ["bucket"], "__mix", ["__id", "length"], "__slot")
+    placed = rows.withColumn("bucket", bucket).withColumn("bound", bound).withColumn("__mix", F.xxhash64("__id"))
+    lengths, rows = rows, common.numbered(placed, ["bucket"], "__mix", ["__id", "length"], "__slot")
+    staging.discard(lengths)
     per = F.greatest(F.floor(F.lit(token_budget) / F.col("bound")), F.lit(1)).cast("long")
     return rows.withColumn("batch_rows", per).select(
         F.col("__id").alias(id_col),
