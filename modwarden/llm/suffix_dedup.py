@@ -274,8 +274,10 @@ def _kinds(pieces: DataFrame) -> DataFrame:
     group is hot."""
     kinds = staging.staged(pieces.groupBy("grp", "content").agg(F.count(F.lit(1)).alias("places"), F.bool_or("twice").alias("twice"), F.min(F.struct("k1", "k2", "lo", "hi", "at", "anchor")).alias("one")))
     groups = kinds.groupBy("grp").agg(F.sum("places").alias("all"), F.bool_or("twice").alias("any"), F.count(F.lit(1)).alias("contents")).where("all > 1 or any").select("grp", (F.col("contents") > HOT).alias("hot"))
+    # a table of their own: an aggregate in the stage of the join would bind a hot group to one task
+    groups = staging.staged(groups)
     out = staging.staged(kinds.join(groups, "grp").select("grp", "content", (F.col("twice") | (F.col("places") > 1)).alias("twice"), "one", "hot"))
-    staging.discard(kinds)
+    staging.discard(kinds, groups)
     return out
 
 
