@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modwarden.functions import hashing, signals
@@ -33,6 +35,52 @@ TEXTS = {
 }
 
 
+@dataclass(frozen=True)
+class Spec:
+    """A public corpus: its id, kind and configuration, and its splits in the order they are tried."""
+
+    source: str
+    kind: str
+    splits: tuple[str, ...] = ("train",)
+    config: str = ""
+
+    @property
+    def folder(self) -> str:
+        return "/".join(filter(None, (self.source.replace("/", "__"), self.config)))
+
+
+#: Ids, kinds and splits of public corpora, in the order in which their rows count.
+SPECS = (
+    Spec("julien-c/jigsaw-toxic-comment-classification-challenge", "jigsaw"),
+    Spec("thesofakillers/jigsaw-toxic-comment-classification-challenge", "jigsaw"),
+    Spec("tcapelle/jigsaw-toxic-comment-classification-challenge", "jigsaw"),
+    Spec("Mirenda/jigsaw-toxic-comment-classification-challenge", "jigsaw"),
+    Spec("allenai/real-toxicity-prompts", "real_toxicity"),
+    Spec("Ahren09/RealToxicityPrompts", "real_toxicity", ("train", "validation", "test")),
+    Spec("google/civil_comments", "civil_comments"),
+    Spec("tdavidson/hate_speech_offensive", "tdavidson"),
+    Spec("SetFit/hate_speech_offensive", "tdavidson_setfit", ("train", "test")),
+    Spec("SetFit/hate_speech18", "binary_label_setfit", ("train", "test")),
+    Spec("tweets-hate-speech-detection/tweets_hate_speech_detection", "binary_label_tweets"),
+    Spec("ucberkeley-dlab/measuring-hate-speech", "berkeley_hate_score"),
+    Spec("tweet_eval", "tweet_eval_binary", config="hate"),
+    Spec("tweet_eval", "tweet_eval_binary", config="offensive"),
+    Spec("s-nlp/paradetox", "paradetox_pairs"),
+)
+
+
+def toxic_texts(spark: SparkSession, root: str, specs: tuple[Spec, ...] = SPECS, least: float = 0.5, kind: str = "json") -> DataFrame:
+    """rank (of the corpus), source, text and score of the toxic rows of all corpora that lie under root/folder/split.
+
+    Of each the first split that is there counts; a corpus without any is left out."""
+    found = [spark.createDataFrame([], "rank int, source string, text string, score double")]
+    for rank, spec in enumerate(specs):
+        rows = scans.first_split(spark, f"{root}/{spec.folder}", list(spec.splits), kind)
+        if rows is not None:
+            found.append(toxic(rows, spec.kind, least).select(F.lit(rank).alias("rank"), F.lit(spec.source).alias("source"), "text", "score"))
+    return scans.corpora(*found)
+
+
 def _most(rows: DataFrame, names: list[str]) -> Column:
     """The greatest of the scores a table has, 0 at least."""
     have = [hashing.to_float(c.cast("string")) for c in scans.fields(rows, names)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from modwarden import lexicon as L
 from modwarden import oracles as O
+from modwarden.plans.corpora import SPECS
 from modwarden.plans.mining import TOXIC_PHRASES
 
 _FNV64 = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({t}, ''), lambda c: ord(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::VARCHAR"
@@ -40,6 +41,7 @@ UNION ALL SELECT 'binary_label_setfit', name, 0.95 FROM l WHERE d % 4 IN (0, 1)
 UNION ALL SELECT 'binary_label_tweets', name, 0.95 FROM l WHERE d % 3 <> 0
 UNION ALL SELECT 'tweet_eval_binary', name, 0.95 FROM l WHERE d % 3 = 1
 UNION ALL SELECT 'paradetox_pairs', name, 0.98 FROM l WHERE d % 2 = 0)"""
+_LAST = [(k, *next((i, s.source) for i, s in reversed(list(enumerate(SPECS))) if s.kind == k)) for k in sorted({s.kind for s in SPECS})]
 _CAPPED = """capped AS (SELECT *, row_number() OVER (ORDER BY source, doc_id) - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM mined) WHERE rn <= 3)"""
 _WORDS = f"list_sort(list_distinct(list_filter({O.words('t')}, lambda w: length(w) >= 3 AND NOT list_contains({O.lst(L.WHITELIST)}, w))))"
 _KNOWN = O._TERMS.replace("context", "t")
@@ -81,7 +83,7 @@ SELECT word, bad, white, short, aggressive, CASE WHEN bad THEN CASE WHEN length(
     "legacy_words": """WITH a AS (SELECT lower(trim(n_name)) AS word FROM nation WHERE n_nationkey % 4 <> 2 AND (n_nationkey % 5 = 0 OR n_nationkey % 5 >= 2) AND length(trim(n_name)) >= 4), b AS (SELECT lower(r_name) AS word FROM region)
 SELECT 'union' AS kind, word FROM (SELECT word FROM a UNION SELECT word FROM b) UNION ALL SELECT DISTINCT 'fallback', word FROM b""",
     "decision_overlay": f"WITH {_OVERLAY} SELECT r_regionkey, round(least(a, b), 6) AS review, round(greatest(a, b), 6) AS block, feature, CASE WHEN feature = 'fuzzy_strong' AND r_regionkey < 4 THEN r_regionkey::DOUBLE ELSE weight::DOUBLE END AS weight FROM m, f",
-    "labelled_corpora": f"WITH {_LABELLED} SELECT kind, text, round(score::DOUBLE, 4) AS score FROM j",
+    "labelled_corpora": f"WITH {_LABELLED} SELECT rank, source, text, round(score::DOUBLE, 4) AS score FROM j JOIN {values(_LAST, 'kind, rank, source')} USING (kind)",
     "labelled_texts": "WITH t AS (SELECT trim(substr(coalesce(text, ''), 1, 60), ' ') AS t FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) SELECT md5(t) AS text, length(t)::INT AS n FROM t UNION ALL SELECT md5(t), length(t)::INT FROM t",
     "literal_messages": f"SELECT * FROM {values([(t, 'nitro_scam') for t in L.SCAM_EXAMPLES], 'text, category')}",
     "mined_file": f"WITH {O.MINED}, {_CAPPED} SELECT pos::INT AS pos, source, toxicity_score, array_to_string(profane_terms, ',') AS terms, md5(context) AS context_md5 FROM capped WHERE pos < 20",

@@ -103,13 +103,11 @@ def labelled_corpora(spark, sf_dir):
         "tweet_eval_binary": [name.alias("text"), (d % 3).alias("label")],
         "paradetox_pairs": [F.when(d % 2 == 0, name).otherwise(F.lit("")).alias("en_toxic_comment"), F.lit("neutral").alias("en_neutral_comment")],
     }
-    found = []
-    for kind, columns in made.items():
-        path = _written(spark, kind, lambda p: sinks.json_lines(l.select(*columns), f"{p}/validation"))  # noqa: B023
-        rows = scans.first_split(spark, path, ["train", "validation", "test"])
-        found.append(corpora.toxic(rows, kind).select(F.lit(kind).alias("kind"), "text", F.round("score", 4).alias("score")))
-    assert scans.first_split(spark, path, ["train"]) is None
-    return scans.corpora(*found)
+    root, left = staging.scratch(spark, "corpora"), dict(made)
+    for spec in reversed(corpora.SPECS):  # one corpus of each kind is there, in the last of its splits
+        if columns := left.pop(spec.kind, None):
+            sinks.json_lines(l.select(*columns), f"{root}/{spec.folder}/{spec.splits[-1]}")
+    return corpora.toxic_texts(spark, root).select("rank", "source", "text", F.round("score", 4).alias("score"))
 
 
 def labelled_texts(spark, sf_dir):
