@@ -139,7 +139,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         roots = roots.join(up.select(F.col("v").alias("root"), F.col("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     roots = staging.staged(roots, n)
     staging.discard(*levels)
-    least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
+    # apart from the join, in whose stage it would bind a hot root to one task
+    least = staging.staged(roots.groupBy("root").agg(F.min("node").alias("component_id")), n)
     out = staging.staged(roots.join(least, "root").select("node", "component_id"), n)
-    staging.discard(roots)
+    staging.discard(roots, least)
     return out

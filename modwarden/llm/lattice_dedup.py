@@ -319,6 +319,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("node"), "n")
     sums = cores.join(nodes.select("node", "copies"), "node").groupBy("label").agg(F.sum("copies").alias("all"), F.min("node").alias("head"))
+    sums = staging.staged(sums, total)
     cored = staging.staged(cores.join(sums, "label").select("node", "all", "head"))
     links = found.where("b is not null").select("a", "b").unionByName(cored.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
     comps = common.components(links)
@@ -327,7 +328,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = staging.staged(out.select("cls", "first", F.coalesce("component_id", "node").alias("top"), n_links.cast("long").alias("n_links")).where("n_links > 0"), total)
     least_id = staging.staged(out.groupBy("top").agg(F.min("first").alias("component_id")), out.count())
     target = staging.staged(out.join(least_id, "top").select("cls", "n_links", "component_id"), out.count())
-    staging.discard(nodes, cells, members, cores, named, open_, involved, found, cored, comps, out, least_id)
+    staging.discard(nodes, cells, members, cores, sums, named, open_, involved, found, cored, comps, out, least_id)
     final = prepared.select("id", "cls").join(target, "cls", "left")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return final.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -241,8 +241,10 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
 
     placed = _labelled(members.select("bucket", "node"), comps)
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    # a table of its own: an aggregate in the stage of the join would bind a hot bucket to one task
+    open_ = staging.staged(open_, members.count())
     rows = staging.staged(placed.join(open_, "bucket").join(nodes.select("node", "n", "sketch"), "node"), 4 * members.count())
-    staging.discard(members, comps)
+    staging.discard(members, comps, open_)
     # a chunk is bounded by its nodes and, as their whole sets may follow, by what those hold
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
     cut = staging.staged(rows.groupBy("bucket").agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("size")), rows.count())
@@ -267,8 +269,9 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, width: int, percen
 def _tops(classes: DataFrame, comps: DataFrame, least: Column, most: int) -> DataFrame:
     """Of the classes (`most` at most) that have copies or links, (node, least): the least `first` of their components."""
     moved = staging.staged(classes.join(comps, "node", "left").where("copies > 1 or component_id is not null").select("node", F.coalesce("component_id", "node").alias("top"), "first"), most)
-    out = staging.staged(moved.join(moved.groupBy("top").agg(least), "top").drop("top", "first"), moved.count())
-    staging.discard(moved)
+    first = staging.staged(moved.groupBy("top").agg(least), moved.count())  # apart from the join, for hot components
+    out = staging.staged(moved.join(first, "top").drop("top", "first"), moved.count())
+    staging.discard(moved, first)
     return out
 
 

@@ -320,11 +320,13 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int, symbols: Symbols
     segments = staging.staged(texts.mapInArrow(_merged(_segments(length, symbols)), SEGMENT))
     place = F.xxhash64("k1", "k2", "at")
     shared = segments.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
-    # equal texts have equal segments, of which the set keeps one; a distinct() here would bind a hot anchor to one task
+    # equal texts have equal segments, of which the set keeps one; a distinct() here would bind a hot anchor to one task, and
+    # so would the aggregate of anchors in the stage of the join
+    shared = staging.staged(shared)
     left = segments.join(shared, "anchor", "left_semi")
     wanted = left.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "at", "lo", "hi", F.lit(0).cast("long").alias("pg"), F.lit(0).cast("long").alias("pc"), F.lit(0).alias("base"), F.lit(False).alias("twice"))).alias("wanted"))
     wanted = staging.staged(wanted)
-    staging.discard(segments)
+    staging.discard(segments, shared)
     pieces = staging.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, _blocks(symbols)[0], symbols)), PIECE))
     staging.discard(wanted)
     kinds = _kinds(pieces)
