@@ -28,6 +28,11 @@ def json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def csv(rows: DataFrame, path: str) -> None:
+    """CSV files with a header that scans.csv reads as they were: white space at the ends of a field stays."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def source_summary(mined: DataFrame) -> DataFrame:
     """source and n of mined records."""
     return mined.groupBy("source").agg(F.count(F.lit(1)).alias("n"))

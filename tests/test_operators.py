@@ -8,7 +8,7 @@ from modwarden import lexicon
 from modwarden.functions import distance, hashing
 from modwarden.operators import candidates, containment, lexical, seeds, vector
 from modwarden.plans import cascade, mining, reports
-from modwarden.sources import scans
+from modwarden.sources import scans, sinks
 from modwarden.streaming import jobs
 
 
@@ -207,3 +207,12 @@ def test_containment(spark, monkeypatch):
         monkeypatch.setattr(containment, "SHORT_PASSAGES", n)
         got = [tuple(x) for x in containment.passages_in(docs, spark.createDataFrame(items, "item_id int, passage string")).collect()]
         assert set(got) == want and len(got) == len(set(got))
+
+
+def test_csv_keeps_texts(spark, tmp_path):
+    texts = ["ends in a line\n", "\tbegins and ends in a tab\t", "\n", " ", "", "a\rb", "a\r\nb\r", 'say "no", or\nnot', '"', "back\\", "\\\"", "# none", "\0 first", "plain"]
+    rows = spark.createDataFrame([(t, "1") for t in [*texts, None]], "text string, label string")
+    sinks.csv(rows.coalesce(1), str(tmp_path / "csv"))
+    back = scans.csv(spark, str(tmp_path / "csv"), "text string, label string")
+    assert sorted(r.text for r in back.where("text is not null").collect()) == sorted(texts) and back.count() == len(texts) + 1
+    assert sorted(r.text for r in scans.labelled(back, "text", "label").collect()) == sorted(t.strip(" ") for t in texts)
