@@ -21,10 +21,11 @@ def _words(c: Column) -> Column:
 
 
 def _pairs(words: Column) -> Column:
-    """Distinct pairs of neighbouring words, as hashes."""
-    n = F.size(words)
-    at = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i))))
+    """Distinct pairs of neighbouring words, as hashes.
+
+    The words are named outside the lambda only: inside, they would be split again for every pair."""
+    lead = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.array_distinct(F.zip_with(lead, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
 
 
 def passages_in(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

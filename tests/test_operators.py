@@ -1,6 +1,7 @@
 """Operators on small tables."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -216,3 +217,14 @@ def test_csv_keeps_texts(spark, tmp_path):
     back = scans.csv(spark, str(tmp_path / "csv"), "text string, label string")
     assert sorted(r.text for r in back.where("text is not null").collect()) == sorted(texts) and back.count() == len(texts) + 1
     assert sorted(r.text for r in scans.labelled(back, "text", "label").collect()) == sorted(t.strip(" ") for t in texts)
+
+
+def test_containment_of_long_texts(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(30_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:20_000]))], "doc_id int, text string")
+    items = spark.createDataFrame([(7, " ".join(words[25_000:25_020])), (8, " ".join(words[5:9]))], "item_id int, passage string")
+    began = time.time()
+    got = sorted(tuple(x) for x in containment.passages_in(docs, items).collect())
+    assert got == [(7, 1), (8, 1), (8, 2)]
+    assert time.time() - began < 60  # the square of the words takes minutes
