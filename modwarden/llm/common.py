@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Gives what a Python worker has freed back to the system.  Workers outlive their tasks, and an executor keeps more of them
+    than it has cores, each at its peak otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def content_key(text: Column) -> Column:
     """128 bits that stand for a text."""
     return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text, F.octet_length(text)).alias("h2"))

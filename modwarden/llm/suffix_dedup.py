@@ -166,6 +166,8 @@ def _merged(run):
                 held, rows = [], 0
         if rows:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held, b = [], None
+        common.release()
 
     return whole
 
@@ -256,6 +258,7 @@ def _shard(length: int, symbols: Symbols):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         found = repeated_windows([bytes(b) for b in frame["body"]], frame["twice"].tolist(), length, symbols.kind)
         rows = [(g, c, lo, hi) for g, c, starts in zip(frame["grp"], frame["content"], found) for lo, hi in _runs(starts, length)]
+        common.release()
         return pd.DataFrame(rows, columns=["grp", "content", "from", "to"])
 
     return run

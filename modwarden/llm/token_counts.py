@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modwarden.llm import common
+
 #: The public pre-token pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between two characters that neither library calls white space always begins a pre-token.
@@ -26,8 +29,8 @@ _ODD_SPACE = re.compile(r"[\s\x1c-\x1f] | [\s\x1c-\x1f]")
 _SAFE_SPACE = re.compile(r"(?<![\s\x1c-\x1f]) (?![\s\x1c-\x1f])")
 _FAR = np.int64(1) << 40
 #: Bounds that keep memory level; they change no result.
-CACHE_WORDS = 400_000
-CHUNK_PIECES = 200_000
+CACHE_WORDS = 100_000
+CHUNK_PIECES = 50_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -171,21 +174,20 @@ class Counter:
             out[i] += sum(map(get, parts))
 
 
-@lru_cache(maxsize=4)
-def counter_at(path: str) -> Counter:
-    return Counter(path)
-
-
 def n_tokens(text: Column, path: str) -> Column:
     """Tokens of a text by the byte-level BPE file at `path`, which every executor must be able to open.
 
     Null and empty texts have 0.  Special strings of the file inside a text count as one token each, as the
-    library does by default.
+    library does by default.  What a task remembers goes at its end, as an executor keeps more workers than it runs.
     """
 
     @F.pandas_udf(T.LongType())
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series(counter_at(path).count(texts.fillna("").tolist()), dtype="int64")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counter = Counter(path)
+        for texts in batches:
+            yield pd.Series(counter.count(texts.fillna("").tolist()), dtype="int64")
+        del counter
+        common.release()
 
     return count(text)
 

@@ -46,6 +46,19 @@ def test_token_cache_bound(monkeypatch):
     assert token_counts.Counter(path).count(texts) == want
 
 
+def test_token_counters_end_with_their_task(spark):
+    docs = spark.range(4000, numPartitions=8).select(F.concat_ws(" ", *[F.hash("id", F.lit(k)).cast("string") for k in range(20)]).alias("text"))
+    docs.select(token_counts.n_tokens(F.col("text"), tokenizer_path("byte_bpe_50k.json"))).write.format("noop").mode("overwrite").save()
+
+    @F.udf("int")
+    def alive(_):
+        import gc
+
+        return sum(type(o) is token_counts.Counter for o in gc.get_objects())
+
+    assert {r[0] for r in spark.range(200, numPartitions=8).select(alive("id")).collect()} == {0}
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
