@@ -22,6 +22,10 @@ from modwarden.llm import (
 from modwarden.llm.sql import ORACLES  # noqa: F401  (read by the driver's entry)
 
 
+#: Words of a repeated passage that op10's text may not keep: over 50.
+PASSAGE_WORDS = 51
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary file lies; the same on every executor."""
     import public_tokenizers
@@ -73,7 +77,7 @@ def op9_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_report(_documents(spark, sf_dir), length=400)
+    return suffix_dedup.cut_report(_documents(spark, sf_dir), length=400, words=PASSAGE_WORDS)
 
 
 QUERIES = {

@@ -64,8 +64,9 @@ def _unspaced(raw: np.ndarray) -> np.ndarray:
     return ((raw >= 0xE3) & (raw <= 0xE9)) | ((raw == 0xE0) & (nxt >= 0xB8) & (nxt <= 0xBB)) | ((raw == 0xE1) & (((nxt >= 0x80) & (nxt <= 0x82)) | (nxt == 0x9E) | (nxt == 0x9F)))
 
 
-def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, end, hash) of each word of one text.  A character of a script without spaces is a word of its own."""
+def word_places(text: bytes | np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, hash) of each word of one text, or of texts that stand one after another and start and end at
+    bounds.  A character of a script without spaces is a word of its own."""
     raw = np.frombuffer(text, np.uint8)
     n = len(raw)
     if not n:
@@ -79,6 +80,8 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         single = np.flatnonzero(_unspaced(raw))
         edge[single] = True
         edge[np.minimum(single + 3, n)] = True
+    if bounds is not None:
+        edge[bounds] = True
     cut = np.flatnonzero(edge)
     start, end = cut[:-1], cut[1:]
     start, end = start[~gap[start]], end[~gap[start]]

@@ -20,7 +20,9 @@ Texts are known by 128 bits of hash.  Equal texts are one; a text of at least `l
 twice is repeated throughout.
 
 The same runs over words in place of bytes (`WORDS`): a symbol is then the 64-bit hash of a word, and `length` and all
-places count words, so a passage is found whatever bytes stand between its words.
+places count words, so a passage is found whatever bytes stand between its words.  For the suffix array each word becomes two
+symbols of a small alphabet, as a round of sorting takes one symbol.  Where strings of bytes are cut as well, groups that stand
+inside those everywhere end before any sorting.
 """
 
 from __future__ import annotations
@@ -47,36 +49,62 @@ WORD_BLOCKS = (24, 6, 1)
 #: Different contents of one group that one shard may have to hold.
 HOT = 500
 SHARD_BYTES = 1_000_000
-#: As a sorting round is one of a symbol, and words are many different symbols, shards of words are smaller.
+#: A word is eight bytes of a body and two symbols of a suffix array.
 SHARD_WORDS = 200_000
 #: Up to so many wanted texts are looked up by a broadcast of their 16-byte keys; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes of texts that one array operation takes together; a longer text is taken alone.
+CHUNK_BYTES = 128_000
 
 SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 SEGMENT = "anchor long, k1 long, k2 long, at int, lo int, hi int"
-PIECE = "grp long, content long, k1 long, k2 long, at int, lo int, hi int, anchor long, pg long, pc long, base int, twice boolean"
+PIECE = "grp long, content long, k1 long, k2 long, at int, lo int, hi int, anchor long, pg long, pc long, base int, twice boolean, covered boolean"
 
 
 @dataclass(frozen=True)
 class Symbols:
-    """What the symbols of a text are."""
+    """What the symbols of texts are: of their bytes, one text after another, and where texts start and end, the symbols, where
+    texts start and end in these, and the first byte and end of each."""
 
-    of: Callable[[str], np.ndarray]
+    of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     gram: int
     kind: type
 
 
-def _bytes_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def _bytes_of(raw: np.ndarray, bounds: np.ndarray):
+    at = np.arange(len(raw) + 1)
+    return raw, bounds, at[:-1], at[1:]
 
 
-def _words_of(text: str) -> np.ndarray:
-    return word_places(text.encode("utf-8", "surrogatepass"))[2]
+def _words_of(raw: np.ndarray, bounds: np.ndarray):
+    start, end, words = word_places(raw, bounds)
+    return words, np.searchsorted(start, bounds), start, end
 
 
 BYTES, WORDS = Symbols(_bytes_of, 64, np.uint8), Symbols(_words_of, 12, np.uint64)
 
 
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, bytes, bounds) of texts that are taken together."""
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1)
+        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(where each row's list starts, the fields of all rows' structs); a null list is empty."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    names = [f.name for f in flat.type]
+    return np.concatenate(([0], np.cumsum(size))).astype(np.int64), {n: x.to_numpy(zero_copy_only=False) for n, x in zip(names, flat.flatten())}
+
+
 def _blocks(symbols: Symbols) -> tuple[int, ...]:
     return WORD_BLOCKS if symbols is WORDS else BLOCKS
 
@@ -98,16 +126,17 @@ def _rightmost_minima(h: np.ndarray, width: int) -> np.ndarray:
         step = min(reach, width - reach)
         low = np.minimum(low[:-step], low[step:])
         reach += step
-    n = len(low)
     # a value is some window's least if it equals the greatest of the least values of the windows that hold it
-    top, reach = np.concatenate((np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64))), 1
+    none = np.zeros(width - 1, h.dtype)
+    top, reach = np.concatenate((none, low, none)), 1
     while reach < width:
         step = min(reach, width - reach)
         top = np.maximum(top[:-step], top[step:])
         reach += step
-    picked = np.flatnonzero(h == top)
+    chosen = h == top
+    picked = np.flatnonzero(chosen)
     # of each window: the last picked place of that value; picked values inside a window are never below its least
-    last = np.searchsorted(picked, np.arange(n) + width, side="left") - 1
+    last = np.cumsum(chosen)[width - 1 :] - 1
     at = picked[last]
     off = np.flatnonzero(h[at] != low)
     while len(off):
@@ -117,16 +146,27 @@ def _rightmost_minima(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def segments_of(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, anchor place, first window, last window) of each segment."""
+def segments_of(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, anchor place, first window, last window, text) of each segment of texts that stand one after another."""
+    whole = np.flatnonzero(np.diff(bounds) >= length)
+    if not len(whole):
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none, none
     sums, down = _sums(raw)
     gram = min(gram, length)
-    lo = np.arange(len(raw) - gram + 1)
-    h = _hash(sums, down, lo, lo + gram)
-    at = _rightmost_minima(h, length - gram + 1)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    last = np.concatenate((first[1:], [len(at)])) - 1
-    return h[at[first]], at[first], first, last
+    h = mixed((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1] + np.uint64(gram))
+    at = _rightmost_minima((h >> np.uint64(32)).astype(np.uint32), length - gram + 1)
+    new = np.ones(len(at) + 1, dtype=bool)
+    new[1:-1] = at[1:] != at[:-1]
+    new[bounds[whole]] = True
+    new[bounds[whole + 1] - length + 1] = True
+    edge = np.flatnonzero(new)
+    first, last = edge[:-1], edge[1:] - 1
+    text = np.searchsorted(bounds, first, "right") - 1
+    inside = first + length <= bounds[text + 1]  # other windows reach into the next text
+    first, last, text = first[inside], last[inside], text[inside]
+    at, start = at[first], bounds[text]
+    return h[at], at - start, first - start, last - start, text
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -142,13 +182,11 @@ def _segments(length: int, symbols: Symbols):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = symbols.of(text)
-                if len(raw) < length:
-                    continue
-                h, at, lo, hi = segments_of(raw, length, symbols.gram)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([_long(h), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)), _int(at), _int(lo), _int(hi)], names)
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j, raw, bounds in _chunks(batch.column(2)):
+                values, bounds, _, _ = symbols.of(raw, bounds)
+                h, at, lo, hi, text = segments_of(values, bounds, length, symbols.gram)
+                yield pa.RecordBatch.from_arrays([_long(h), _long(k1[i:j][text]), _long(k2[i:j][text]), _int(at), _int(lo), _int(hi)], names)
 
     return run
 
@@ -173,27 +211,37 @@ def _merged(run):
 
 
 def _pieces(length: int, block: int, symbols: Symbols):
-    """Cuts a text's wanted window runs into blocks: group, content, place."""
-    names = ["grp", "content", "k1", "k2", "at", "lo", "hi", "anchor", "pg", "pc", "base", "twice"]
+    """Cuts a text's wanted window runs into blocks: group, content, place, and whether it stands in one of the text's cut spans."""
+    names = ["grp", "content", "k1", "k2", "at", "lo", "hi", "anchor", "pg", "pc", "base", "twice", "covered"]
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = symbols.of(row["text"])
-                sums, down = _sums(raw)
-                anchor, at, lo, hi, pg, pc, base, twice = (np.array([w[k] for w in row["wanted"]], dtype=np.int64) for k in ("anchor", "at", "lo", "hi", "pg", "pc", "base", "twice"))
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            rows, wanted = _lists(batch.column("wanted"))
+            cuts, cut = _lists(batch.column("spans")) if "spans" in batch.schema.names else (None, None)
+            for i, j, raw, starts in _chunks(batch.column("text")):
+                values, bounds, begin, end = symbols.of(raw, starts)
+                sums, down = _sums(values)
+                anchor, at, lo, hi, pg, pc, base, twice = (wanted[k][rows[i] : rows[j]].astype(np.int64) for k in ("anchor", "at", "lo", "hi", "pg", "pc", "base", "twice"))
                 near, far = (at - hi) // block, (at - lo) // block
                 count = far - near + 1
                 src = np.repeat(np.arange(len(at)), count)
+                text = np.repeat(np.arange(j - i), np.diff(rows[i : j + 1]))[src]
                 b = np.repeat(near, count) + np.arange(len(src)) - np.repeat(np.cumsum(count) - count, count)
                 a = at[src]
                 upper, lower = a - b * block, a - b * block - block + 1
                 first, last = np.maximum(lower, lo[src]), np.minimum(upper, hi[src])
-                core = _hash(sums, down, np.maximum(upper, 0), np.minimum(lower + length, len(raw)))
+                own, stop = bounds[text], bounds[text + 1]
+                core = _hash(sums, down, np.maximum(upper, 0) + own, np.minimum(lower + length + own, stop))
                 group = mixed(mixed(anchor[src].view(np.uint64) + b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + core)
-                content = _hash(sums, down, first, last + length)
-                n = len(src)
-                yield pa.RecordBatch.from_arrays([_long(group), _long(content), pa.array(np.full(n, row["k1"], np.int64)), pa.array(np.full(n, row["k2"], np.int64)), _int(a), _int(first), _int(last), _long(anchor[src]), _long(pg[src]), _long(pc[src]), _int(base[src]), pa.array(twice[src] > 0)], names)
+                content = _hash(sums, down, first + own, last + length + own)
+                covered = np.zeros(len(src), dtype=bool)
+                if cuts is not None and cuts[j] > cuts[i]:
+                    shift = np.repeat(starts[:-1], np.diff(cuts[i : j + 1]))
+                    cut_lo, cut_hi = cut["lo"][cuts[i] : cuts[j]] + shift, cut["hi"][cuts[i] : cuts[j]] + shift
+                    k = np.searchsorted(cut_lo, begin[first + own], "right") - 1
+                    covered = (k >= 0) & (cut_hi[np.maximum(k, 0)] >= end[last + length - 1 + own])
+                yield pa.RecordBatch.from_arrays([_long(group), _long(content), _long(k1[i:j][text]), _long(k2[i:j][text]), _int(a), _int(first), _int(last), _long(anchor[src]), _long(pg[src]), _long(pc[src]), _int(base[src]), pa.array(twice[src] > 0), pa.array(covered)], names)
 
     return run
 
@@ -203,11 +251,14 @@ def _contents(length: int, symbols: Symbols):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = symbols.of(row["text"])
-                w = row["wanted"]
+            rows, wanted = _lists(batch.column("wanted"))
+            for i, j, raw, bounds in _chunks(batch.column("text")):
+                values, bounds, _, _ = symbols.of(raw, bounds)
+                w = {k: x[rows[i] : rows[j]] for k, x in wanted.items()}
+                own = np.repeat(bounds[:-1], np.diff(rows[i : j + 1]))
+                ranges = zip((w["lo"] + own).tolist(), (w["hi"] + length + own).tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["grp"] for x in w], pa.int64()), pa.array([x["content"] for x in w], pa.int64()), pa.array([x["twice"] for x in w], pa.bool_()), pa.array([raw[x["lo"] : x["hi"] + length].tobytes() for x in w], pa.binary())],
+                    [_long(w["grp"]), _long(w["content"]), pa.array(w["twice"].astype(bool)), pa.array([values[a:b].tobytes() for a, b in ranges], pa.binary())],
                     ["grp", "content", "twice", "body"],
                 )
 
@@ -218,17 +269,24 @@ def repeated_windows(bodies: list[bytes], twice: list[bool], length: int, kind:
     """For each body the starts of its windows of `length` symbols that occur at another place of the bodies.
 
     A body that stands for two places is repeated throughout."""
-    values = np.frombuffer(b"".join(bodies), kind)
-    if kind != np.uint8:
-        values = np.unique(values, return_inverse=True)[1]
+    values = np.frombuffer(b"".join(bodies), kind).astype(np.int64) if kind == np.uint8 else np.unique(np.frombuffer(b"".join(bodies), kind), return_inverse=True)[1]
     size = np.array([len(b) // np.dtype(kind).itemsize for b in bodies], dtype=np.int64)
+    step = 1
+    if kind != np.uint8:
+        # a word is two symbols, and as no second one is ever a first one, what starts at a word only equals what starts at one
+        step, base = 2, int(len(values) and values.max()) ** 0.5 // 1 + 1
+        values = np.stack((values // base, values % base + base), 1).astype(np.int64).ravel()
+        size, length = size * step, length * step
     start = np.concatenate(([0], np.cumsum(size + 1)))
     joined = np.ones(start[-1] + 1, dtype=np.int64)  # 1 stands between bodies, 0 at the end
     joined[-1] = 0
     inside = np.ones(start[-1], dtype=bool)
     inside[start[1:] - 1] = False
-    joined[:-1][inside] = values.astype(np.int64) + 2
-    sa = suffix_array(joined, int(joined.max()) + 1)
+    joined[:-1][inside] = values + 2
+    alphabet = int(joined.max()) + 1
+    if alphabet < 1 << 16:  # numpy sorts these by radix
+        joined = joined.astype(np.uint16)
+    sa = suffix_array(joined, alphabet)
     lcp, before = permuted_lcp(joined, sa, length)
     end = np.repeat(start[1:] - 1, size + 1)
     room = np.zeros(len(joined), dtype=np.int64)
@@ -240,7 +298,7 @@ def repeated_windows(bodies: list[bytes], twice: list[bool], length: int, kind:
     out = []
     for k, dup in enumerate(twice):
         a, n = int(start[k]), int(size[k]) - length + 1
-        out.append(np.arange(n) if dup else np.flatnonzero(flagged[a : a + n]))
+        out.append(np.arange(0, n, step) // step if dup else np.flatnonzero(flagged[a : a + n : step]))
     return out
 
 
@@ -273,10 +331,10 @@ def _having(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _kinds(pieces: DataFrame) -> DataFrame:
-    """The different contents of groups that hold anything repeated: whether it stands twice, one place, and whether its
-    group is hot."""
-    kinds = staging.staged(pieces.groupBy("grp", "content").agg(F.count(F.lit(1)).alias("places"), F.bool_or("twice").alias("twice"), F.min(F.struct("k1", "k2", "lo", "hi", "at", "anchor")).alias("one")))
-    groups = kinds.groupBy("grp").agg(F.sum("places").alias("all"), F.bool_or("twice").alias("any"), F.count(F.lit(1)).alias("contents")).where("all > 1 or any").select("grp", (F.col("contents") > HOT).alias("hot"))
+    """The different contents of groups that hold anything repeated and do not stand in cut spans everywhere: whether it stands
+    twice, one place, and whether its group is hot."""
+    kinds = staging.staged(pieces.groupBy("grp", "content").agg(F.count(F.lit(1)).alias("places"), F.bool_or("twice").alias("twice"), F.bool_and("covered").alias("covered"), F.min(F.struct("k1", "k2", "lo", "hi", "at", "anchor")).alias("one")))
+    groups = kinds.groupBy("grp").agg(F.sum("places").alias("all"), F.bool_or("twice").alias("any"), F.bool_and("covered").alias("covered"), F.count(F.lit(1)).alias("contents")).where("(all > 1 or any) and not covered").select("grp", (F.col("contents") > HOT).alias("hot"))
     # a table of their own: an aggregate in the stage of the join would bind a hot group to one task
     groups = staging.staged(groups)
     out = staging.staged(kinds.join(groups, "grp").select("grp", "content", (F.col("twice") | (F.col("places") > 1)).alias("twice"), "one", "hot"))
@@ -311,8 +369,11 @@ def _resolved(texts: DataFrame, kinds: DataFrame, length: int, level: int, symbo
     return out
 
 
-def repeated_spans(docs: DataFrame, text_col: str, length: int, symbols: Symbols = BYTES) -> tuple[DataFrame, DataFrame]:
-    """(docs with k1, k2; per text its repeated ranges of symbols as k1, k2, spans, in order and disjoint)."""
+def repeated_spans(docs: DataFrame, text_col: str, length: int, symbols: Symbols = BYTES, cut: tuple[DataFrame, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(docs with k1, k2; per text its repeated ranges of symbols as k1, k2, spans, in order and disjoint).
+
+    cut: the spans of bytes that are cut already, and their law's length.  Ranges of words that lie inside them at all their
+    places may then be left out; any other is found at all its places."""
     spark = docs.sparkSession
     staging.small_batches(spark)
     key = common.content_key(F.coalesce(F.col(text_col), F.lit("")))
@@ -330,6 +391,9 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int, symbols: Symbols
     wanted = left.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "at", "lo", "hi", F.lit(0).cast("long").alias("pg"), F.lit(0).cast("long").alias("pc"), F.lit(0).alias("base"), F.lit(False).alias("twice"))).alias("wanted"))
     wanted = staging.staged(wanted)
     staging.discard(segments, shared)
+    if cut is not None:
+        bare, wanted = wanted, staging.staged(wanted.join(cut[0].select("k1", "k2", "spans"), ["k1", "k2"], "left"))
+        staging.discard(bare)
     pieces = staging.staged(_having(texts, wanted).mapInArrow(_merged(_pieces(length, _blocks(symbols)[0], symbols)), PIECE))
     staging.discard(wanted)
     kinds = _kinds(pieces)
@@ -337,6 +401,8 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int, symbols: Symbols
     spans = pieces.select("grp", "content", "k1", "k2", "lo").join(found, ["grp", "content"]).select("k1", "k2", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     per_text = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("raw"))
     copies = keyed.where(F.octet_length(text_col) >= least).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(text_col)).alias("size")).where("n > 1")
+    if cut is not None:  # longer copies are cut throughout
+        copies = copies.where(F.col("size") < cut[1])
     if symbols is WORDS:  # words are counted in the texts that stand twice only
         copies = _having(texts, staging.staged(copies.select("k1", "k2"))).select("k1", "k2", _n_words(F.col("text")).alias("size")).where(F.col("size") >= length)
     whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("lo"), F.col("size").cast("int").alias("hi"))).alias("whole"))
@@ -348,7 +414,7 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int, symbols: Symbols
 
 @F.pandas_udf(T.IntegerType())
 def _n_words(text: pd.Series) -> pd.Series:
-    return pd.Series([len(_words_of(t)) for t in text], dtype="int32")
+    return pd.Series([len(word_places(t.encode("utf-8", "surrogatepass"))[2]) for t in text], dtype="int32")
 
 
 @F.pandas_udf(SPANS)
@@ -372,21 +438,27 @@ def _split_join(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     if spans.count() <= BROADCAST_ROWS:
         keys = F.broadcast(spans.select("k1", "k2"))
         cut = keyed.join(keys, ["k1", "k2"], "left_semi").join(spans, ["k1", "k2"])
-        rest = keyed.join(keys, ["k1", "k2"], "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-        return cut.unionByName(rest)
+        return cut.unionByName(keyed.join(keys, ["k1", "k2"], "left_anti"), allowMissingColumns=True)
     return keyed.join(spans, ["k1", "k2"], "left")
 
 
-def cut_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def cut_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int | None = None) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, the SHA-256 of the bytes that stay, and `text`, what stays.
 
     Every byte covered by a string of `length` bytes that also starts elsewhere goes, first places included.
     Null texts count as empty, and `text` stays null.  Rows that repeat another row are copies of its text, whatever
-    their ids.  In `text` a character of which only some bytes are covered stays whole.  An empty table gives an empty
+    their ids.  In `text` a character of which only some bytes are covered stays whole.  With `words`, `text` also lacks every
+    passage of so many words that stands elsewhere in the texts as given, see without_passages(); the digests do not change.  An empty table gives an empty
     result; other columns are left out.
     """
     plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     keyed, spans = repeated_spans(plain, "__text", length)
+    kept = _without("__text", "spans")
+    if words is not None:
+        _, passages = repeated_spans(plain, "__text", words, WORDS, (spans, length))
+        both = staging.staged(spans.join(passages.withColumnRenamed("spans", "passages"), ["k1", "k2"], "full"))
+        staging.discard(spans, passages)
+        spans, kept = both, _without_both("__text", "spans", "passages")
     rows = _split_join(keyed, spans).withColumn("body", F.coalesce("__text", F.lit("")))
 
     @F.pandas_udf(T.StringType())
@@ -409,33 +481,67 @@ def cut_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
         digest("body", "spans").alias("kept_sha256"),
-        _without("__text", "spans").alias("text"),
+        kept.alias("text"),
     ).withColumn("n_spans", F.greatest("n_spans", F.lit(0)))
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, cuts: pd.Series) -> pd.Series:
+def _left(body: bytes, cuts: list[tuple[int, int]]) -> str:
+    """What stays of a text without ranges of bytes, which may overlap."""
+    kept, at = [], 0
+    for lo, hi in sorted(cuts):
+        kept.append(body[at:lo])
+        at = max(at, hi)
+    kept.append(body[at:])
+    return b"".join(kept).decode("utf-8", "surrogatepass")
+
+
+def _of_bytes(body: bytes, cuts) -> list[tuple[int, int]]:
+    """Ranges of bytes without the characters that are only partly covered; they stay."""
     out = []
-    for t, c in zip(text, cuts):
-        if t is None or c is None or not len(c):
+    for x in cuts if cuts is not None else ():
+        lo, hi = x["lo"], x["hi"]
+        while lo < hi and lo < len(body) and body[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(body) and body[hi] & 0xC0 == 0x80:
+            hi -= 1
+        out.append((lo, hi))
+    return out
+
+
+def _of_words(body: bytes, cuts) -> list[tuple[int, int]]:
+    """The bytes of ranges of words."""
+    if cuts is None or not len(cuts):
+        return []
+    start, end, _ = word_places(body)
+    return [(int(start[x["lo"]]), int(end[x["hi"] - 1])) for x in cuts]
+
+
+def _cut(text: pd.Series, *ranges) -> pd.Series:
+    out = []
+    for i, t in enumerate(text):
+        if t is None or all(c.iloc[i] is None or not len(c.iloc[i]) for c, _ in ranges):
             out.append(t)
             continue
         body = t.encode("utf-8", "surrogatepass")
-        kept, at = [], 0
-        for x in c:
-            lo, hi = x["lo"], x["hi"]
-            # a character that is only partly covered stays
-            while lo < hi and lo < len(body) and body[lo] & 0xC0 == 0x80:
-                lo += 1
-            while hi > lo and hi < len(body) and body[hi] & 0xC0 == 0x80:
-                hi -= 1
-            kept.append(body[at:lo])
-            at = hi
-        kept.append(body[at:])
-        out.append(b"".join(kept).decode("utf-8", "surrogatepass"))
+        out.append(_left(body, [r for c, of in ranges for r in of(body, c.iloc[i])]))
     return pd.Series(out, dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, cuts: pd.Series) -> pd.Series:
+    return _cut(text, (cuts, _of_bytes))
+
+
+@F.pandas_udf(T.StringType())
+def _without_words(text: pd.Series, cuts: pd.Series) -> pd.Series:
+    return _cut(text, (cuts, _of_words))
+
+
+@F.pandas_udf(T.StringType())
+def _without_both(text: pd.Series, cuts: pd.Series, passages: pd.Series) -> pd.Series:
+    return _cut(text, (cuts, _of_bytes), (passages, _of_words))
+
+
 def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
     """docs, all columns as they were, with repeated strings of `length` bytes cut from the text.
 
@@ -447,24 +553,6 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 400)
     return _split_join(keyed, spans).withColumn(at, _without(F.col(at), F.col("spans"))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
-@F.pandas_udf(T.StringType())
-def _without_words(text: pd.Series, cuts: pd.Series) -> pd.Series:
-    out = []
-    for t, c in zip(text, cuts):
-        if t is None or c is None or not len(c):
-            out.append(t)
-            continue
-        body = t.encode("utf-8", "surrogatepass")
-        start, end, _ = word_places(body)
-        kept, at = [], 0
-        for x in c:
-            kept.append(body[at : start[x["lo"]]])
-            at = end[x["hi"] - 1]
-        kept.append(body[at:])
-        out.append(b"".join(kept).decode("utf-8", "surrogatepass"))
-    return pd.Series(out, dtype=object)
-
-
 def without_passages(docs: DataFrame, text_col: str = "text", words: int = 51) -> DataFrame:
     """docs, all columns as they were, without any passage of `words` words that also stands elsewhere, first places included.
 

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from modwarden.llm import common, induced_sort, lattice_dedup, odd_minhash, shingles, suffix_dedup
@@ -224,6 +226,60 @@ def test_passages_of_short_words(spark, monkeypatch):
     assert suffix_dedup.without_passages(docs.limit(0)).count() == 0
 
 
+def plain_left(rows, length, words):
+    """Texts without strings of `length` bytes and passages of `words` words that stand elsewhere."""
+    strings, runs, out = collections.Counter(), collections.Counter(), {}
+    cut = [(d, x, [(m.start(), m.end()) for m in re.finditer(r"\S+", x)]) for d, x in rows]
+    tokens = lambda x, w: tuple(x[a:b] for a, b in w)
+    for _, x, w in cut:
+        strings.update(x[i : i + length] for i in range(len(x) - length + 1))
+        runs.update(tokens(x, w[i : i + words]) for i in range(len(w) - words + 1))
+    for d, x, w in cut:
+        spans = [(i, i + length) for i in range(len(x) - length + 1) if strings[x[i : i + length]] > 1]
+        spans += [(w[i][0], w[i + words - 1][1]) for i in range(len(w) - words + 1) if runs[tokens(x, w[i : i + words])] > 1]
+        hit = {k for a, b in spans for k in range(a, b)}
+        out[d] = "".join(c for k, c in enumerate(x) if k not in hit)
+    return out
+
+
+@pytest.mark.parametrize(("length", "hot", "broadcast"), [(400, 500, 500_000), (150, 8, 500_000), (150, 8, 0)])
+def test_cut_report_without_passages(spark, monkeypatch, length, hot, broadcast):
+    """op10's text lacks passages of over 50 words of fewer bytes than its law too; the digests are those of the law."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 700)
+    r = random.Random(7)
+    rows = worded(5)
+    long = [f"q{k}" for k in range(70)]
+    # the long passage repeats by its bytes in two texts, and a part of it by its words only in others
+    rows += [(len(rows), "one " + " ".join(long)), (len(rows) + 1, " ".join(long) + " two"), (len(rows) + 2, "three " + "  ".join(long[5:60]) + " end"), (len(rows) + 3, "\t".join(long[9:59]))]
+    docs = spark.createDataFrame(r.sample(rows, len(rows)) + [(-1, None)], "doc_id long, text string")
+    got = suffix_dedup.cut_report(docs, length=length, words=51).collect()
+    assert sorted(tuple(x)[:5] for x in got) == plain_cut([*rows, (-1, None)], length)
+    texts = {x.doc_id: x.text for x in got}
+    assert texts.pop(-1) is None and texts == plain_left(rows, length, 51)
+    assert any(x.n_removed == 0 and x.n_bytes > len(x.text) for x in got if x.text is not None)
+    assert suffix_dedup.cut_report(docs.limit(0), words=51).count() == 0
+
+
+def test_texts_side_by_side():
+    """Segments and words of texts taken together are those of each alone."""
+    r = random.Random(2)
+    for _ in range(60):
+        texts = [bytes(r.choice(b"ab c") for _ in range(r.choice([0, 3, 20, 21, 60, 200]))) for _ in range(r.randint(1, 6))] + [b"a b"]
+        raw, bounds = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+        for symbols, length in ((suffix_dedup.BYTES, 20), (suffix_dedup.WORDS, 5)):
+            values, at, _, _ = symbols.of(raw, bounds)
+            got, want = list(zip(*(x.tolist() for x in suffix_dedup.segments_of(values, at, length, 4)))), []
+            for i, x in enumerate(texts):
+                alone, own, _, _ = symbols.of(np.frombuffer(x, np.uint8), np.array([0, len(x)]))
+                assert alone.tolist() == values[at[i] : at[i + 1]].tolist()
+                found = list(zip(*(y.tolist() for y in suffix_dedup.segments_of(alone, own, length, 4))))
+                assert [k for y in found for k in range(y[2], y[3] + 1)] == list(range(len(alone) - length + 1))
+                want += [(*y[:4], i) for y in found]
+            assert got == want
+
+
 def test_words_without_spaces(spark):
     r = random.Random(6)
     han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(n))
