@@ -84,7 +84,7 @@ SELECT word, bad, white, short, aggressive, CASE WHEN bad THEN CASE WHEN length(
 SELECT 'union' AS kind, word FROM (SELECT word FROM a UNION SELECT word FROM b) UNION ALL SELECT DISTINCT 'fallback', word FROM b""",
     "decision_overlay": f"WITH {_OVERLAY} SELECT r_regionkey, round(least(a, b), 6) AS review, round(greatest(a, b), 6) AS block, feature, CASE WHEN feature = 'fuzzy_strong' AND r_regionkey < 4 THEN r_regionkey::DOUBLE ELSE weight::DOUBLE END AS weight FROM m, f",
     "labelled_corpora": f"WITH {_LABELLED} SELECT rank, source, text, round(score::DOUBLE, 4) AS score FROM j JOIN {values(_LAST, 'kind, rank, source')} USING (kind)",
-    "labelled_texts": "WITH t AS (SELECT trim(substr(coalesce(text, ''), 1, 60), ' ') AS t FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) SELECT md5(t) AS text, length(t)::INT AS n FROM t UNION ALL SELECT md5(t), length(t)::INT FROM t",
+    "labelled_texts": "WITH t AS (SELECT trim(coalesce(text, ''), ' ') AS t FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) SELECT md5(t) AS text, length(t)::INT AS n FROM t UNION ALL SELECT md5(t), length(t)::INT FROM t",
     "literal_messages": f"SELECT * FROM {values([(t, 'nitro_scam') for t in L.SCAM_EXAMPLES], 'text, category')}",
     "mined_file": f"WITH {O.MINED}, {_CAPPED} SELECT pos::INT AS pos, source, toxicity_score, array_to_string(profane_terms, ',') AS terms, md5(context) AS context_md5 FROM capped WHERE pos < 20",
     "mined_items": f"""WITH {O.MINED}, b AS (SELECT DISTINCT regexp_replace(unnest(profane_terms), '[^\\p{{L}}]', '', 'g') AS text, 'live_trained_profanity' AS category FROM mined UNION SELECT substr(context, 1, 512), 'mined_toxicity_context' FROM mined WHERE length(context) >= 16),
